@@ -6,20 +6,39 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from firnspark.llm import quality_rules, url_filter
-from firnspark.llm.common import table
+from firnspark.llm import bpe, quality_rules, url_filter, warc
+from firnspark.llm.common import Scratch, table
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of all pages, read back; a record that isn't intact has a null digest."""
+    scratch = Scratch(spark, "warc")
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"), to := scratch.path("archives"), scratch)
+    found = warc.read_archives(manifest, to, payload=False)
+    return found.selectExpr("page_id", "payload_bytes", "CASE WHEN intact THEN payload_digest END AS payload_digest", "record_type", "refers_to")
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    """vocabulary: path of the tokenizer's JSON; the public one unless given."""
+    if vocabulary is None:
+        import public_tokenizers
+
+        vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    return bpe.token_digests(table(spark, sf_dir, "documents"), vocabulary)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_url_filter": op2_url_filter,
+    "op8_bpe": op8_bpe,
     "op9_quality_rules": op9_quality_rules,
 }
 
