@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from firnspark.llm import bpe, quality_model, quality_rules, url_filter, warc
+from firnspark.llm import bpe, quality_model, quality_rules, suffix_dedup, url_filter, warc
 from firnspark.llm.common import Scratch, table
 
 
@@ -26,6 +26,10 @@ def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"), Scratch(spark, "suffixes"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     """vocabulary: path of the tokenizer's JSON; the public one unless given."""
     if vocabulary is None:
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_url_filter": op2_url_filter,
     "op3_quality_model": op3_quality_model,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op8_bpe": op8_bpe,
     "op9_quality_rules": op9_quality_rules,
 }
