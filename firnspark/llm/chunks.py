@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from firnspark.llm.common import Scratch, parts
 
+#: Most documents of a chunk, so that a document's place in its chunk has 14 bits.
+MOST_DOCS = 1 << 14
 CHUNKS = "chunk_id long, n_bytes long, n_docs long, docs binary"
 
 
@@ -50,6 +52,7 @@ def chunked(docs: DataFrame, scratch: Scratch, text_col: str = "text", chunk_byt
             lo = 0
             while lo < len(starts):
                 hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + chunk_bytes, side="right")))
+                hi = min(hi, lo + MOST_DOCS)
                 yield pa.RecordBatch.from_pydict({"chunk_id": [base + k], "n_bytes": [int(ends[hi - 1] - starts[lo])], "n_docs": [hi - lo], "docs": [packed(batch.slice(lo, hi - lo))]})
                 lo, k = hi, k + 1
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from firnspark.llm import bpe, quality_model, quality_rules, suffix_dedup, url_filter, warc
+from firnspark.llm import bpe, jaccard_join, packing, quality_model, quality_rules, suffix_dedup, url_filter, warc
 from firnspark.llm.common import Scratch, table
 
 
@@ -30,6 +30,15 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf_dir, "documents"), Scratch(spark, "suffixes"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.joined(table(spark, sf_dir, "documents"), Scratch(spark, "jaccard"), jaccard_join.Similarity(85, 100, 4))
+    return found.drop("row")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     """vocabulary: path of the tokenizer's JSON; the public one unless given."""
     if vocabulary is None:
@@ -48,6 +57,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_quality_model": op3_quality_model,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_packing": op6_packing,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_bpe": op8_bpe,
     "op9_quality_rules": op9_quality_rules,
 }
