@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from firnspark.llm import bpe, jaccard_join, packing, quality_model, quality_rules, suffix_dedup, url_filter, warc
+from firnspark.llm import bpe, jaccard_join, license_scan, nn_descent, packing, quality_model, quality_rules, suffix_dedup, url_filter, warc
 from firnspark.llm.common import Scratch, table
 
 
@@ -26,6 +26,10 @@ def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"), Scratch(spark, "neighbours"))[0]
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf_dir, "documents"), Scratch(spark, "suffixes"))
 
@@ -52,18 +56,25 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(license_scan.as_files(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_url_filter": op2_url_filter,
     "op3_quality_model": op3_quality_model,
+    "op4_nn_descent": op4_nn_descent,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_packing": op6_packing,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_bpe": op8_bpe,
     "op9_quality_rules": op9_quality_rules,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_url_filter": url_filter.ORACLE_SQL,
     "op9_quality_rules": quality_rules.ORACLE_SQL,
+    "op10_license_scan": license_scan.ORACLE_SQL,
 }
