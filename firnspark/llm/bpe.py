@@ -38,7 +38,7 @@ class Automaton:
     max_states and max_words bound the tables; beyond them they start anew, results stay the same.
     """
 
-    def __init__(self, spec: dict, max_states: int = 60_000, max_words: int = 150_000):
+    def __init__(self, spec: dict, max_states: int = 150_000, max_words: int = 400_000):
         vocab: dict[str, int] = spec["model"]["vocab"]
         end: str = spec["model"]["end_of_word_suffix"] or ""
         self.label = {i: s for s, i in vocab.items()}
@@ -64,7 +64,7 @@ class Automaton:
             self._add_gadget(vocab[a], vocab[b], vocab[a + b], rank, spelled)
         self.max_states, self.max_words = max_states, max_words
         self._reset()
-        self.words: dict[str, tuple[int, str, str]] = {}
+        self.words: dict[str, tuple[str, str]] = {}
 
     def _add_arc(self, token: int, symbols: tuple[int, ...]) -> None:
         self.length[token] = len(symbols)
@@ -163,16 +163,14 @@ class Automaton:
             out += self.read(symbols)
         return out
 
-    def word(self, chunk: str) -> tuple[int, str, str]:
-        """Number of ids, ids, and labels of a run of text without white space, both joined by a space."""
-        found = self.words.get(chunk)
-        if found is None:
-            ids = self.ids_of(chunk)
-            found = (len(ids), " ".join(map(str, ids)), self.emit(ids))
-            if len(chunk) <= 64:
-                if len(self.words) >= self.max_words:
-                    self.words.clear()
-                self.words[chunk] = found
+    def word(self, chunk: str) -> tuple[str, str]:
+        """Ids and labels of a run of text without white space, both joined by a space."""
+        ids = self.ids_of(chunk)
+        found = (" ".join(map(str, ids)), self.emit(ids))
+        if len(chunk) <= 64:
+            if len(self.words) >= self.max_words:
+                self.words.clear()
+            self.words[chunk] = found
         return found
 
     def emit(self, ids: list[int]) -> str:
@@ -191,27 +189,32 @@ class Automaton:
             if part in self.special:
                 out.append(self.special[part])
             else:
-                for chunk in part.translate(_SPACES).split(" "):
+                for chunk in chunks(part):
                     out += self.ids_of(chunk)
         return out
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, ids joined by a space, decoded text."""
-        found: list[tuple[int, str, str]] = []
+        found: list[tuple[str, str]] = []
+        held = self.words
         for part in self._between(text):
             if part in self.special:
-                found.append((1, str(self.special[part]), part))
+                found.append((str(self.special[part]), part))
                 continue
-            held, word = self.words, self.word
-            for chunk in part.translate(_SPACES).split(" "):
-                if chunk:
-                    x = held.get(chunk) or word(chunk)
-                    if x[0]:
-                        found.append(x)
-        if not found:
-            return 0, "", ""
-        n, ids, labels = zip(*found, strict=True)
-        return sum(n), " ".join(ids), " ".join(labels)
+            own = chunks(part)
+            got = list(map(held.get, own))
+            if None in got:
+                got = [x or self.word(c) for x, c in zip(got, own, strict=True)]
+            found += got
+        ids = " ".join([x[0] for x in found if x[0]])
+        return ids.count(" ") + 1 if ids else 0, ids, " ".join([x[1] for x in found if x[0]])
+
+
+def chunks(text: str) -> list[str]:
+    """Runs of anything but white space. Python's own split also cuts at four control characters, which aren't."""
+    if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        return [x for x in text.translate(_SPACES).split(" ") if x]
+    return text.split()
 
 
 _SPACES = {ord(c): " " for c in SPACE}
