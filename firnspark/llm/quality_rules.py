@@ -100,7 +100,13 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
     measurement 0 (so it fails too_few_words). Windows of words are compared by 64-bit hash within
     a text. Repeated rows are judged one by one, other columns are dropped. No shuffle, no Python.
     """
-    found = measured(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", window).drop("text")
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return with_bits(own, "text", window, rules).drop("text")
+
+
+def with_bits(docs: DataFrame, text_col: str = "text", window: int = 5, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """docs with the measurements and failed_bits; its columns of these names are replaced."""
+    found = measured(docs.drop(*(set(MEASURES) | {"failed_bits"}) - {text_col}), text_col, window)
     bits = F.lit(0).cast("long")
     for r in rules:
         bits = bits.bitwiseOR(F.when(F.expr(r.fails), F.lit(1 << r.bit).cast("long")).otherwise(F.lit(0).cast("long")))
