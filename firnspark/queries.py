@@ -132,17 +132,17 @@ def flotation_window(spark, sf_dir):
 
 
 def _two_series(spark, sf_dir):
-    e = table(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    e = table(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
     kind = lambda k: e.where(F.col("event_type") == k)
     types = [r[0] for r in e.select("event_type").distinct().orderBy("event_type").limit(2).collect()]
-    return kind(types[0]).select("user_id", "event_id", "at"), kind(types[1]).groupBy("user_id", "at").agg(F.min("value").alias("value"))
+    return kind(types[0]).select("user_id", "event_id", "us"), kind(types[1]).groupBy("user_id", "us").agg(F.min("value").alias("value"))
 
 
 @query
 def nearest_join(spark, sf_dir):
     left, right = _two_series(spark, sf_dir)
-    free = joins.nearest(left, right, "at", ["value"], ["user_id"]).withColumnRenamed("value", "nearest")
-    tight = joins.nearest(left, right, "at", ["value"], ["user_id"], F.lit(3_600_000_000 * 12)).select("event_id", F.col("value").alias("within"))
+    free = joins.nearest(left, right, "us", ["value"], ["user_id"]).withColumnRenamed("value", "nearest")
+    tight = joins.nearest(left, right, "us", ["value"], ["user_id"], F.lit(3_600_000_000 * 12)).select("event_id", F.col("value").alias("within"))
     return rounded(free.join(tight, "event_id"))
 
 
@@ -197,7 +197,7 @@ def terminus_names(spark, sf_dir):
 def tumbling_mean(spark, sf_dir):
     e = table(spark, sf_dir, "events").where("user_id % 10 = user_id % 10")
     out = radar.tumbling_mean(e, "ts", "6 hours", ["value"], ["event_type"], keep_empty=True)
-    return rounded(out.select("event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "value"))
+    return rounded(out.select("event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "value"))
 
 
 def _radar_frames(spark, sf_dir):
@@ -216,13 +216,13 @@ def _radar_frames(spark, sf_dir):
 def reflection_power(spark, sf_dir):
     frames, layers = _radar_frames(spark, sf_dir)
     out = radar.reflection_power(frames, layers, "4 seconds")
-    return rounded(out.select(KEY, F.unix_micros("slow_time").alias("at"), "surface_twtt", "surface_power_db", "bed_twtt", "bed_power_db"), 9)
+    return rounded(out.select(KEY, F.unix_micros("slow_time").alias("us"), "surface_twtt", "surface_power_db", "bed_twtt", "bed_power_db"), 9)
 
 
 @query
 def layer_elevations(spark, sf_dir):
     _, layers = _radar_frames(spark, sf_dir)
-    return rounded(radar.layer_elevations(layers).select(KEY, F.unix_micros("slow_time").alias("at"), "surface", "bed"), 4)
+    return rounded(radar.layer_elevations(layers).select(KEY, F.unix_micros("slow_time").alias("us"), "surface", "bed"), 4)
 
 
 @query
@@ -409,7 +409,7 @@ def frame_slice(spark, sf_dir):
 def distinct_times(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("h"))
     both = e.union(e.where("event_id % 2 = 0"))
-    return radar.first_of_each(both, ["user_id", "h"], ["event_id"]).select("user_id", F.unix_micros("h").alias("at"), "event_id", "event_type")
+    return radar.first_of_each(both, ["user_id", "h"], ["event_id"]).select("user_id", F.unix_micros("h").alias("us"), "event_id", "event_type")
 
 
 @query
