@@ -39,15 +39,34 @@ def cells(pieces: DataFrame, size: float, p: str, q: str) -> DataFrame:
     return out.withColumn("cy", F.explode(axis(F.col(f"{p}y"), F.col(f"{q}y"))))
 
 
+def _met(left: DataFrame, right: DataFrame, left_key: str, right_key: str, cell: float) -> DataFrame:
+    """Pieces a-b of the left lines and c-d of the right ones that share a point, with the left piece's number."""
+    own = cells(segments(left, left_key), cell, "a", "b")
+    other = cells(segments(right, right_key).drop("part"), cell, "a", "b").toDF(right_key, "cx_", "cy_", "dx_", "dy_", "cx", "cy")
+    met = own.join(other, ["cx", "cy"]).drop("cx", "cy")
+    return met.toDF(left_key, "part", "ax", "ay", "bx", "by", right_key, "cx", "cy", "dx", "dy").where(crossing())
+
+
 def intersecting(left: DataFrame, right: DataFrame, left_key: str, right_key: str, cell: float = 0.5) -> DataFrame:
     """(left_key, right_key) of polylines that share a point: one distributed join for all of them."""
-    own = cells(segments(left, left_key), cell, "a", "b").drop("part")
-    other = segments(right, right_key).select(right_key, F.col("ax").alias("cx_"), F.col("ay").alias("cy_"), F.col("bx").alias("dx_"), F.col("by").alias("dy_"))
-    other = cells(other.toDF(right_key, "ax", "ay", "bx", "by"), cell, "a", "b")
-    other = other.toDF(right_key, "cx_", "cy_", "dx_", "dy_", "cx", "cy")
-    met = own.join(other, ["cx", "cy"]).drop("cx", "cy")
-    met = met.toDF(left_key, "ax", "ay", "bx", "by", right_key, "cx", "cy", "dx", "dy")
-    return met.where(crossing()).select(left_key, right_key).distinct()
+    return _met(left, right, left_key, right_key, cell).select(left_key, right_key).distinct()
+
+
+def clipped(left: DataFrame, right: DataFrame, left_key: str, right_key: str, cell: float = 0.5) -> DataFrame:
+    """(left_key, right_key, first, last): the first and last crossing along the left line, as points.
+
+    Pieces that lie on one another count by their end that comes first on the left line.
+    """
+    met = _met(left, right, left_key, right_key, cell)
+    ux, uy, vx, vy = (F.col(p) - F.col(q) for p, q in (("bx", "ax"), ("by", "ay"), ("dx", "cx"), ("dy", "cy")))
+    cross, length = ux * vy - uy * vx, ux * ux + uy * uy
+    proper = ((F.col("cx") - F.col("ax")) * vy - (F.col("cy") - F.col("ay")) * vx) / F.nullif(cross, F.lit(0.0))
+    along = lambda p: F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((F.col(f"{p}x") - F.col("ax")) * ux + (F.col(f"{p}y") - F.col("ay")) * uy) / F.nullif(length, F.lit(0.0))))
+    met = met.withColumn("s", F.coalesce(proper, F.least(along("c"), along("d")), F.lit(0.0)))
+    at = F.struct("part", "s", (F.col("ax") + F.col("s") * ux).alias("lon"), (F.col("ay") + F.col("s") * uy).alias("lat"))
+    out = met.groupBy(left_key, right_key).agg(F.min(at).alias("f"), F.max(at).alias("l"))
+    point = lambda c: F.struct(F.col(f"{c}.lon").alias("lon"), F.col(f"{c}.lat").alias("lat"))
+    return out.select(left_key, right_key, point("f").alias("first"), point("l").alias("last"))
 
 
 def search(frames: DataFrame, collections: list[str] | None = None, segments_: list[str] | None = None, years: tuple[int, int] | None = None) -> DataFrame:

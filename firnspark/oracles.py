@@ -175,6 +175,11 @@ _LINES = PROFILE | {
 }
 
 
+_SHARED = """(d1 <> d2 AND d3 <> d4 AND d1 * d2 <= 0 AND d3 * d4 <= 0 AND NOT (d1 = 0 AND d2 = 0))
+          OR (d1 = 0 AND ax BETWEEN least(cx, dx) AND greatest(cx, dx) AND ay BETWEEN least(cy, dy) AND greatest(cy, dy)) OR (d2 = 0 AND bx BETWEEN least(cx, dx) AND greatest(cx, dx) AND by_ BETWEEN least(cy, dy) AND greatest(cy, dy))
+          OR (d3 = 0 AND cx BETWEEN least(ax, bx) AND greatest(ax, bx) AND cy BETWEEN least(ay, by_) AND greatest(ay, by_)) OR (d4 = 0 AND dx BETWEEN least(ax, bx) AND greatest(ax, bx) AND dy BETWEEN least(ay, by_) AND greatest(ay, by_))"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Query name -> SQL, for those that SQL can express."""
     out = {
@@ -253,9 +258,11 @@ def oracle_sql() -> dict[str, str]:
         "onset_detector": with_(_ONSET, f"SELECT segment_id, detector, {rs('map_km', 'lo', 'hi', 'value')}, reason FROM og"),
         "credible_intervals": with_(_POSTERIOR | {"m": "SELECT unnest([0.68::DOUBLE, 0.95::DOUBLE]) AS mass"}, f"SELECT qc.segment_id, model, mass, {r('coalesce(min(CASE WHEN c >= (1 - mass) / 2 THEN x_km END), max(x_km))', 'lo')}, {r('coalesce(min(CASE WHEN c >= 1 - (1 - mass) / 2 THEN x_km END), max(x_km))', 'hi')}, {r('any_value(map_km)', 'map_km')} FROM qc JOIN qm ON qc.segment_id = qm.segment_id, m GROUP BY qc.segment_id, model, mass"),
         "transition_width": with_(_ONSET | {k: v for k, v in _GRADIENT.items() if k not in _POWER} | {"x": "SELECT og.segment_id, w.sign * (gr.map_km - og.map_km) AS width FROM og JOIN gr USING (segment_id) JOIN w USING (segment_id)"}, f"SELECT segment_id, {r('width', 'width_km')}, 1.0::DOUBLE AS zone, {r('width - 1.0', 'offset_km')}, CASE WHEN width - 1.0 < 0 THEN 'downflow' ELSE 'upflow of the zone''s seaward edge' END AS note FROM x"),
-        "line_search": with_(_LINES, """SELECT DISTINCT segment_id, c_custkey FROM zz WHERE (d1 <> d2 AND d3 <> d4 AND d1 * d2 <= 0 AND d3 * d4 <= 0 AND NOT (d1 = 0 AND d2 = 0))
-          OR (d1 = 0 AND ax BETWEEN least(cx, dx) AND greatest(cx, dx) AND ay BETWEEN least(cy, dy) AND greatest(cy, dy)) OR (d2 = 0 AND bx BETWEEN least(cx, dx) AND greatest(cx, dx) AND by_ BETWEEN least(cy, dy) AND greatest(cy, dy))
-          OR (d3 = 0 AND cx BETWEEN least(ax, bx) AND greatest(ax, bx) AND cy BETWEEN least(ay, by_) AND greatest(ay, by_)) OR (d4 = 0 AND dx BETWEEN least(ax, bx) AND greatest(ax, bx) AND dy BETWEEN least(ay, by_) AND greatest(ay, by_))"""),
+        "line_search": with_(_LINES, f"SELECT DISTINCT segment_id, c_custkey FROM zz WHERE {_SHARED}"),
+        "zone_bounds": with_(_LINES | {
+            "zs_": f"SELECT segment_id, c_custkey, i, ax, ay, bx, by_, coalesce(((cx - ax) * (dy - cy) - (cy - ay) * (dx - cx)) / nullif((bx - ax) * (dy - cy) - (by_ - ay) * (dx - cx), 0), 0) AS s FROM zz WHERE {_SHARED}",
+            "zp": "SELECT segment_id, c_custkey, i + s AS k, ax + s * (bx - ax) AS lon, ay + s * (by_ - ay) AS lat FROM zs_",
+        }, f"SELECT segment_id, c_custkey, {r('arg_min(lat, k)', 'first_lat')}, {r('arg_max(lat, k)', 'last_lat')}, {r('arg_max(lon, k)', 'last_lon')} FROM zp GROUP BY ALL"),
         "catalog_search": "SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus IN ('O', 'F') AND year(o_orderdate) BETWEEN 1993 AND 1996",
         "erf_derivatives": with_(PROFILE | {"a": "SELECT segment_id, i, 0.25::DOUBLE * (x_km - 8.0::DOUBLE) AS u FROM p", "b": f"SELECT *, exp(-u * u) * {2 * 12.0 / math.sqrt(math.pi)!r} AS g FROM a"}, f"SELECT segment_id, i, {r('g * 0.25::DOUBLE', 'd1')}, {r('g * u * -0.125::DOUBLE', 'd2')}, {r('g * (u * u * 2 - 1) * 0.03125::DOUBLE', 'd3')} FROM b"),
         "ahead_of_terminus": with_(WINDOW | {

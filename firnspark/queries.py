@@ -345,6 +345,13 @@ def line_search(spark, sf_dir):
     return spatial.intersecting(tracks, zones, KEY, "c_custkey", 0.25)
 
 
+@query
+def zone_bounds(spark, sf_dir):
+    tracks, zones = _lines(spark, sf_dir)
+    found = spatial.clipped(tracks, zones, KEY, "c_custkey", 0.25)
+    return rounded(found.select(KEY, "c_custkey", F.col("first.lat").alias("first_lat"), F.col("last.lat").alias("last_lat"), F.col("last.lon").alias("last_lon")))
+
+
 @query
 def catalog_search(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("collection"), F.col("o_orderstatus").alias("segment"), F.year("o_orderdate").alias("year"), "o_orderkey")
