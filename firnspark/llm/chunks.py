@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firnspark.llm.common import Scratch, parts
+from firnspark.llm.common import Scratch, parts, trimmed
 
 #: Most documents of a chunk, so that a document's place in its chunk has 14 bits.
 MOST_DOCS = 1 << 14
@@ -41,8 +41,11 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets[:-1] - offsets[0], offsets[1:] - offsets[0]
 
 
-def chunked(docs: DataFrame, scratch: Scratch, text_col: str = "text", chunk_bytes: int = 8 << 20, name: str = "chunks") -> DataFrame:
-    """Write docs as chunks of about chunk_bytes of text; a text is never cut, every column is kept."""
+def chunked(docs: DataFrame, scratch: Scratch, text_col: str = "text", chunk_bytes: int = 4 << 20, name: str = "chunks") -> DataFrame:
+    """Write docs as chunks of about chunk_bytes of text; a text is never cut, every column is kept.
+
+    The table is bucketed by chunk_id: what is known of the chunks is joined to it without moving them.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,7 +59,7 @@ def chunked(docs: DataFrame, scratch: Scratch, text_col: str = "text", chunk_byt
                 yield pa.RecordBatch.from_pydict({"chunk_id": [base + k], "n_bytes": [int(ends[hi - 1] - starts[lo])], "n_docs": [hi - lo], "docs": [packed(batch.slice(lo, hi - lo))]})
                 lo, k = hi, k + 1
 
-    return scratch.keep(docs.mapInArrow(run, CHUNKS), name)
+    return scratch.keep_bucketed(docs.mapInArrow(trimmed(run), CHUNKS), name, "chunk_id")
 
 
 def shares(chunks: DataFrame, per_bytes: int = 32 << 20) -> int:

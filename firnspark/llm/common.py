@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
+import os
 import tempfile
+import time
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,12 +49,28 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write df as Parquet and return the written table."""
         df.write.option("compression", "zstd").mode("overwrite").parquet(self.path(name))
-        self.collect_garbage()
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def collect_garbage(self) -> None:
-        """Let Spark's cleaner delete the shuffle files of finished steps."""
-        self.spark.sparkContext._jvm.System.gc()
+    def keep_bucketed(self, df: DataFrame, name: str, by: str) -> DataFrame:
+        """Write df as a table in buckets of `by`, which later joins on it read without a shuffle.
+
+        As many buckets as the session has shuffle partitions, so that the other side of such a
+        join is brought to the buckets.
+        """
+        table = f"{os.path.basename(self.root)}_{name}".replace("-", "_")
+        out = df.write.format("parquet").option("compression", "zstd").option("path", self.path(name)).bucketBy(parts(self.spark), by)
+        out.mode("overwrite").saveAsTable(table)
+        return self.spark.table(table)
+
+    def free(self) -> None:
+        """Let Spark's cleaner delete the shuffle files of steps that nothing refers to any more.
+
+        Twice, since the driver's references go first and what they kept alive goes after them.
+        """
+        for _ in range(2):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.3)
 
     def drop(self, *names: str) -> None:
         """Delete the named tables, or all of them."""
@@ -56,6 +80,25 @@ class Scratch:
             at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def trimmed(f):
+    """f over a task's batches, after which the worker gives the memory it has freed back to the machine.
+
+    Workers are kept for later tasks, beside an executor that may need that memory itself.
+    """
+
+    @functools.wraps(f)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from f(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # no glibc, nothing to trim
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

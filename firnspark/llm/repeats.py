@@ -11,13 +11,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-MESSAGES = "chunk_id long, kind int, bucket int, n long, first binary, second binary, marks binary"
+from firnspark.llm.common import trimmed
+
+MESSAGES = "chunk_id long, kind int, bucket int, place int, n long, first binary, second binary, marks binary"
 ANSWERS = "chunk_id long, kind int, bucket int, n long, again binary, varied binary"
-SCHEMA = pa.schema([("chunk_id", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64()), ("first", pa.binary()), ("second", pa.binary()), ("marks", pa.binary())])
+SCHEMA = pa.schema([("chunk_id", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("place", pa.int32()), ("n", pa.int64()), ("first", pa.binary()), ("second", pa.binary()), ("marks", pa.binary())])
 #: Kinds below WHOLE compare the first word alone and tell whether the second ones vary.
 WHOLE = 100
+#: Kinds from ALONE have no second words.
+ALONE = 200
 AGAIN, VARIED = 1, 2
 
 
@@ -42,13 +47,22 @@ def distinct(first: np.ndarray, second: np.ndarray, whole: bool) -> tuple[np.nda
     return a[at], b[at], marks, place
 
 
-def messages(chunk_id: int, kind: int, first: np.ndarray, second: np.ndarray, marks: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """What a chunk sends of its distinct keys, cut by ranges of the first word."""
+def places(spark: SparkSession, partitions: int) -> list[int]:
+    """For each partition a number that Spark's hash sends there, so that equal ranges of keys fill equal partitions."""
+    numbers = spark.range(40 * partitions).select(F.col("id").cast("int").alias("id"))
+    found = numbers.groupBy(F.pmod(F.hash("id"), F.lit(partitions)).alias("p")).agg(F.min("id").alias("id")).collect()
+    known = {r.p: r.id for r in found}
+    return [known.get(p, p) for p in range(partitions)]
+
+
+def messages(chunk_id: int, kind: int, first: np.ndarray, second: np.ndarray, marks: np.ndarray, to: list[int]) -> pa.RecordBatch:
+    """What a chunk sends of its distinct keys, cut by ranges of the first word; range k goes to to[k]."""
+    buckets = len(to)
     edges = [(k << 64) // buckets for k in range(1, buckets)]
     cuts = [0, *np.searchsorted(first, np.array(edges, np.uint64)).tolist(), len(first)]
     rows = [(k, lo, hi) for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)) if lo < hi]
     return pa.RecordBatch.from_arrays(
-        [pa.array([chunk_id] * len(rows), pa.int64()), pa.array([kind] * len(rows), pa.int32()), pa.array([k for k, _, _ in rows], pa.int32()), pa.array([hi - lo for _, lo, hi in rows], pa.int64())]
+        [pa.array([chunk_id] * len(rows), pa.int64()), pa.array([kind] * len(rows), pa.int32()), pa.array([k for k, _, _ in rows], pa.int32()), pa.array([to[k] for k, _, _ in rows], pa.int32()), pa.array([hi - lo for _, lo, hi in rows], pa.int64())]
         + [pa.array([x[lo:hi].tobytes() for _, lo, hi in rows], pa.binary()) for x in (first, second, marks)],
         schema=SCHEMA,
     )
@@ -65,7 +79,7 @@ def answered(sent: DataFrame, partitions: int) -> DataFrame:
         for kind in sorted(held):
             rows = held.pop(kind)
             first = np.concatenate([np.frombuffer(r["first"], np.uint64) for r in rows])
-            second = np.concatenate([np.frombuffer(r["second"], np.uint32 if kind >= WHOLE else np.uint64) for r in rows])
+            second = np.concatenate([np.frombuffer(r["second"], np.uint32 if kind >= WHOLE else np.uint64) for r in rows]) if kind < ALONE else np.zeros(len(first), np.uint32)
             marks = np.concatenate([np.frombuffer(r["marks"], np.uint8) for r in rows])
             order = np.lexsort((second, first)) if kind >= WHOLE else np.argsort(first, kind="stable")
             a, b = first[order], second[order]
@@ -86,7 +100,7 @@ def answered(sent: DataFrame, partitions: int) -> DataFrame:
                 ["chunk_id", "kind", "bucket", "n", "again", "varied"],
             )
 
-    return sent.repartition(partitions, "bucket").mapInArrow(run, ANSWERS)
+    return sent.repartition(partitions, "place").mapInArrow(trimmed(run), ANSWERS)
 
 
 def bits(answers: list[dict], kind: int, which: str) -> np.ndarray:

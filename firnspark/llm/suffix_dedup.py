@@ -17,7 +17,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +24,7 @@ from pyspark.sql import types as T
 
 from firnspark.llm import repeats
 from firnspark.llm.chunks import chunked, shares, text_bytes, unpacked
-from firnspark.llm.common import Scratch
+from firnspark.llm.common import Scratch, trimmed
 from firnspark.llm.rolling import Rolling, U, sliding_min
 
 GRAM, STRETCH, WINDOW = 0, repeats.WHOLE, repeats.WHOLE + 1
@@ -34,7 +33,7 @@ PLAN = "chunk_id long, settled binary, open binary, known binary"
 RESULT = [("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("spans", T.ArrayType(T.ArrayType(T.LongType()))), ("kept", T.BinaryType())]
 
 
-def runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, gram: int, block: int = 2 << 20) -> tuple[np.ndarray, ...]:
+def runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, gram: int, block: int = 1 << 20) -> tuple[np.ndarray, ...]:
     """Runs of windows with a common least string: its hash, first and last window, hash words of the stretch.
 
     Works block by block, so memory doesn't depend on how long a text is; a run cut by a block's
@@ -64,7 +63,7 @@ def runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, gr
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def window_keys(data: np.ndarray, at: np.ndarray, length: int, block: int = 2 << 20) -> tuple[np.ndarray, np.ndarray]:
+def window_keys(data: np.ndarray, at: np.ndarray, length: int, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """96-bit keys of the windows that start at `at` (in order)."""
     first, second = np.empty(len(at), U), np.empty(len(at), np.uint32)
     for lo in range(0, len(data), block):
@@ -99,20 +98,21 @@ def _ints(x: bytes | None) -> np.ndarray:
     return np.frombuffer(x or b"", np.int64)
 
 
-def find_repeats(docs: DataFrame, scratch: Scratch, text_col: str = "text", length: int = 200, gram: int = 64, chunk_bytes: int = 8 << 20) -> DataFrame:
+def find_repeats(docs: DataFrame, scratch: Scratch, text_col: str = "text", length: int = 200, gram: int = 64, chunk_bytes: int = 4 << 20, as_text: bool = False) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans, spans ([start, end) in bytes) and kept (remaining bytes).
 
     Removed is each byte of the UTF-8 text covered by a string of `length` bytes that also starts
     anywhere else, in the same row or another; overlaps count and all is judged on the input.
     Matches never cross rows. A null text is an empty one; texts shorter than `length` stay whole.
     Repeated rows are copies of each other, so both lose what they share. Other columns are kept;
-    those named like the results are replaced. An empty table gives an empty one.
+    those named like the results are replaced. An empty table gives an empty one. as_text: kept is a
+    string, without bytes of characters that were cut in two.
     """
     docs = docs.drop(*[n for n, _ in RESULT])
     at = docs.columns.index(text_col)
     chunks = chunked(docs, scratch, text_col, chunk_bytes)
     partitions = shares(chunks)
-    buckets = 2 * partitions
+    to = repeats.places(docs.sparkSession, partitions)
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = repeats.SCHEMA.append(pa.field("runs", pa.binary()))
@@ -125,12 +125,12 @@ def find_repeats(docs: DataFrame, scratch: Scratch, text_col: str = "text", leng
                 for kind, a, b in ((GRAM, grams, one), (STRETCH, one, two.astype(np.uint32))):
                     first, second, marks, place = repeats.distinct(a, b, kind >= repeats.WHOLE)
                     places.append(place)
-                    sent = repeats.messages(own, kind, first, second, marks, buckets)
+                    sent = repeats.messages(own, kind, first, second, marks, to)
                     yield pa.RecordBatch.from_arrays([*sent.columns, pa.nulls(len(sent), pa.binary())], schema=schema)
                 state = np.stack([lo, hi - lo, *places]).astype(np.int32).tobytes()
                 yield pa.RecordBatch.from_pylist([{"chunk_id": own, "kind": -1, "runs": state}], schema)
 
-    pass1 = scratch.keep(chunks.select("chunk_id", "docs").mapInArrow(first_pass, PASS1), "pass1")
+    pass1 = scratch.keep(chunks.select("chunk_id", "docs").mapInArrow(trimmed(first_pass), PASS1), "pass1")
     answers = repeats.answered(pass1.where("kind >= 0").drop("runs"), partitions)
     by_chunk = lambda x: x.groupBy("chunk_id").agg(F.collect_list(F.struct("kind", "bucket", "n", "again", "varied")).alias("answers"))
 
@@ -147,8 +147,10 @@ def find_repeats(docs: DataFrame, scratch: Scratch, text_col: str = "text", leng
                 yield pa.RecordBatch.from_pydict({"chunk_id": [row["chunk_id"]]} | {k: [_binary(x)] for k, x in zip(("settled", "open", "known"), out, strict=True)})
 
     asked = pass1.where("kind = -1").select("chunk_id", "runs").join(by_chunk(answers), "chunk_id", "left").select("chunk_id", "runs", "answers")
-    plan = scratch.keep(asked.mapInArrow(planned, PLAN), "plan")
+    plan = scratch.keep(asked.mapInArrow(trimmed(planned), PLAN), "plan")
     scratch.drop("pass1")
+    del pass1, answers, asked
+    scratch.free()
 
     def sorted_windows(held: pa.Scalar, open_runs: bytes, known_runs: bytes) -> tuple[np.ndarray, ...]:
         """The windows of a chunk's unsettled runs, then those of settled ones, and their distinct keys."""
@@ -163,13 +165,15 @@ def find_repeats(docs: DataFrame, scratch: Scratch, text_col: str = "text", leng
         for batch in batches:
             for chunk_id, held, todo, known in zip(*batch.columns, strict=True):
                 _, first, second, marks, _ = sorted_windows(held, todo.as_py(), known.as_py())
-                yield repeats.messages(chunk_id.as_py(), WINDOW, first, second, marks, buckets)
+                yield repeats.messages(chunk_id.as_py(), WINDOW, first, second, marks, to)
 
     both = chunks.select("chunk_id", "docs").join(plan, "chunk_id")
-    sent = both.where("length(open) > 0 OR length(known) > 0").select("chunk_id", "docs", "open", "known").mapInArrow(second_pass, repeats.MESSAGES)
+    sent = both.where("length(open) > 0 OR length(known) > 0").select("chunk_id", "docs", "open", "known").mapInArrow(trimmed(second_pass), repeats.MESSAGES)
     answers = scratch.keep(by_chunk(repeats.answered(sent, partitions)), "answers")
+    del both, sent
+    scratch.free()
 
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in RESULT)])
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.StringType() if as_text and n == "kept" else t) for n, t in RESULT)])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,13 +185,13 @@ def find_repeats(docs: DataFrame, scratch: Scratch, text_col: str = "text", leng
                     todo, _, _, marks, place = sorted_windows(held, todo_runs.as_py(), known.as_py())
                     again = todo[(repeats.bits(got.as_py() or [], WINDOW, "again") | (marks & repeats.AGAIN > 0))[place]]
                 lost = covered(len(data), *_ints(settled.as_py()).reshape(2, -1), again, length)
-                yield pa.RecordBatch.from_arrays([*own.columns, *_results(data, starts, ends, lost)], names=[*own.schema.names, *(n for n, _ in RESULT)])
+                yield pa.RecordBatch.from_arrays([*own.columns, *_results(data, starts, ends, lost, as_text)], names=[*own.schema.names, *(n for n, _ in RESULT)])
 
     rest = chunks.select("chunk_id", "docs").join(plan, "chunk_id").join(answers, "chunk_id", "left")
-    return rest.select("docs", "settled", "open", "known", "answers").mapInArrow(cut, schema)
+    return rest.select("docs", "settled", "open", "known", "answers").mapInArrow(trimmed(cut), schema)
 
 
-def _results(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lost: np.ndarray) -> list[pa.Array]:
+def _results(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lost: np.ndarray, as_text: bool = False) -> list[pa.Array]:
     before = np.concatenate([[0], np.cumsum(lost)])
     edge = np.zeros(len(data) + 1, bool)
     edge[:-1] = lost
@@ -195,7 +199,7 @@ def _results(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lost: np.nd
     edge[starts[starts < len(data)]] |= lost[starts[starts < len(data)]]
     n_before = np.concatenate([[0], np.cumsum(edge[:-1])])
     first = np.flatnonzero(edge[:-1])
-    last = np.concatenate([[0], np.flatnonzero(~lost) , [len(data)]])
+    last = np.append(np.flatnonzero(~lost), len(data))
     spans, kept = [], []
     for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
         if before[e] == before[s]:
@@ -207,7 +211,7 @@ def _results(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lost: np.nd
         spans.append(np.stack([own - s, stop - s], axis=1).tolist())
         kept.append(data[s:e][~lost[s:e]].tobytes())
     number = lambda x: pa.array(x, pa.int64())
-    return [number(ends - starts), number(before[ends] - before[starts]), number(n_before[ends] - n_before[starts]), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary())]
+    return [number(ends - starts), number(before[ends] - before[starts]), number(n_before[ends] - n_before[starts]), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array([k.decode(errors="ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())]
 
 
 def digests(docs: DataFrame, scratch: Scratch, length: int = 200) -> DataFrame:
@@ -221,10 +225,6 @@ def without_repeats(docs: DataFrame, scratch: Scratch, length: int = 200, text_c
 
     Documents are all kept, if need be with an empty text; null texts stay null.
     """
-    found = find_repeats(docs, scratch, text_col, length)
-    @F.pandas_udf("string")
-    def decoded(kept: pd.Series) -> pd.Series:
-        return kept.map(lambda b: None if b is None else b.decode(errors="ignore"))
-
-    text = F.when(F.col(text_col).isNull(), None).when(F.col("n_removed") == 0, F.col(text_col)).otherwise(decoded("kept"))
+    found = find_repeats(docs, scratch, text_col, length, as_text=True)
+    text = F.when(F.col(text_col).isNull(), None).otherwise(F.col("kept"))
     return found.select(*[(text if c == text_col else F.col(f"`{c}`")).alias(c) for c in docs.columns])
