@@ -18,6 +18,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from firnspark.llm.common import trimmed
+
 #: The pattern that splits normalized text, and Unicode white space: fixed values.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
@@ -259,7 +261,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
             ids = [own.encode(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([own.emit(x) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
 
-    return docs.selectExpr(f"CAST(`{id_col}` AS LONG) AS doc_id", f"`{text_col}` AS text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return docs.selectExpr(f"CAST(`{id_col}` AS LONG) AS doc_id", f"`{text_col}` AS text").mapInArrow(trimmed(run), "doc_id long, ids array<int>, decoded string")
 
 
 def decode_ids(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -271,7 +273,7 @@ def decode_ids(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.emit(x or []) for x in batch.column(1).to_pylist()], pa.string())], ["doc_id", "decoded"])
 
-    return encoded.selectExpr(f"CAST(`{id_col}` AS LONG) AS doc_id", f"`{ids_col}` AS ids").mapInArrow(run, "doc_id long, decoded string")
+    return encoded.selectExpr(f"CAST(`{id_col}` AS LONG) AS doc_id", f"`{ids_col}` AS ids").mapInArrow(trimmed(run), "doc_id long, decoded string")
 
 
 def token_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -293,4 +295,4 @@ def token_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
                 decoded.append(sha(c))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.selectExpr(f"CAST(`{id_col}` AS LONG) AS doc_id", f"`{text_col}` AS text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.selectExpr(f"CAST(`{id_col}` AS LONG) AS doc_id", f"`{text_col}` AS text").mapInArrow(trimmed(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

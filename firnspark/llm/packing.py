@@ -11,6 +11,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from firnspark.llm.common import trimmed
+
 PLACED = "doc_id long, piece int, start long, length long, bin_id long, capacity int, offset int"
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("bin_id", pa.int64()), ("capacity", pa.int32()), ("offset", pa.int32())])
 
@@ -134,4 +136,4 @@ def pack_documents(docs: DataFrame, length: Column | None = None, lengths: Lengt
         if n:
             yield flush()[0]
 
-    return counted.mapInArrow(run, PLACED)
+    return counted.mapInArrow(trimmed(run), PLACED)
