@@ -5,9 +5,10 @@ order that puts widespread shingles last; similar sets must share one) and a ban
 a tile, signatures bound the overlap from above by bit counts; what passes is intersected exactly,
 as sorted arrays.
 
-Not every pair of a tile is looked at: first all are paired with the tile's smallest set, and what is
-found is merged into classes; then every pair of a tile whose classes still differ. So no link
-between classes is missed, and a class of n copies costs about n pairs.
+Pairs are never listed. A tile gives a least spanning forest of the pairs that size and signature let be
+linked: no more pairs than rows. The components of these forests hold every link, and within
+each the sets are intersected exactly, which again gives a spanning forest. Large tiles and components
+are dealt into pairs of blocks, each a task's work.
 """
 
 from __future__ import annotations
@@ -16,20 +17,22 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from firnspark.llm import repeats, shingles
-from firnspark.llm.chunks import chunked, shares, text_bytes, unpacked
-from firnspark.llm.common import Scratch
+from firnspark.llm.chunks import chunked, packed, shares, text_bytes, unpacked
+from firnspark.llm.common import Scratch, trimmed
 from firnspark.llm.components import connected_components
+from firnspark.llm.groups import block_pairs, bounds, whole_groups
 
-KEY = repeats.WHOLE
+KEY = repeats.ALONE
 #: The order's list of widespread shingles has a fixed bound, so it can be broadcast: 2^17 words.
 MOST_WIDESPREAD = 1 << 17
-DOCS = "row long, doc_id long, n long, set0 long, set1 long, signature binary"
+DOCS = "row long, doc_id long, n long, set0 long, set1 long"
+#: Signature bits for each shingle.
+BITS = 0.5
 
 
 @dataclass(frozen=True)
@@ -60,8 +63,8 @@ def _ordered(keys: np.ndarray, edges: np.ndarray, rank_of: np.ndarray, ranks: np
         at = np.minimum(np.searchsorted(rank_of, hashes), len(rank_of) - 1)
         last = rank_of[at] == hashes
     plain = np.flatnonzero(~last)
-    seen = np.cumsum(~last) - (~last)
-    n_plain = np.add.reduceat(np.append(~last, False).astype(np.int64), edges[:-1]) * (np.diff(edges) > 0) if len(first) else first
+    seen = np.concatenate([[0], np.cumsum(~last)])
+    n_plain = seen[edges[1:]] - seen[edges[:-1]]
     chosen = [plain[seen[plain] - seen[edges[:-1]][doc[plain]] < first[doc[plain]]]] if len(plain) else []
     rest = np.flatnonzero(last & (n_plain < first)[doc]) if len(keys) else plain
     if len(rest):
@@ -92,10 +95,10 @@ def widespread(chunks: DataFrame, size: int, at: int, least: int = 8) -> DataFra
                 n = np.diff(np.append(new, len(found)))
                 yield pa.RecordBatch.from_arrays([pa.array(found[new][n >= least].astype(np.int64)), pa.array(n[n >= least], pa.int64())], ["shingle", "n"])
 
-    return chunks.select("docs").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(MOST_WIDESPREAD)
+    return chunks.select("docs").mapInArrow(trimmed(run), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(MOST_WIDESPREAD)
 
 
-def joined(docs: DataFrame, scratch: Scratch, similarity: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 8 << 20) -> DataFrame:
+def joined(docs: DataFrame, scratch: Scratch, similarity: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 4 << 20) -> DataFrame:
     """(row, doc_id, n_shingles, component_id) for every row of docs.
 
     component_id is the least doc_id reachable by links. Words are runs of anything but the six
@@ -105,159 +108,232 @@ def joined(docs: DataFrame, scratch: Scratch, similarity: Similarity = Similarit
     alone has a null component_id. Other columns are not read. An empty table gives an empty one.
     Shingles are compared by 50-bit hash.
     """
-    found = _found(docs, scratch, similarity, id_col, text_col, chunk_bytes)
-    return found.select("row", "doc_id", F.col("n").alias("n_shingles"), "component_id")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    found, _ = _classes(own, scratch, similarity, chunk_bytes)
+    ids = found.groupBy("class").agg(F.min("doc_id").alias("component_id"))
+    return found.join(ids, "class").select("row", "doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
-def _found(docs: DataFrame, scratch: Scratch, similarity: Similarity, id_col: str, text_col: str, chunk_bytes: int) -> DataFrame:
+def _classes(docs: DataFrame, scratch: Scratch, similarity: Similarity, chunk_bytes: int = 4 << 20) -> tuple[DataFrame, DataFrame]:
+    """(row, doc_id, n, class) of docs, which has a long doc_id and a text, and its chunks; a row's chunk is row div MOST_DOCS."""
     spark, size = docs.sparkSession, similarity.words
-    chunks = chunked(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), scratch, "text", chunk_bytes)
+    id_at, text_at = docs.columns.index("doc_id"), docs.columns.index("text")
+    chunks = chunked(docs, scratch, "text", chunk_bytes)
     partitions = shares(chunks)
-    buckets = 2 * partitions
-    common = scratch.keep(widespread(chunks, size, 1), "widespread").orderBy("n", "shingle").toPandas()
+    to = repeats.places(docs.sparkSession, partitions)
+    common = scratch.keep(widespread(chunks, size, text_at), "widespread").orderBy("n", "shingle").toPandas()
     order = np.argsort(common["shingle"].to_numpy(np.int64), kind="stable")
     last = spark.sparkContext.broadcast((common["shingle"].to_numpy(np.int64)[order].astype(np.uint64), order))
 
-    def sets(held: pa.Scalar):
-        own = unpacked(held.as_buffer())
-        data, starts, ends = text_bytes(own.column(1))
-        return (own.column(0), *shingles.shingle_sets(data, starts, ends, size))
+    def sets(held: pa.Scalar, places: list[int] | None = None):
+        texts = unpacked(held.as_buffer()).column(text_at)
+        return shingles.shingle_sets(*text_bytes(texts if places is None else texts.take(pa.array(places))), size)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([*repeats.SCHEMA, pa.field("docs", pa.binary())])
         for batch in batches:
             for chunk_id, held in zip(*batch.columns, strict=True):
                 own = chunk_id.as_py()
-                ids, keys, edges = sets(held)
+                ids = unpacked(held.as_buffer()).column(id_at)
+                keys, edges = sets(held)
                 n = np.diff(edges)
                 first = np.where(n > 0, n - -(-similarity.top * n // similarity.bottom) + 1, 0)
                 at = _ordered(keys, edges, *last.value, first)
                 doc, tile = (keys[at] >> np.uint64(shingles.HASH_BITS)).astype(np.int64), keys[at] & shingles.HASH
                 spread = shingles.mix(tile)
                 distinct, zero, marks, place = repeats.distinct(spread, np.zeros(len(spread), np.uint32), True)
-                sent = repeats.messages(own, KEY, distinct, zero, marks, buckets)
+                sent = repeats.messages(own, KEY, distinct, zero[:0], marks, to)
                 yield pa.RecordBatch.from_arrays([*sent.columns, pa.nulls(len(sent), pa.binary())], schema=schema)
                 a, b = shingles.set_hashes(keys, edges)
                 hashes = keys & shingles.HASH
-                signs = [shingles.signature(hashes[lo:hi]) if lo < hi else b"" for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-                starts = np.searchsorted(doc, np.arange(len(n) + 1))
+                each = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+                signs = pa.array([shingles.signature(hashes[lo:hi], BITS) for lo, hi in each], pa.binary())
+                starts = pa.array(np.searchsorted(doc, np.arange(len(n) + 1)), pa.int32())
                 rows = pa.table({
-                    "doc_id": ids, "n": n, "set0": a.astype(np.int64), "set1": b.astype(np.int64), "signature": pa.array(signs, pa.binary()),
-                    "tiles": pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(tile.astype(np.int64))),
-                    "places": pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(place)),
+                    "doc_id": ids, "n": n, "set0": a.astype(np.int64), "set1": b.astype(np.int64), "signature": signs,
+                    "tiles": pa.ListArray.from_arrays(starts, pa.array(tile.astype(np.int64))), "places": pa.ListArray.from_arrays(starts, pa.array(place)),
                 })
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                    out.write_table(rows)
-                yield pa.RecordBatch.from_pylist([{"chunk_id": own, "kind": -1, "docs": sink.getvalue().to_pybytes()}], schema)
+                yield pa.RecordBatch.from_pylist([{"chunk_id": own, "kind": -1, "docs": packed(rows.combine_chunks().to_batches()[0])}], schema)
 
-    keyed_sets = scratch.keep(chunks.select("chunk_id", "docs").mapInArrow(keyed, repeats.MESSAGES + ", docs binary"), "keyed")
+    # Bucketed by chunk like the chunks: what is asked of a chunk's rows goes to them, and they are sent on once.
+    keyed_sets = scratch.keep_bucketed(chunks.select("chunk_id", "docs").mapInArrow(trimmed(keyed), repeats.MESSAGES + ", docs binary"), "keyed", "chunk_id")
     answers = repeats.answered(keyed_sets.where("kind >= 0").drop("docs"), partitions)
     by_chunk = answers.groupBy("chunk_id").agg(F.collect_list(F.struct("kind", "bucket", "n", "again", "varied")).alias("answers"))
+    held_rows = keyed_sets.where("kind = -1").select("chunk_id", "docs")
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each document with those of its tiles that any other document is in too."""
         for batch in batches:
-            for chunk_id, held, got in zip(*batch.columns, strict=True):
-                t = pa.ipc.open_stream(held.as_buffer()).read_all().combine_chunks()
-                again = repeats.bits(got.as_py() or [], KEY, "again")
-                tiles, places = (t.column(c).combine_chunks() for c in ("tiles", "places"))
-                offsets = np.frombuffer(tiles.buffers()[1], np.int32)[: len(t) + 1]
-                shared = again[places.values.to_numpy()] if len(places.values) else np.empty(0, bool)
-                kept = np.concatenate([[0], np.cumsum(shared)])[offsets]
-                row = chunk_id.as_py() * shingles.MOST_DOCS + np.arange(len(t))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row, pa.int64()), *(t.column(c).combine_chunks() for c in ("doc_id", "n", "set0", "set1", "signature")), pa.ListArray.from_arrays(pa.array(kept, pa.int32()), pa.array(tiles.values.to_numpy()[shared], pa.int64()))],
-                    ["row", "doc_id", "n", "set0", "set1", "signature", "tiles"],
-                )
-
-    asked = keyed_sets.where("kind = -1").select("chunk_id", "docs").join(by_chunk, "chunk_id", "left").select("chunk_id", "docs", "answers")
-    rows = scratch.keep(asked.mapInArrow(rows_of, DOCS + ", tiles array<long>"), "rows")
-    scratch.drop("keyed")
+            for chunk_id, held in zip(*batch.columns, strict=True):
+                t = unpacked(held.as_buffer())
+                row = pa.array(chunk_id.as_py() * shingles.MOST_DOCS + np.arange(len(t)), pa.int64())
+                yield pa.RecordBatch.from_arrays([row, *(t.column(c) for c in ("doc_id", "n", "set0", "set1"))], ["row", "doc_id", "n", "set0", "set1"])
 
+    rows = scratch.keep(held_rows.mapInArrow(trimmed(rows_of), DOCS), "rows")
     # Equal sets are one vertex: the least of their rows.
-    some = rows.where("size(tiles) > 0")
-    least = some.groupBy("n", "set0", "set1").agg(F.min("row").alias("vertex"))
-    vertex = scratch.keep(some.select("row", "n", "set0", "set1").join(least, ["n", "set0", "set1"]).select("row", "vertex"), "vertex")
-    heads = some.join(vertex.where("row = vertex").select("row"), "row", "left_semi")
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(similarity.bottom / similarity.top))).cast("int")
-    tiles = scratch.keep(heads.select("row", "n", band.alias("band"), F.explode("tiles").alias("tile")), "tiles")
-    heads = scratch.keep(heads.select("row", "n", "signature"), "heads")
-
-    fits = lambda a, b: (F.least(a, b) * similarity.bottom >= F.greatest(a, b) * similarity.top)
-    smallest = tiles.groupBy("tile", "band").agg(F.min(F.struct("n", "row")).alias("s"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    star = tiles.join(smallest.select("tile", "band", F.col("s.row").alias("b"), F.col("s.n").alias("nb")), ["tile", "band"])
-    star = star.where((F.col("row") != F.col("b")) & fits(F.col("n"), F.col("nb"))).select(F.col("row").alias("a"), "b").distinct()
-    links = scratch.keep(_verified(star, heads, chunks, sets, similarity, scratch, "star"), "links")
-    classes = connected_components(links, scratch, "class")
-
-    # Tiles, with the bands next to them, in which classes still differ.
-    own = tiles.join(classes.withColumnRenamed("node", "row"), "row", "left").withColumn("class", F.coalesce("component", "row")).drop("component")
-    own = scratch.keep(own, "classed")
-    mixed = own.groupBy("tile").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("tile")
-    left = own.join(mixed, "tile", "left_semi")
-    right = left.select("tile", F.col("row").alias("b"), F.col("n").alias("nb"), F.col("band").alias("bandb"), F.col("class").alias("classb"))
-    near = left.withColumn("bandb", F.explode(F.array(F.col("band"), F.col("band") + 1)))
-    rest = near.join(right, ["tile", "bandb"]).where((F.col("class") != F.col("classb")) & fits(F.col("n"), F.col("nb")) & ((F.col("band") != F.col("bandb")) | (F.col("row") < F.col("b"))))
-    rest = rest.select(F.greatest("row", "b").alias("a"), F.least("row", "b").alias("b")).distinct()
-    more = scratch.keep(_verified(rest, heads, chunks, sets, similarity, scratch, "rest"), "more")
-    stars = classes.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    classes = connected_components(stars.union(more), scratch, "merged") if not more.isEmpty() else classes
-
-    of_row = rows.select("row", "doc_id", "n").join(vertex, "row", "left")
-    of_row = of_row.join(classes.withColumnRenamed("node", "vertex"), "vertex", "left").withColumn("class", F.coalesce("component", "vertex", "row")).drop("component", "vertex")
-    shared = vertex.select(F.col("vertex").alias("class")).union(classes.select(F.col("component").alias("class"))).distinct()
-    ids = of_row.join(shared, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("component_id"))
-    return of_row.join(ids, "class", "left").select("row", "doc_id", "n", F.coalesce("component_id", "doc_id").alias("component_id"))
-
-
-def _verified(pairs: DataFrame, heads: DataFrame, chunks: DataFrame, sets, similarity: Similarity, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (a, b) that are linked: by signatures first, then by exact intersection."""
-    top, bottom = similarity.top, similarity.bottom
-
-    @F.pandas_udf("boolean")
-    def possible(n: pd.Series, a: pd.Series, m: pd.Series, b: pd.Series) -> pd.Series:
-        # bottom * I >= top * (n + m - I), and I = (n + m - difference) / 2.
-        return pd.Series([(bottom - top) * (x + y) >= (bottom + top) * shingles.least_difference(s, t) for x, s, y, t in zip(n, a, m, b, strict=True)], dtype=bool)
-
-    side = lambda k: heads.select(F.col("row").alias(k), F.col("n").alias(f"n{k}"), F.col("signature").alias(f"s{k}"))
-    close = pairs.join(side("a"), "a").join(side("b"), "b").where(possible("na", "sa", "nb", "sb")).select("a", "b")
-    close = scratch.keep(close, f"{name}-close")
-    wanted = close.select(F.col("a").alias("row")).union(close.select(F.col("b").alias("row"))).distinct()
-    wanted = wanted.groupBy(F.expr(f"row div {shingles.MOST_DOCS}").alias("chunk_id")).agg(F.collect_list(F.expr(f"CAST(row % {shingles.MOST_DOCS} AS INT)")).alias("places"))
+    some = rows.where("n > 0")
+    least = some.groupBy("n", "set0", "set1").agg(F.min("row").alias("vertex"), F.count(F.lit(1)).alias("copies"))
+    copies = scratch.keep(some.join(least.where("copies > 1"), ["n", "set0", "set1"]).where("row <> vertex").select("row", "vertex"), "copies")
+    surplus = copies.groupBy(_chunk().alias("chunk_id")).agg(F.collect_list(_place()).alias("surplus"))
 
-    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The tiles of each vertex that any other row is in too.
+
+        A tile takes a band of sizes and the next one, so that sets of similar size meet in one at least.
+        """
         for batch in batches:
-            for chunk_id, held, places in zip(*batch.columns, strict=True):
-                _, keys, edges = sets(held)
-                hashes = keys & shingles.HASH
-                own = sorted(places.as_py())
-                for lo in range(0, len(own), 256):
-                    part = own[lo : lo + 256]
-                    yield pa.RecordBatch.from_arrays([pa.array([chunk_id.as_py() * shingles.MOST_DOCS + p for p in part], pa.int64()), pa.array([hashes[edges[p] : edges[p + 1]].tobytes() for p in part], pa.binary())], ["row", "sorted"])
+            for chunk_id, held, got, drop in zip(*batch.columns, strict=True):
+                t = unpacked(held.as_buffer())
+                again = repeats.bits(got.as_py() or [], KEY, "again")
+                tiles, places = t.column("tiles"), t.column("places")
+                doc = np.repeat(np.arange(len(t)), np.diff(np.frombuffer(tiles.buffers()[1], np.int32)[: len(t) + 1]))
+                kept = again[places.values.to_numpy()] if len(doc) else np.empty(0, bool)
+                kept &= ~np.isin(doc, np.array(drop.as_py() or [], np.int64))
+                doc, tile = doc[kept], tiles.values.to_numpy()[kept].astype(np.uint64)
+                band = np.floor(np.log(np.maximum(1, t.column("n").to_numpy()[doc])) / np.log(similarity.bottom / similarity.top)).astype(np.int64)
+                row = chunk_id.as_py() * shingles.MOST_DOCS + doc
+                ids = [shingles.mix(tile ^ shingles.mix((band - k).astype(np.uint64))).astype(np.int64) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids), pa.int64()), pa.array(np.concatenate([row, row]), pa.int64())], ["tile", "row"])
+
+    members = scratch.keep(held_rows.join(by_chunk, "chunk_id").join(surplus, "chunk_id", "left").select("chunk_id", "docs", "answers", "surplus").mapInArrow(trimmed(tiled), "tile long, row long"), "members")
+    tiles = scratch.keep(_sized(members), "tiles")
+    scratch.drop("members")
+    del members, some, least, by_chunk, answers
+    scratch.free()
+
+    asked = scratch.keep(_proposed_pairs(tiles, held_rows, similarity, partitions).distinct(), "asked")
+    del tiles
+    scratch.free()
+    # Whatever is linked is in one component of the pairs that may be; there sets are intersected exactly.
+    groups = scratch.keep(connected_components(asked, scratch, "group"), "groups").select(F.col("node").alias("row"), F.col("component").alias("tile"))
+    groups = groups.join(groups.groupBy("tile").agg(F.count(F.lit(1)).alias("size")), "tile")
+    links = scratch.keep(_linked(groups, chunks, sets, similarity, partitions), "links")
+    del groups, asked
+    scratch.free()
+    classes = scratch.keep(connected_components(links, scratch, "class"), "classes")
+
+    of_row = rows.select("row", "doc_id", "n").join(copies, "row", "left").withColumn("vertex", F.coalesce("vertex", "row"))
+    of_row = of_row.join(classes.select(F.col("node").alias("vertex"), "component"), "vertex", "left")
+    return of_row.withColumn("class", F.coalesce("component", "vertex")).drop("component", "vertex"), chunks
+
+
+def _sized(members: DataFrame) -> DataFrame:
+    """members (tile, row) with the size of each tile, tiles of one row left out, and of tiles with the same rows all but one."""
+    sizes = members.groupBy("tile").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("row")).alias("all"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("also"))
+    return members.join(sizes.where("size > 1").groupBy("size", "all", "also").agg(F.min("tile").alias("tile")).select("tile", "size"), "tile")
+
+
+def _chunk():
+    return F.expr(f"row div {shingles.MOST_DOCS}")
+
+
+def _place():
+    return F.expr(f"CAST(row % {shingles.MOST_DOCS} AS INT)")
+
+
+def _asked(groups: DataFrame, block: int) -> DataFrame:
+    """(chunk_id, asked): for each chunk its rows' places, and the groups and pairs of blocks they are wanted in."""
+    dealt = block_pairs(groups, "tile", "row", "size", block)
+    return dealt.groupBy(_chunk().alias("chunk_id")).agg(F.collect_list(F.struct(_place().alias("place"), "pair", "tile")).alias("asked"))
+
+
+def _wanted(asked: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in order, with their pairs and tiles."""
+    found = asked.values
+    place, pair, tile = (found.field(k).to_numpy() for k in range(3))
+    order = np.argsort(place, kind="stable")
+    return place[order].astype(np.int64), pair[order], tile[order]
 
-    whole = scratch.keep(chunks.select("chunk_id", "docs").join(wanted, "chunk_id").select("chunk_id", "docs", "places").mapInArrow(arrays, "row long, sorted binary"), f"{name}-arrays")
 
-    @F.pandas_udf("boolean")
-    def linked(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = np.sort(np.concatenate([x, y]))
-            out.append(similarity.linked(len(x), len(y), int((both[1:] == both[:-1]).sum())))
-        return pd.Series(out, dtype=bool)
+def _proposed_pairs(tiles: DataFrame, held_rows: DataFrame, similarity: Similarity, partitions: int, block: int = 1024) -> DataFrame:
+    """(a, b): pairs that may be linked by size and signature, a least spanning forest of them for each tile.
+
+    A tile of more than `block` rows is dealt into pairs of blocks. The rows' signatures are taken from
+    their chunks and shuffled once, to where their tile is looked at.
+    """
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk_id, held, asked in zip(*batch.columns, strict=True):
+                t = unpacked(held.as_buffer())
+                place, pair, tile = _wanted(asked)
+                own = t.select(["n", "signature"]).take(pa.array(place))
+                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(tile), pa.array(chunk_id.as_py() * shingles.MOST_DOCS + place, pa.int64()), *own.columns], ["pair", "tile", "row", "n", "signature"])
+
+    dealt = held_rows.join(_asked(tiles, block), "chunk_id").select("chunk_id", "docs", "asked").mapInArrow(trimmed(signed), "pair long, tile long, row long, n long, signature binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "pair"):
+            pair, tile, row, n = (table.column(c).to_numpy() for c in ("pair", "tile", "row", "n"))
+            signs, found = table.column("signature"), []
+            edges = bounds(pair, tile)
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                if hi - lo > 1:
+                    apart = shingles.least_differences([signs[k].as_buffer().to_pybytes() for k in range(lo, hi)])
+                    both = n[lo:hi, None] + n[None, lo:hi]
+                    # bottom * I >= top * (n + m - I) with I = (n + m - difference) / 2.
+                    cost = np.where((similarity.bottom - similarity.top) * both >= (similarity.bottom + similarity.top) * apart, apart + 1, -1)
+                    found += _proposed(row[lo:hi], cost)
+            columns = list(zip(*found, strict=True)) or [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
+
+    return dealt.repartition(partitions, "pair").sortWithinPartitions("pair", "tile", "row").mapInArrow(trimmed(run), "a long, b long")
+
+
+def _proposed(row: np.ndarray, cost: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of a least spanning forest: no more than there are rows, however many may be linked."""
+    return [tuple(sorted((int(row[a]), int(row[b])), reverse=True)) for a, b in shingles.forest(cost)]
 
-    side = lambda k: whole.select(F.col("row").alias(k), F.col("sorted").alias(f"s{k}"))
-    return close.join(side("a"), "a").join(side("b"), "b").where(linked("sa", "sb")).select("a", "b")
+
+def _linked(groups: DataFrame, chunks: DataFrame, sets, similarity: Similarity, partitions: int, block: int = 1024) -> DataFrame:
+    """(a, b): links within each group, by exact intersection of sorted arrays; a spanning forest of them.
+
+    The arrays are made again from the rows' chunks and shuffled once.
+    """
+
+    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk_id, held, asked in zip(*batch.columns, strict=True):
+                place, pair, tile = _wanted(asked)
+                for lo in range(0, len(place), 256):
+                    part = slice(lo, lo + 256)
+                    rows, at = np.unique(place[part], return_inverse=True)
+                    keys, edges = sets(held, rows.tolist())
+                    own = [(keys & shingles.HASH)[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(pair[part]), pa.array(tile[part]), pa.array(chunk_id.as_py() * shingles.MOST_DOCS + place[part], pa.int64()), pa.array([own[k] for k in at], pa.binary())], ["pair", "tile", "row", "sorted"])
+
+    dealt = chunks.select("chunk_id", "docs").join(_asked(groups, block), "chunk_id").select("chunk_id", "docs", "asked").mapInArrow(trimmed(arrays), "pair long, tile long, row long, sorted binary")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "pair"):
+            pair, tile, row = (table.column(c).to_numpy() for c in ("pair", "tile", "row"))
+            arrays, found = table.column("sorted"), []
+            edges = bounds(pair, tile)
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                if hi - lo > 1:
+                    held = [np.frombuffer(arrays[k].as_buffer(), np.uint64) for k in range(lo, hi)]
+                    common, n = shingles.overlaps(held), np.array([len(x) for x in held])
+                    cost = np.where(similarity.bottom * common >= similarity.top * (n[:, None] + n[None, :] - common), 1, -1)
+                    found += _proposed(row[lo:hi], cost)
+            columns = list(zip(*found, strict=True)) or [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
+
+    return dealt.repartition(partitions, "pair").sortWithinPartitions("pair", "tile", "row").mapInArrow(trimmed(link), "a long, b long")
 
 
 def one_of_each(docs: DataFrame, scratch: Scratch, similarity: Similarity = Similarity()) -> DataFrame:
-    """docs with one document of each component, the one of least doc_id.
+    """docs with one row of each component: that of the least doc_id, of equal ids the first as read.
 
-    Rows of that same id in one component are ordered by their place in the table. Rows with a null
-    id are kept where their component has no id.
+    A row with a null id stays if its component has no other. All columns are kept. Documents are
+    taken from their chunks, so only places are shuffled.
     """
-    found = joined(docs, scratch, similarity)
-    first = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("row")).alias("alone")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
-    kept = first.select(F.col("first.doc_id").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    own = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    found, chunks = _classes(own, scratch, similarity)
+    first = found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")).select(F.col("first.row").alias("row"))
+    places = first.groupBy(_chunk().alias("chunk_id")).agg(F.collect_list(_place()).alias("places"))
+
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for held, kept in zip(*batch.columns, strict=True):
+                yield unpacked(held.as_buffer()).take(pa.array(sorted(kept.as_py())))
+
+    return chunks.select("chunk_id", "docs").join(places, "chunk_id").select("docs", "places").mapInArrow(trimmed(taken), own.schema)

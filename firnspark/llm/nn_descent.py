@@ -18,8 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from firnspark.llm.common import Scratch, parts
+from firnspark.llm.common import Scratch, parts, trimmed
 from firnspark.llm.components import connected_components
+from firnspark.llm.groups import block_pairs, bounds, whole_groups
 
 EDGES = "u long, v long, sim float"
 EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("sim", pa.float32())])
@@ -55,24 +56,6 @@ def unit(values: np.ndarray | None) -> np.ndarray | None:
     return x / np.sqrt((x * x).sum())
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Rows sorted by key, in tables that never cut a group."""
-    rest: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not len(batch):
-            continue
-        k = batch.column(key).to_numpy()
-        if rest and rest[-1].column(key)[-1].as_py() == k[-1]:
-            rest.append(batch)
-            continue
-        cut = int(np.searchsorted(k, k[-1], side="left"))
-        if cut or rest:
-            yield pa.Table.from_batches([*rest, batch.slice(0, cut)]).combine_chunks()
-        rest = [batch.slice(cut)]
-    if rest:
-        yield pa.Table.from_batches(rest).combine_chunks()
-
-
 def _matrix(column: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), kind) for x in column]
 
@@ -117,7 +100,7 @@ def started(nodes: DataFrame, n: int, seed: int, threshold: float, s: Settings)
                     out.append(f"{table}:{key}:{np.packbits(signs).tobytes().hex()}")
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), batch.column("node"), batch.column("v32")], ["cell", "u", "v32"])
 
-    dealt = nodes.select("node", "v32").mapInArrow(cells, "cell string, u long, v32 binary")
+    dealt = nodes.select("node", "v32").mapInArrow(trimmed(cells), "cell string, u long, v32 binary")
     # A cell as large as a third of all vectors is many blocks: its members are dealt by hash, in numbers known beforehand.
     sizes = dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("size"))
     dealt = dealt.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("u", F.lit(seed)), F.ceil(F.col("size") / s.block)))
@@ -128,7 +111,7 @@ def started(nodes: DataFrame, n: int, seed: int, threshold: float, s: Settings)
         for table in whole_groups(batches, "cell"):
             cell, u, found = table.column("cell").to_numpy(), table.column("u").to_numpy(), []
             x = _matrix(table.column("v32"), np.float32)
-            edges = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)]
+            edges = bounds(cell)
             for lo, hi in zip(edges, edges[1:], strict=False):
                 for at in range(lo, hi, 4 * s.block):  # hashed cells that meet in one number stay small blocks
                     own = x[at : min(hi, at + 4 * s.block)]
@@ -137,7 +120,7 @@ def started(nodes: DataFrame, n: int, seed: int, threshold: float, s: Settings)
                         found.append(_top(u[at : at + len(own)], m @ m.T, np.full(len(own), -2.0), threshold, s.neighbours))
             yield _edges(found)
 
-    return dealt.repartition(p, "cell").sortWithinPartitions("cell", "u").mapInArrow(compare, EDGES)
+    return dealt.repartition(p, "cell").sortWithinPartitions("cell", "u").mapInArrow(trimmed(compare), EDGES)
 
 
 def best_lists(edges: DataFrame, most: int) -> DataFrame:
@@ -165,7 +148,7 @@ def refined(lists: DataFrame, fresh: DataFrame, nodes: DataFrame, n: int, thresh
             u, v, found = table.column("u").to_numpy(), table.column("v").to_numpy(), []
             least = table.column("least").to_numpy()
             x = _matrix(table.column("v32"), np.float32)
-            edges = [0, *(np.flatnonzero(u[1:] != u[:-1]) + 1).tolist(), len(u)]
+            edges = bounds(u)
             for lo, hi in zip(edges, edges[1:], strict=False):
                 if hi - lo > 1:
                     m = np.stack(x[lo:hi])
@@ -173,7 +156,7 @@ def refined(lists: DataFrame, fresh: DataFrame, nodes: DataFrame, n: int, thresh
             yield _edges(found)
 
     joined = around.select("u", "v").join(targets, "v").select("u", "v", "least", "v32")
-    return joined.repartition(p, "u").sortWithinPartitions("u").mapInArrow(local_join, EDGES)
+    return joined.repartition(p, "u").sortWithinPartitions("u").mapInArrow(trimmed(local_join), EDGES)
 
 
 def _double(nodes: DataFrame, node: str, x: str) -> DataFrame:
@@ -203,20 +186,14 @@ def degrees(members: DataFrame, n: int, threshold: float, block: int = 1024) ->
     two of its blocks meet in a group, and only one count for each row leaves it.
     """
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    dealt = members.join(sizes.where("size > 1"), "component").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.withColumn("other", other).select(
-        F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("pair"), "component", "own", F.greatest("own", "other").alias("high"), F.least("own", "other").alias("low"), "node", "weight", "x"
-    )
+    dealt = block_pairs(members.join(sizes.where("size > 1"), "component"), "component", "node", "size", block).drop("size")
     p = max(parts(members.sparkSession), n // 50_000)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "pair"):
             pair, component, own, low, high, node, weight = (table.column(c).to_numpy() for c in ("pair", "component", "own", "low", "high", "node", "weight"))
             x, found = _matrix(table.column("x"), np.float64), []
-            key = np.stack([pair, component, low, high])
-            edges = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), len(pair)]
+            edges = bounds(pair, component, low, high)
             for lo, hi in zip(edges, edges[1:], strict=False):
                 a = np.arange(lo, hi)[own[lo:hi] == low[lo]]
                 b = np.arange(lo, hi)[own[lo:hi] == high[lo]]
@@ -231,7 +208,7 @@ def degrees(members: DataFrame, n: int, threshold: float, block: int = 1024) ->
             columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.empty(0, np.int64)] * 2
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1].astype(np.int64), pa.int64())], ["node", "degree"])
 
-    out = dealt.repartition(p, "pair").sortWithinPartitions("pair", "component", "low", "high").mapInArrow(count, "node long, degree long")
+    out = dealt.repartition(p, "pair").sortWithinPartitions("pair", "component", "low", "high").mapInArrow(trimmed(count), "node long, degree long")
     return out.groupBy("node").agg(F.sum("degree").alias("degree"))
 
 
@@ -260,7 +237,7 @@ def audited(nodes: DataFrame, components: DataFrame, threshold: float, queries:
                     found += int((close & (component[at][:, None] == np.array([q[1] for q in qs]))).sum())
         yield pa.RecordBatch.from_pydict({"true": [true], "found": [found]})
 
-    return tuple(int(v or 0) for v in labelled.mapInArrow(search, "true long, found long").agg(F.sum("true"), F.sum("found")).first())
+    return tuple(int(v or 0) for v in labelled.mapInArrow(trimmed(search), "true long, found long").agg(F.sum("true"), F.sum("found")).first())
 
 
 def near_duplicates(vectors: DataFrame, scratch: Scratch, threshold: float = 0.95, settings: Settings = Settings(), id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, dict]:
@@ -282,7 +259,7 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, threshold: float = 0.9
             found = [(r, x) for r, x in found if x is not None]
             yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in found], pa.int64()), pa.array([x.tobytes() for _, x in found], pa.binary())], ["row", "x"])
 
-    usable = scratch.keep(rows.select("row", "e").mapInArrow(units, "row long, x binary"), "units")
+    usable = scratch.keep(rows.select("row", "e").mapInArrow(trimmed(units), "row long, x binary"), "units")
     nodes = usable.groupBy("x").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("weight"))
     nodes = scratch.keep(nodes.select("node", "weight", "x", _narrow()("x").alias("v32")), "nodes")
     n = nodes.count()
@@ -300,6 +277,8 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, threshold: float = 0.9
             ties = ties.union(made.where(near))
             before, lists = lists, scratch.keep(best_lists(lists.union(made), s.neighbours), f"lists-{start}-{k + 1}")
             audit["rounds"] += 1
+            del fresh, made
+            scratch.free()
             if lists.join(before, ["u", "v"], "left_anti").count() <= s.settled * s.neighbours * n:
                 break
         pairs = ties.union(lists.where(near)).select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct()

@@ -32,34 +32,44 @@ def words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
     return Rolling(_LOWER[data], 0).spans(lo, hi), np.searchsorted(ends, lo, side="right")
 
 
-def shingle_sets(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingles of all documents, by document and then by hash, and where each document's begin.
-
-    A shingle is `size` words in a row; a document with fewer words, but at least one, has the
-    whole sequence as its only one.
-    """
+def _shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int, first: int) -> np.ndarray:
+    """Distinct shingles of some documents, the first of which is number `first` of its chunk."""
     word, doc = words(data, starts, ends)
     n = np.bincount(doc, minlength=len(starts)) if len(doc) else np.zeros(len(starts), np.int64)
     begin = np.concatenate([[0], np.cumsum(n)])
+    place = (np.arange(first, first + len(starts), dtype=U)) << U(HASH_BITS)
     keys = np.empty(0, U)
     if len(word) >= size:
         h = np.full(len(word) - size + 1, size, U)
         for j in range(size):
             h = mix(h * U(0x9E3779B97F4A7C15) + word[j : len(word) - size + 1 + j])
         at = np.flatnonzero(doc[: len(h)] == doc[size - 1 :])
-        keys = (doc[at].astype(U) << U(HASH_BITS)) | (h[at] & HASH)
+        keys = place[doc[at]] | (h[at] & HASH)
     few = np.flatnonzero((n > 0) & (n < size))
     if len(few):
         h = n[few].astype(U)
         for j in range(size - 1):
             on = n[few] > j
             h[on] = mix(h[on] * U(0x9E3779B97F4A7C15) + word[begin[few[on]] + j])
-        keys = np.concatenate([keys, (few.astype(U) << U(HASH_BITS)) | (h & HASH)])
+        keys = np.concatenate([keys, place[few] | (h & HASH)])
     keys = np.sort(keys)
-    if len(keys):
-        keys = keys[np.append(True, keys[1:] != keys[:-1])]
-    edges = np.searchsorted(keys, np.arange(len(starts) + 1, dtype=U) << U(HASH_BITS)) if len(starts) < MOST_DOCS else np.append(np.searchsorted(keys, np.arange(len(starts), dtype=U) << U(HASH_BITS)), len(keys))
-    return keys, edges
+    return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+
+
+def shingle_sets(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of all documents, by document and then by hash, and where each document's begin.
+
+    A shingle is `size` words in a row; a document with fewer words, but at least one, has the
+    whole sequence as its only one. Documents are taken `block` bytes at a time to bound memory.
+    """
+    found, lo = [np.empty(0, U)], 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + block, side="right")))
+        found.append(_shingles(data[starts[lo] : ends[hi - 1]], starts[lo:hi] - starts[lo], ends[lo:hi] - starts[lo], size, lo))
+        lo = hi
+    keys = np.concatenate(found)
+    edges = np.searchsorted(keys, np.arange(len(starts), dtype=U) << U(HASH_BITS)) if len(starts) else np.empty(0, np.int64)
+    return keys, np.append(edges, len(keys))
 
 
 def set_hashes(keys: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,29 +81,72 @@ def set_hashes(keys: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out[0], out[1]
 
 
-def width(n: int) -> int:
-    """Bits of the signature of a set of n shingles: a power of two, about half as many."""
-    return max(64, 1 << max(0, (n // 2 - 1).bit_length()))
+def width(n: int, per: float) -> int:
+    """Bits of the signature of a set of n shingles: a power of two, `per` to twice as many for each."""
+    return max(128, 1 << max(0, int(per * n) - 1).bit_length())
 
 
-def signature(hashes: np.ndarray) -> bytes:
+def signature(hashes: np.ndarray, per: float) -> bytes:
     """Each bit is the parity of the shingles hashed to it."""
-    bits = width(len(hashes))
+    bits = width(len(hashes), per)
     odd = np.bincount((hashes & U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def least_difference(a: bytes, b: bytes) -> int:
-    """At least this many shingles are in just one of the two sets.
+def least_differences(signatures: list[bytes]) -> np.ndarray:
+    """For every two sets, at least how many shingles are in just one of them.
 
-    Every bit in which the signatures differ takes one. The wider is folded to the other's width.
+    Every bit in which two signatures differ takes one such shingle. The wider of two is folded
+    to the other's width, which is the signature it would have had there.
+    """
+    out = np.zeros((len(signatures), len(signatures)), np.int32)
+    sizes = np.array([len(s) // 8 for s in signatures])
+    for w in sorted(set(sizes.tolist())):
+        own = np.flatnonzero(sizes == w)
+        wider = np.flatnonzero(sizes >= w)
+        folded = np.empty((len(wider), w), U)
+        for row, k in enumerate(wider.tolist()):
+            folded[row] = np.bitwise_xor.reduce(np.frombuffer(signatures[k], U).reshape(-1, w), axis=0)
+        for k in own.tolist():
+            out[k, wider] = out[wider, k] = np.bitwise_count(folded ^ folded[np.searchsorted(wider, k)]).sum(axis=1)
+    return out
+
+
+def overlaps(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """How many elements every two of these sorted sets have in common.
+
+    Elements of one set only are left out; the rest are columns of a 0-1 matrix, which is
+    multiplied by its transpose some columns at a time.
     """
-    x, y = (int.from_bytes(v, "little") for v in (a, b))
-    n, m = len(a) * 8, len(b) * 8
-    while n > m:
-        n //= 2
-        x = (x >> n) ^ (x & ((1 << n) - 1))
-    while m > n:
-        m //= 2
-        y = (y >> m) ^ (y & ((1 << m) - 1))
-    return (x ^ y).bit_count()
+    out = np.zeros((len(sets), len(sets)), np.float64)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.cumsum(n > 1) - 1
+    shared = n[column] > 1
+    row, column = row[shared], place[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
+        a, b = np.searchsorted(column, (lo, lo + columns))
+        part = np.zeros((len(sets), columns), np.float32)
+        part[row[a:b], column[a:b] - lo] = 1
+        out += part @ part.T
+    out[np.diag_indices(len(sets))] = [len(s) for s in sets]
+    return out.astype(np.int64)
+
+
+def forest(cost: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a least spanning forest (Prim's): cost below 0 marks no edge, 0 one that is there already."""
+    n = len(cost)
+    far = np.where(cost < 0, np.iinfo(np.int32).max, cost).astype(np.int64)
+    open_, best, frm, out = np.ones(n, bool), np.full(n, np.iinfo(np.int64).max), np.zeros(n, np.int64), []
+    for _ in range(n):
+        at = int(np.argmin(np.where(open_, best, np.iinfo(np.int64).max)))
+        if not open_[at] or best[at] >= np.iinfo(np.int32).max:
+            at = int(np.argmax(open_))  # nothing reaches the rest: a new tree
+        elif best[at] > 0:
+            out.append((int(frm[at]), at))
+        open_[at] = False
+        nearer = open_ & (far[at] < best)
+        best[nearer], frm[nearer] = far[at][nearer], at
+    return out
