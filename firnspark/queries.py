@@ -330,10 +330,10 @@ def transition_width(spark, sf_dir):
 
 def _lines(spark, sf_dir):
     """Users' tracks and customers' zones as polylines in degrees."""
-    own = _profile(spark, sf_dir).where("i % 10 = 0")
+    own = _profile(spark, sf_dir)
     point = F.struct("lon", "lat")
     tracks = own.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("i", point.alias("p")))).alias("s")).select(KEY, F.transform("s", lambda s: s["p"]).alias("points"))
-    c = table(spark, sf_dir, "customer").where("c_custkey <= 400")
+    c = table(spark, sf_dir, "customer")
     lon, lat = (-61.0 + (F.col("c_custkey") % 53) * 0.1), (80.0 + (F.col("c_custkey") % 31) * 0.01)
     at = lambda dx, dy: F.struct((lon + dx).alias("lon"), (lat + dy).alias("lat"))
     return tracks, c.select("c_custkey", F.array(at(0.0, 0.0), at(0.33, 0.031), at(0.71, -0.013)).alias("points"))

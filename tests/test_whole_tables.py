@@ -18,6 +18,7 @@ def events(spark, tmp_path_factory):
     users = [u for u, n in sizes.items() for _ in range(n)]
     rows = [(k, u, "click", start + datetime.timedelta(minutes=k), float(k)) for k, u in enumerate(users)]
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts timestamp, value double").write.parquet(f"{to}/events.parquet")
+    spark.range(1, 601).withColumnRenamed("id", "c_custkey").write.parquet(f"{to}/customer.parquet")
     return to, sizes
 
 
@@ -48,3 +49,33 @@ def test_layer_elevations_of_all_segments(spark, events):
         i = us // 2_000_000
         assert top is None if i % 5 == 0 else top == pytest.approx(surface, abs=1e-3)
         assert bed is None if i % 5 < 2 else bed == pytest.approx(surface - 8e-7 * LIGHT / math.sqrt(EARTH.permittivity) / 2, abs=1e-3)
+
+
+def test_lines_of_all_samples_and_customers(spark, events):
+    """A track runs along a meridian and a zone from west to east, so they share one point at most."""
+    to, sizes = events
+    clear, edge = {}, set()
+    for segment, n in sizes.items():
+        x, top = -60.0 + 0.5 * (segment % 10), 80.0 + 0.00448 * (n - 1)
+        for c in range(1, 601):
+            lon, lat = -61.0 + c % 53 * 0.1, 80.0 + c % 31 * 0.01
+            points = [(lon, lat), (lon + 0.33, lat + 0.031), (lon + 0.71, lat - 0.013)]
+            if min(abs(x - points[0][0]), abs(x - points[2][0])) < 1e-9:
+                edge.add((segment, c))
+            for (ax, ay), (bx, by) in zip(points, points[1:]):
+                if ax <= x <= bx:
+                    y = ay + (by - ay) * (x - ax) / (bx - ax)
+                    if min(abs(y - 80.0), abs(y - top)) < 1e-9:
+                        edge.add((segment, c))
+                    elif 80.0 < y < top:
+                        clear[segment, c] = y
+    clear = {k: y for k, y in clear.items() if k not in edge}
+    tail = {(s, c) for (s, c), y in clear.items() if y > 80.0 + 0.00448 * ((sizes[s] - 1) // 10 * 10) and s % 2 == 0}
+    assert tail and any(c > 400 for _, c in clear)
+    found = [(r.segment_id, r.c_custkey) for r in QUERIES["line_search"](spark, to).collect()]
+    assert len(found) == len(set(found)) and set(found) - edge == set(clear)
+    bounds = {(r.segment_id, r.c_custkey): r for r in QUERIES["zone_bounds"](spark, to).collect()}
+    assert set(bounds) == set(found)
+    for k, y in clear.items():
+        r = bounds[k]
+        assert (r.first_lat, r.last_lat, r.last_lon) == pytest.approx((y, y, -60.0 + 0.5 * (k[0] % 10)), abs=2e-6)
