@@ -1,9 +1,9 @@
 """Near-duplicate vectors by NN-descent: a neighbour graph refined through neighbours of neighbours.
 
 The graph starts from blocks of vectors with equal random signs and is refined until lists hardly
-change. Threshold edges give components. Where a vector's list is saturated (all of it above the
-threshold) the list is enlarged to its whole component: members are compared block by block, and
-only counts leave the blocks. Recall is audited against brute force for a fixed number of queries,
+change. Where a vector's list is saturated (all of it above the threshold) the vector is compared
+with all others in blocks, of which a spanning forest of the links leaves. Threshold edges give
+components; their members are compared block by block, and only counts leave the blocks. Recall is audited against brute force for a fixed number of queries,
 and rounds go on from new blocks while it is too low.
 """
 
@@ -212,6 +212,65 @@ def degrees(members: DataFrame, n: int, threshold: float, block: int = 1024) ->
     return out.groupBy("node").agg(F.sum("degree").alias("degree"))
 
 
+def _forest(close: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of a spanning forest of the links between rows and columns."""
+    rows, columns = close.any(axis=1), np.ones(close.shape[1], bool)
+    found = [(np.empty(0, np.int64),) * 2]
+    for first in np.flatnonzero(rows):
+        queue = [first] if rows[first] else []
+        rows[first] = False
+        while queue:
+            r = queue.pop()
+            new = np.flatnonzero(close[r] & columns)
+            columns[new] = False
+            found.append((np.full(len(new), r), new))
+            for c in new:
+                tied = np.flatnonzero(rows & close[:, c])
+                rows[tied] = False
+                found.append((tied, np.full(len(tied), c)))
+                queue.extend(tied)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def compared(asked: DataFrame, nodes: DataFrame, n: int, threshold: float, block: int = 4096) -> DataFrame:
+    """EDGES that join whatever the links between the nodes `asked` (u) and all nodes join, in double precision.
+
+    Every block of `asked` meets every block of nodes: exact, at a cost of asked times n.
+    """
+    m = asked.count()
+    if not m:
+        return nodes.sparkSession.createDataFrame([], EDGES)
+    high, wide = -(-m // block), -(-n // block)
+    place = lambda k: F.pmod(F.xxhash64("node"), F.lit(k)).cast("long")
+    each = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
+    left = nodes.join(asked.select(F.col("u").alias("node")), "node", "left_semi").select("node", "x", F.lit(0).alias("side"), place(high).alias("a")).withColumn("b", each(wide))
+    right = nodes.select("node", "x", F.lit(1).alias("side"), place(wide).alias("b")).withColumn("a", each(high))
+    dealt = left.unionByName(right).withColumn("pair", F.col("a") * wide + F.col("b"))
+    p = max(parts(nodes.sparkSession), m * n // (block * 200_000))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "pair"):
+            pair, side, node = (table.column(c).to_numpy() for c in ("pair", "side", "node"))
+            x, found = _matrix(table.column("x"), np.float64), []
+            size = np.array([len(v) for v in x])
+            edges = bounds(pair)
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                own = np.arange(lo, hi)
+                for d in np.unique(size[lo:hi]):
+                    a, b = (own[(side[lo:hi] == k) & (size[lo:hi] == d)] for k in (0, 1))
+                    if not len(a) or not len(b):
+                        continue
+                    other = np.stack([x[k] for k in b]).T
+                    for at in range(0, len(a), 1024):
+                        some = a[at : at + 1024]
+                        close = (np.stack([x[k] for k in some]) @ other >= threshold) & (node[some][:, None] != node[b])
+                        r, c = _forest(close)
+                        found.append((node[some[r]], node[b[c]], np.ones(len(r))))
+            yield _edges(found)
+
+    return dealt.repartition(p, "pair").sortWithinPartitions("pair").mapInArrow(trimmed(compare), EDGES)
+
+
 def audited(nodes: DataFrame, components: DataFrame, threshold: float, queries: int) -> tuple[int, int]:
     """Links of the queries (the nodes of least hash, a fixed number) by brute force, and how many are within components."""
     labelled = nodes.join(components, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "x")
@@ -266,6 +325,7 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, threshold: float = 0.9
     audit = {"rounds": 0, "links": 0, "found": 0, "recall": 1.0}
     close = components = None
     lists = spark.createDataFrame([], EDGES)
+    whole = lists.select("u")
     near = F.col("sim") >= threshold - 1e-4
     for start in range(s.starts):
         made = scratch.keep(started(nodes, n, 11 + start, threshold, s), f"start-{start}")
@@ -284,6 +344,11 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, threshold: float = 0.9
         pairs = ties.union(lists.where(near)).select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct()
         linked = _cosine_at_least(threshold)
         pairs = pairs.join(_double(nodes, "a", "xa"), "a").join(_double(nodes, "b", "xb"), "b").where(linked("xa", "xb")).select("a", "b")
+        saturated = lists.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("sim")).where((F.col("n") >= s.neighbours) & near).select("u")
+        saturated = scratch.keep(saturated.join(whole, "u", "left_anti"), f"saturated-{start}")
+        whole = whole.union(saturated)
+        made = scratch.keep(compared(saturated, nodes, n, threshold), f"compared-{start}")
+        pairs = pairs.union(made.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b"))).distinct()
         close = scratch.keep(pairs if close is None else pairs.union(close).distinct(), f"close-{start}")
         components = scratch.keep(connected_components(close, scratch, f"component-{start}"), f"components-{start}")
         audit["links"], audit["found"] = audited(nodes, components, threshold, s.audit)

@@ -209,6 +209,22 @@ def test_nn_descent(spark):
     assert audit["recall"] == 1.0 and len(got) == len(rows)
 
 
+def test_sparse_links_between_crowded_groups(spark):
+    """Every list is full of its own group, and few vectors of two groups link."""
+    rng = np.random.default_rng(4)
+    base, rows = np.eye(24), []
+    for g in range(6):
+        own, angle = base[4 * g : 4 * g + 2], np.arccos(0.934)
+        for centre in (own[0], np.cos(angle) * own[0] + np.sin(angle) * own[1]):
+            rows += [(len(rows) + k, (centre + rng.normal(size=24) * 0.016).tolist()) for k in range(60)]
+    links, _ = brute_vectors(rows, 0.95)
+    across = [(a, b) for a, b in links if a // 60 != b // 60]
+    assert across and len(across) < 0.02 * len(links)
+    found = nn_descent.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), Scratch(spark, "t"), settings=nn_descent.Settings(neighbours=5, signs=2, cell=8, rounds=2, starts=1))[0]
+    n, least = Counter(k for e in links for k in e), components(range(len(rows)), links)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in found.collect()} == {k: (n[k], least[k]) for k in range(len(rows))}
+
+
 def test_nn_descent_edge_tables(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert nn_descent.near_duplicates(empty, Scratch(spark, "t"))[0].count() == 0
