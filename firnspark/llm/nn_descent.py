@@ -3,12 +3,14 @@
 The graph starts from blocks of vectors with equal random signs and is refined until lists hardly
 change. Where a vector's list is saturated (all of it above the threshold) the vector is compared
 with all others in blocks, of which a spanning forest of the links leaves. Threshold edges give
-components; their members are compared block by block, and only counts leave the blocks. Recall is audited against brute force for a fixed number of queries,
-and rounds go on from new blocks while it is too low.
+components; their members are compared block by block, and only counts leave the blocks. Recall is audited against brute force for a fixed number of queries:
+it is the share of those with links that have all of them. Rounds go on from new blocks while it is
+too low; if it stays so, or no query has links to judge by, all vectors are compared in blocks.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -271,19 +273,20 @@ def compared(asked: DataFrame, nodes: DataFrame, n: int, threshold: float, block
     return dealt.repartition(p, "pair").sortWithinPartitions("pair").mapInArrow(trimmed(compare), EDGES)
 
 
-def audited(nodes: DataFrame, components: DataFrame, threshold: float, queries: int) -> tuple[int, int]:
-    """Links of the queries (the nodes of least hash, a fixed number) by brute force, and how many are within components."""
+def audited(nodes: DataFrame, components: DataFrame, threshold: float, queries: int) -> tuple[int, int, int, int]:
+    """Links of the queries (the nodes of least hash, a fixed number) by brute force, and how many are within
+    components; the queries that have links, and how many have all of them within components."""
     labelled = nodes.join(components, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "x")
     asked = labelled.orderBy(F.xxhash64("node", F.lit("audit")), "node").limit(queries).toPandas()
     if not len(asked):
-        return 0, 0
+        return 0, 0, 0, 0
     own = nodes.sparkSession.sparkContext.broadcast([(k, c, np.frombuffer(x)) for k, c, x in asked.itertuples(index=False)])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[int, list] = {}
         for q in own.value:
             by.setdefault(len(q[2]), []).append(q)
-        true = found = 0
+        true, found = Counter(), Counter()
         for batch in batches:
             node, component = (batch.column(c).to_numpy() for c in ("node", "component"))
             x = _matrix(batch.column("x"), np.float64)
@@ -292,11 +295,15 @@ def audited(nodes: DataFrame, components: DataFrame, threshold: float, queries:
                 if at:
                     close = np.stack([x[k] for k in at]) @ np.stack([q[2] for q in qs]).T >= threshold
                     close &= node[at][:, None] != np.array([q[0] for q in qs])
-                    true += int(close.sum())
-                    found += int((close & (component[at][:, None] == np.array([q[1] for q in qs]))).sum())
-        yield pa.RecordBatch.from_pydict({"true": [true], "found": [found]})
+                    within = close & (component[at][:, None] == np.array([q[1] for q in qs]))
+                    for q, t, f in zip(qs, close.sum(axis=0), within.sum(axis=0), strict=True):
+                        true[q[0]] += int(t)
+                        found[q[0]] += int(f)
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] if x else k for k in true], pa.int64()) for x in (None, true, found)], ["node", "true", "found"])
 
-    return tuple(int(v or 0) for v in labelled.mapInArrow(trimmed(search), "true long, found long").agg(F.sum("true"), F.sum("found")).first())
+    of_query = labelled.mapInArrow(trimmed(search), "node long, true long, found long").groupBy("node").agg(F.sum("true").alias("true"), F.sum("found").alias("found")).where(F.col("true") > 0)
+    counts = of_query.agg(F.sum("true"), F.sum("found"), F.count(F.lit(1)), F.count_if(F.col("true") == F.col("found")))
+    return tuple(int(v or 0) for v in counts.first())
 
 
 def near_duplicates(vectors: DataFrame, scratch: Scratch, threshold: float = 0.95, settings: Settings = Settings(), id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, dict]:
@@ -327,6 +334,7 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, threshold: float = 0.9
     lists = spark.createDataFrame([], EDGES)
     whole = lists.select("u")
     near = F.col("sim") >= threshold - 1e-4
+    reached = False
     for start in range(s.starts):
         made = scratch.keep(started(nodes, n, 11 + start, threshold, s), f"start-{start}")
         ties = made.where(near)
@@ -351,10 +359,19 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, threshold: float = 0.9
         pairs = pairs.union(made.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b"))).distinct()
         close = scratch.keep(pairs if close is None else pairs.union(close).distinct(), f"close-{start}")
         components = scratch.keep(connected_components(close, scratch, f"component-{start}"), f"components-{start}")
-        audit["links"], audit["found"] = audited(nodes, components, threshold, s.audit)
-        audit["recall"] = audit["found"] / audit["links"] if audit["links"] else 1.0
-        if audit["recall"] >= s.recall:
+        audit["links"], audit["found"], asked, complete = audited(nodes, components, threshold, s.audit)
+        if not asked:
+            reached = n <= s.audit
             break
+        audit["recall"] = complete / asked
+        if reached := audit["recall"] >= s.recall:
+            break
+    if not reached:
+        rest = nodes.select(F.col("node").alias("u")).join(whole, "u", "left_anti")
+        made = scratch.keep(compared(rest, nodes, n, threshold), "compared-all")
+        close = scratch.keep(close.union(made.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b"))).distinct(), "close-all")
+        components = scratch.keep(connected_components(close, scratch, "component-all"), "components-all")
+        audit["found"], audit["recall"] = audit["links"], 1.0
 
     members = nodes.join(components, "node").select("component", "node", "weight", "x")
     counted = scratch.keep(degrees(members, n, threshold), "degrees")

@@ -225,6 +225,19 @@ def test_sparse_links_between_crowded_groups(spark):
     assert {r.vec_id: (r.n_links, r.component_id) for r in found.collect()} == {k: (n[k], least[k]) for k in range(len(rows))}
 
 
+def test_audit_sees_small_groups_beside_a_large_one(spark):
+    """Nearly all links are the large group's, so a recall over links hides the pairs that a thin search loses."""
+    rng = np.random.default_rng(6)
+    rows = [c + rng.normal(size=16) * 0.01 for c in [rng.normal(size=16)] for _ in range(200)]
+    rows += [c + rng.normal(size=16) * 0.2 for c in rng.normal(size=(150, 16)) for _ in range(2)]
+    rows = [(k, v.tolist()) for k, v in enumerate(rows)]
+    links, _ = brute_vectors(rows, 0.95)
+    n, least = Counter(k for e in links for k in e), components(range(len(rows)), links)
+    found, audit = nn_descent.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), Scratch(spark, "t"), settings=nn_descent.Settings(signs=1, cell=2, rounds=1, starts=1))
+    assert {r.vec_id: (r.n_links, r.component_id) for r in found.collect()} == {k: (n[k], least[k]) for k in range(len(rows))}
+    assert audit["recall"] == 1.0
+
+
 def test_nn_descent_edge_tables(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert nn_descent.near_duplicates(empty, Scratch(spark, "t"))[0].count() == 0
