@@ -31,8 +31,6 @@ KEY = repeats.ALONE
 #: The order's list of widespread shingles has a fixed bound, so it can be broadcast: 2^17 words.
 MOST_WIDESPREAD = 1 << 17
 DOCS = "row long, doc_id long, n long, set0 long, set1 long"
-#: Signature bits for each shingle.
-BITS = 0.5
 
 
 @dataclass(frozen=True)
@@ -50,6 +48,11 @@ class Similarity:
     def linked(self, n: int, m: int, common: int) -> bool:
         return self.bottom * common >= self.top * (n + m - common)
 
+    def bits(self) -> float:
+        """Least signature bits for each shingle: twice the bits in which linked sets of equal size may differ
+        are still fewer than the half of them in which unrelated ones do."""
+        return 8 * (self.bottom - self.top) / (self.bottom + self.top)
+
 
 def _ordered(keys: np.ndarray, edges: np.ndarray, rank_of: np.ndarray, ranks: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The first[d] shingles of each set d: those that aren't widespread by hash, then those that are, rarest first.
@@ -147,7 +150,7 @@ def _classes(docs: DataFrame, scratch: Scratch, similarity: Similarity, chunk_by
                 a, b = shingles.set_hashes(keys, edges)
                 hashes = keys & shingles.HASH
                 each = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
-                signs = pa.array([shingles.signature(hashes[lo:hi], BITS) for lo, hi in each], pa.binary())
+                signs = pa.array([shingles.signature(hashes[lo:hi], similarity.bits()) for lo, hi in each], pa.binary())
                 starts = pa.array(np.searchsorted(doc, np.arange(len(n) + 1)), pa.int32())
                 rows = pa.table({
                     "doc_id": ids, "n": n, "set0": a.astype(np.int64), "set1": b.astype(np.int64), "signature": signs,
