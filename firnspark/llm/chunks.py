@@ -14,11 +14,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firnspark.llm.common import Scratch, parts, trimmed
+from firnspark.llm.common import Scratch, input_bytes, parts, trimmed
 
 #: Most documents of a chunk, so that a document's place in its chunk has 14 bits.
 MOST_DOCS = 1 << 14
 CHUNKS = "chunk_id long, n_bytes long, n_docs long, docs binary"
+#: Spark makes no more buckets than this unless told to.
+MOST_BUCKETS = 100_000
 
 
 def packed(batch: pa.RecordBatch) -> bytes:
@@ -45,6 +47,7 @@ def chunked(docs: DataFrame, scratch: Scratch, text_col: str = "text", chunk_byt
     """Write docs as chunks of about chunk_bytes of text; a text is never cut, every column is kept.
 
     The table is bucketed by chunk_id: what is known of the chunks is joined to it without moving them.
+    There are more buckets where there is more to read.
     """
     at = docs.columns.index(text_col)
 
@@ -59,7 +62,12 @@ def chunked(docs: DataFrame, scratch: Scratch, text_col: str = "text", chunk_byt
                 yield pa.RecordBatch.from_pydict({"chunk_id": [base + k], "n_bytes": [int(ends[hi - 1] - starts[lo])], "n_docs": [hi - lo], "docs": [packed(batch.slice(lo, hi - lo))]})
                 lo, k = hi, k + 1
 
-    return scratch.keep_bucketed(docs.mapInArrow(trimmed(run), CHUNKS), name, "chunk_id")
+    return scratch.keep_bucketed(docs.mapInArrow(trimmed(run), CHUNKS), name, "chunk_id", buckets(docs))
+
+
+def buckets(docs: DataFrame, per_bytes: int = 64 << 20) -> int:
+    """Buckets for the chunks of docs and for what goes with them."""
+    return max(parts(docs.sparkSession), min(MOST_BUCKETS, -(-input_bytes(docs) // per_bytes)))
 
 
 def shares(chunks: DataFrame, per_bytes: int = 32 << 20) -> int:

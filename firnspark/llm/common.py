@@ -20,12 +20,15 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors and the driver share.
 
-    Read from ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a
-    temporary folder of this machine is made and set for the session.
+    Read from ``spark.checkpoint.dir``. Where that is unset a temporary folder of this machine is
+    made and set for the session, but only if driver and executors are one process; a cluster whose
+    executors couldn't read it is an error.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="firnspark-")
         sc.setCheckpointDir(found)
         found = sc.getCheckpointDir()
@@ -42,6 +45,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        self.tables: dict[str, str] = {}
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -51,14 +55,10 @@ class Scratch:
         df.write.option("compression", "zstd").mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def keep_bucketed(self, df: DataFrame, name: str, by: str) -> DataFrame:
-        """Write df as a table in buckets of `by`, which later joins on it read without a shuffle.
-
-        As many buckets as the session has shuffle partitions, so that the other side of such a
-        join is brought to the buckets.
-        """
-        table = f"{os.path.basename(self.root)}_{name}".replace("-", "_")
-        out = df.write.format("parquet").option("compression", "zstd").option("path", self.path(name)).bucketBy(parts(self.spark), by)
+    def keep_bucketed(self, df: DataFrame, name: str, by: str, buckets: int) -> DataFrame:
+        """Write df as a table in so many buckets of `by`, which later joins on it read without a shuffle."""
+        self.tables[name] = table = f"{os.path.basename(self.root)}_{name}".replace("-", "_")
+        out = df.write.format("parquet").option("compression", "zstd").option("path", self.path(name)).bucketBy(buckets, by)
         out.mode("overwrite").saveAsTable(table)
         return self.spark.table(table)
 
@@ -73,8 +73,11 @@ class Scratch:
             time.sleep(0.3)
 
     def drop(self, *names: str) -> None:
-        """Delete the named tables, or all of them."""
+        """Delete the named tables, or all of them, bucketed ones from the catalog too."""
         jvm = self.spark.sparkContext._jvm
+        for name in names or list(self.tables):
+            if name in self.tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(name)}")
         for path in [self.path(n) for n in names] or [self.root]:
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
@@ -110,3 +113,10 @@ def lower_ascii(col):
 
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the tables that df reads, as the optimizer knows them; no job is run."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    return sum(s for s in sizes if s < 1 << 60)  # what has no known size says that it is huge

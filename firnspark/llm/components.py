@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,13 +14,13 @@ def connected_components(links: DataFrame, scratch: Scratch, name: str = "compon
     """(node, component) for every node of links (a, b), component being the least node it reaches.
 
     Large-star links each node's greater neighbours to its least one, small-star the lesser ones;
-    repeated until nothing moves, every component is a star. The least neighbour is a partial
+    repeated until nothing moves, however many rounds that takes, every component is a star. The least neighbour is a partial
     aggregate, so a hub is no group to gather; joins back to it can be split by Spark where skewed.
     Loops and repeated links do no harm; no links give no rows.
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     state, before = None, None
-    for k in range(64):
+    for k in itertools.count():
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from firnspark.llm import repeats, shingles
-from firnspark.llm.chunks import chunked, packed, shares, text_bytes, unpacked
+from firnspark.llm.chunks import buckets, chunked, packed, shares, text_bytes, unpacked
 from firnspark.llm.common import Scratch, trimmed
 from firnspark.llm.components import connected_components
 from firnspark.llm.groups import block_pairs, bounds, whole_groups
@@ -159,7 +159,7 @@ def _classes(docs: DataFrame, scratch: Scratch, similarity: Similarity, chunk_by
                 yield pa.RecordBatch.from_pylist([{"chunk_id": own, "kind": -1, "docs": packed(rows.combine_chunks().to_batches()[0])}], schema)
 
     # Bucketed by chunk like the chunks: what is asked of a chunk's rows goes to them, and they are sent on once.
-    keyed_sets = scratch.keep_bucketed(chunks.select("chunk_id", "docs").mapInArrow(trimmed(keyed), repeats.MESSAGES + ", docs binary"), "keyed", "chunk_id")
+    keyed_sets = scratch.keep_bucketed(chunks.select("chunk_id", "docs").mapInArrow(trimmed(keyed), repeats.MESSAGES + ", docs binary"), "keyed", "chunk_id", buckets(docs))
     answers = repeats.answered(keyed_sets.where("kind >= 0").drop("docs"), partitions)
     by_chunk = answers.groupBy("chunk_id").agg(F.collect_list(F.struct("kind", "bucket", "n", "again", "varied")).alias("answers"))
     held_rows = keyed_sets.where("kind = -1").select("chunk_id", "docs")
@@ -204,15 +204,18 @@ def _classes(docs: DataFrame, scratch: Scratch, similarity: Similarity, chunk_by
     scratch.free()
 
     asked = scratch.keep(_proposed_pairs(tiles, held_rows, similarity, partitions).distinct(), "asked")
-    del tiles
+    del tiles, held_rows, keyed_sets
+    scratch.drop("keyed", "tiles", "widespread")
     scratch.free()
     # Whatever is linked is in one component of the pairs that may be; there sets are intersected exactly.
     groups = scratch.keep(connected_components(asked, scratch, "group"), "groups").select(F.col("node").alias("row"), F.col("component").alias("tile"))
     groups = groups.join(groups.groupBy("tile").agg(F.count(F.lit(1)).alias("size")), "tile")
     links = scratch.keep(_linked(groups, chunks, sets, similarity, partitions), "links")
     del groups, asked
+    scratch.drop("groups", "asked")
     scratch.free()
     classes = scratch.keep(connected_components(links, scratch, "class"), "classes")
+    scratch.drop("links")
 
     of_row = rows.select("row", "doc_id", "n").join(copies, "row", "left").withColumn("vertex", F.coalesce("vertex", "row"))
     of_row = of_row.join(classes.select(F.col("node").alias("vertex"), "component"), "vertex", "left")
