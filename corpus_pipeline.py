@@ -11,6 +11,14 @@ from firnspark.llm import jaccard_join, packing, quality_model, quality_rules, s
 from firnspark.llm.common import Scratch, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: What the stages have written for their own use, for run() to delete once their results are written.
+_made: list[Scratch] = []
+
+
+def _scratch(spark: SparkSession, label: str) -> Scratch:
+    _made.append(found := Scratch(spark, label))
+    found.free()
+    return found
 
 
 def _columns(docs: DataFrame) -> DataFrame:
@@ -42,12 +50,12 @@ def quality_rule_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a Jaccard similarity of 0.8 of shingles of five words."""
-    return _columns(jaccard_join.one_of_each(docs, Scratch(spark, "pipeline-jaccard")))
+    return _columns(jaccard_join.one_of_each(docs, _scratch(spark, "pipeline-jaccard")))
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the strings of 200 bytes or more that occur elsewhere; n_chars is counted anew."""
-    cut = suffix_dedup.without_repeats(_columns(docs), Scratch(spark, "pipeline-suffixes"))
+    cut = suffix_dedup.without_repeats(_columns(docs), _scratch(spark, "pipeline-suffixes"))
     return _columns(cut.withColumn("n_chars", F.length("text").cast("long")))
 
 
@@ -69,9 +77,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents, each result written below the shared folder and read again."""
+    """Apply the stages to documents, each result written below the shared folder and read again.
+
+    What a stage has written for itself and what it has read is deleted once its result is written, so
+    the shared folder holds the last result alone in the end.
+    """
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
+        before = len(_made)
         docs = scratch.keep(stage(spark, docs, sf_dir), f"stage-{k}")
+        for used in _made[before:]:
+            used.drop()
+        del _made[before:]
+        if k:
+            scratch.drop(f"stage-{k - 1}")
+        scratch.free()
     return docs
