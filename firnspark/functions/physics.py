@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,12 +88,28 @@ def erf_model_derivatives(x: Column, a: float, b: float, x0: float) -> tuple[Col
     return g * b, g * u * (-2 * b * b), g * (u * u * 2 - 1) * (2 * b**3)
 
 
+def erf(x: np.ndarray) -> np.ndarray:
+    """The error function of a whole array: a series of positive terms inside, a continued fraction beyond 3."""
+    u = np.minimum(np.abs(x), 27.0)
+    near, far = np.where(u < 3, u, 0.0), np.where(u < 3, 3.0, u)
+    term, total = near.copy(), near.copy()
+    for n in range(1, 60):
+        term = term * (2 * near * near) / (2 * n + 1)
+        total += term
+    tail = np.zeros_like(far)
+    for n in range(60, 0, -1):
+        tail = (n / 2) / (far + tail)
+    inside = total * np.exp(-near * near) * (2 / math.sqrt(math.pi))
+    outside = 1 - np.exp(-far * far) / (math.sqrt(math.pi) * (far + tail))
+    return np.where(np.isnan(x), np.nan, np.sign(x) * np.where(u < 3, inside, outside))
+
+
 def erf_model(x: Column, a: float, b: float, x0: float, c: float) -> Column:
     @F.pandas_udf("double")
-    def erf(u: pd.Series) -> pd.Series:
-        return u.map(lambda v: math.erf(v) if v == v else None).astype(float)
+    def of(u: pd.Series) -> pd.Series:
+        return pd.Series(erf(u.to_numpy(float)))
 
-    return F.lit(a) * erf(F.lit(b) * (x - F.lit(x0))) + F.lit(c)
+    return F.lit(a) * clean(of(F.lit(b) * (x - F.lit(x0)))) + F.lit(c)
 
 
 def cutoff(wavelength_km: float, dx_km: float) -> float:
@@ -103,6 +120,12 @@ def cutoff(wavelength_km: float, dx_km: float) -> float:
     return w
 
 
+def cutoff_column(wavelength_km: float, dx: str = "dx") -> Column:
+    """The same for each segment's spacing; NULL where that is too wide for the wavelength."""
+    w = 2 * F.col(dx) / F.lit(wavelength_km)
+    return F.when((w > 0) & (w < 1), w)
+
+
 def geoid_column(spec: float | int | str | None) -> Column | None:
     """A constant geoid as a column; None means it has to be sampled from the raster named by spec."""
     if isinstance(spec, bool):

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY, ORDER = "segment_id", "i"
+#: Parts of a moving window's width, in which its places are counted.
+PARTS = 1 << 20
 
 
 def along(*keys: str):
@@ -47,8 +49,8 @@ def spacing(profile: DataFrame, *keys: str) -> DataFrame:
 def filled(df: DataFrame, c: str, out: str, *keys: str, at: str = ORDER, ends: bool = True, most: int | None = None) -> DataFrame:
     """c with gaps filled linearly over `at`; ends held, or left NULL.
 
-    most: only gaps of at most so many samples are interpolated, what is left is carried forward
-    and then back.
+    most: only the first so many samples of a gap are interpolated, the last of them is carried on
+    through the rest of it.
     """
     w, p = along(*keys), Window.unboundedPreceding
     before, after = w.rowsBetween(p, 0), w.rowsBetween(0, Window.unboundedFollowing)
@@ -57,9 +59,9 @@ def filled(df: DataFrame, c: str, out: str, *keys: str, at: str = ORDER, ends: b
         "_v0": F.last(c, ignorenulls=True).over(before), "_a0": F.last(known, ignorenulls=True).over(before),
         "_v1": F.first(c, ignorenulls=True).over(after), "_a1": F.first(known, ignorenulls=True).over(after),
     })
-    inner = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col(at) - F.col("_a0")) / (F.col("_a1") - F.col("_a0"))
-    if most is not None:
-        inner = F.when(F.col("_a1") - F.col("_a0") <= most + 1, inner).otherwise(F.col("_v0"))
+    into = F.col(at) - F.col("_a0")
+    into = into if most is None else F.least(into, F.lit(float(most)))
+    inner = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * into / (F.col("_a1") - F.col("_a0"))
     value = F.when(F.col(c).isNotNull(), F.col(c)).when(F.col("_v0").isNotNull() & F.col("_v1").isNotNull(), inner)
     if ends:
         value = value.otherwise(F.coalesce("_v0", "_v1"))
@@ -69,32 +71,28 @@ def filled(df: DataFrame, c: str, out: str, *keys: str, at: str = ORDER, ends: b
 def boxcar(df: DataFrame, c: str, size: Column, out: str, *keys: str, mode: str = "reflect") -> DataFrame:
     """Moving mean of `size` samples, size // 2 of them before the sample, as wide as that at the ends too.
 
-    size may differ by segment. Beyond the ends the series is mirrored (d c b a | a b c d | d c b a) or
-    its end sample repeated ("nearest"). One array of running sums per segment gives every mean by
-    four look-ups, whatever the size.
+    size may differ by segment. Beyond the ends the series is mirrored (d c b a | a b c d | d c b a), again
+    and again if it is short, or its end sample repeated ("nearest"). Samples near an end are repeated at
+    the places beyond it, then one window takes the sums: places are counted in parts of a size, so that
+    every window is as wide (sizes up to 2^19). No segment is gathered in a row.
     """
     keys = keys or (KEY,)
-    rest = [x for x in df.columns if x not in keys]
-    running = F.sum(c).over(along(*keys).rowsBetween(Window.unboundedPreceding, 0))
-    grouped = df.withColumns({"_size": size, "_sum": running}).groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(ORDER).alias("_o"), F.col("_sum").alias("_v"), F.struct(*rest, F.col(c).alias("_c")).alias("_r")))).alias("_s"), F.first("_size").alias("_size"))
-    grouped = grouped.withColumns({"_sums": F.concat(F.array(F.lit(0.0)), F.transform("_s", lambda s: s["_v"])), "_n": F.size("_s")})
-    grouped = grouped.withColumns({"_first": F.col("_s")[0]["_r"]["_c"], "_last": F.element_at("_s", -1)["_r"]["_c"]})
-    at = lambda k: F.get("_sums", k.cast("int"))
-
-    def mean(s, k):
-        lo = k - F.floor(F.col("_size") / 2)
-        hi = lo + F.col("_size")
-        under, over = F.greatest(F.lit(0), -lo), F.greatest(F.lit(0), hi - F.col("_n"))
-        total = at(F.least(hi, F.col("_n"))) - at(F.greatest(lo, F.lit(0)))
-        if mode == "nearest":
-            total = total + under * F.col("_first") + over * F.col("_last")
-        else:
-            total = total + at(under) + at(F.col("_n")) - at(F.col("_n") - over)
-        return F.struct(s["_r"].alias("r"), (total / F.col("_size")).alias("m"))
-
-    out_rows = grouped.select(*keys, F.inline(F.transform("_s", mean)))
-    return out_rows.select(*keys, *[F.col("r")[x].alias(x) for x in rest if x != out], F.col("m").alias(out))
+    df = df.withColumns({"_s": size.cast("long"), "_k": F.row_number().over(along(*keys)) - 1, "_n": F.count(F.lit(1)).over(whole(*keys))})
+    k, n, s = F.col("_k").cast("long"), F.col("_n"), F.col("_s")
+    lo = -F.floor(s / 2)
+    hi = n - 1 + s - 1 + lo
+    if mode == "nearest":
+        before = F.when((k == 0) & (lo < 0), F.sequence(lo, F.lit(-1).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+        after = F.when((k == n - 1) & (hi >= n), F.sequence(n, hi)).otherwise(F.array().cast("array<bigint>"))
+        places = F.concat(F.array(k), before, after)
+    else:
+        turns = F.ceil(s / (2 * n)).cast("long")
+        both = F.flatten(F.transform(F.sequence(-turns, turns), lambda r: F.array(k + 2 * n * r, 2 * n * r - 1 - k)))
+        places = F.when((k >= s) & (k < n - s), F.array(k)).otherwise(F.filter(both, lambda p: p.between(lo, hi)))
+    df = df.withColumn("_at", F.explode(places)).withColumn("_p", F.col("_at") * F.lit(float(PARTS)) / s)
+    span = Window.partitionBy(*keys).orderBy("_p").rangeBetween(-PARTS // 2 - 1, PARTS // 2 - 1)
+    mean = F.sum(c).over(span) / s
+    return df.withColumn("_m", mean).where("_at = _k").withColumn(out, F.col("_m")).drop("_s", "_k", "_n", "_at", "_p", "_m")
 
 
 def half_even(c: Column) -> Column:

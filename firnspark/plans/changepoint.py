@@ -25,52 +25,86 @@ def _sums(x: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros((1, *x.shape[1:])), np.cumsum(x, axis=0)])
 
 
+#: Numbers a block of segment statistics may hold.
+BLOCK = 1 << 21
+
+
+def _spans(x: np.ndarray, width: int):
+    """Blocks of first samples t, with lengths m and mask ok of all segments t..s: arrays of shape (t, s)."""
+    n = len(x)
+    step = max(1, BLOCK // max(1, n * width))
+    for lo in range(0, n, step):
+        t = np.arange(lo, min(n, lo + step))
+        length = np.arange(1, n + 1)[None, :] - t[:, None]
+        yield t, np.maximum(length, 1), length > 0
+
+
 def gaussian(x: np.ndarray) -> np.ndarray:
-    """ln P(t, s) of a normal with unknown mean and variance (normal-inverse-gamma of one weak observation)."""
-    y = x[:, 0]
+    """ln P(t, s) of a normal with unknown mean and variance (normal-inverse-gamma of one weak observation).
+
+    The series is brought to mean 0 and variance 1 first, so the prior suits any unit.
+    """
+    y = x[:, 0] - x[:, 0].mean()
+    y = y / (y.std() or 1.0)
     n = len(y)
     s1, s2 = _sums(y), _sums(y * y)
     lg = log_gamma_halves(n + 3)
-    length = np.arange(1, n + 1)[None, :] - np.arange(n)[:, None]
-    ok = length > 0
-    m = np.where(ok, length, 1)
-    total, square = s1[None, 1:] - s1[:n, None], s2[None, 1:] - s2[:n, None]
-    scatter = square - total**2 / m + (m / (m + 1)) * (total / m) ** 2
-    value = -m / 2 * math.log(math.pi) + lg[(m + 1).astype(int)] - lg[1] - 0.5 * np.log1p(m) - (m + 1) / 2 * np.log1p(np.maximum(scatter, 0))
-    return np.where(ok, value, -np.inf)
+    out = np.full((n, n), -np.inf)
+    for t, m, ok in _spans(x, 1):
+        total, square = s1[None, 1:] - s1[t, None], s2[None, 1:] - s2[t, None]
+        scatter = square - total**2 / m + (m / (m + 1)) * (total / m) ** 2
+        value = -m / 2 * math.log(math.pi) + lg[m + 1] - lg[1] - 0.5 * np.log1p(m) - (m + 1) / 2 * np.log1p(np.maximum(scatter, 0))
+        out[t] = np.where(ok, value, -np.inf)
+    return out
+
+
+def _scale(x: np.ndarray, t: np.ndarray, m: np.ndarray, ok: np.ndarray) -> np.ndarray:
+    """Prior scale of each segment: the variance of all its entries about their common mean.
+
+    Channels have different levels, so even one sample has a spread. Where it has none, a small share of
+    the whole series' variance stands in, which keeps every matrix below positive whatever the unit.
+    """
+    n, d = x.shape
+    middle = x.mean()
+    total, square = _sums((x - middle).sum(axis=1)), _sums(((x - middle) ** 2).sum(axis=1))
+    whole = square[-1] / (n * d) or 1.0
+    v = (square[None, 1:] - square[t, None]) / (m * d) - ((total[None, 1:] - total[t, None]) / (m * d)) ** 2
+    return np.where(ok, np.maximum(v, 1e-9 * whole), 1.0)
 
 
 def independent(x: np.ndarray) -> np.ndarray:
-    """ln P(t, s) of independent zero-mean channels: prior weight d, scale the variance of the segment's channels pooled."""
+    """ln P(t, s) of independent zero-mean channels with a conjugate prior of weight d and the segment's scale."""
     n, d = x.shape
     lg = log_gamma_halves(n + d + 2)
-    squares, first = _sums(x * x), _sums(x)
+    squares = _sums(x * x)
     out = np.full((n, n), -np.inf)
-    for t in range(n):
-        m = np.arange(1, n - t + 1)
-        sq, total = squares[t + 1 :] - squares[t], first[t + 1 :] - first[t]
-        v = np.maximum((sq - total**2 / m[:, None]).sum(axis=1) / (m * d), 1e-12)
+    for t, m, ok in _spans(x, d):
+        v = _scale(x, t, m, ok)
+        spread = np.where(ok[..., None], squares[None, 1:] - squares[t, None], 0.0)
         value = d * (-(m / 2) * math.log(math.pi) + d / 2 * np.log(v) - lg[d] + lg[d + m])
-        out[t, t:] = value - ((d + m) / 2) * np.log(v[:, None] + sq).sum(axis=1)
+        out[t] = np.where(ok, value - ((d + m) / 2) * np.log(v[..., None] + np.maximum(spread, 0)).sum(axis=2), -np.inf)
     return out
 
 
 def full(x: np.ndarray) -> np.ndarray:
-    """As independent, with all covariances between channels."""
+    """As independent, with all covariances between channels.
+
+    The determinant comes from a Cholesky factor of a matrix that the scale on its diagonal keeps positive.
+    """
     n, d = x.shape
     lg = log_gamma_halves(n + 2 * d + 2)
     outer = _sums(x[:, :, None] * x[:, None, :])
-    first = _sums(x)
-    multi = lambda k: d * (d - 1) / 4 * math.log(math.pi) + sum(lg[k - j] for j in range(d))
+    multi = d * (d - 1) / 4 * math.log(math.pi) + sum(lg[np.maximum(np.arange(n + d + 1) - j, 1)] for j in range(d))
     out = np.full((n, n), -np.inf)
-    for t in range(n):
-        m = np.arange(1, n - t + 1)
-        gram = outer[t + 1 :] - outer[t]
-        total = first[t + 1 :] - first[t]
-        v = np.maximum((np.trace(gram, axis1=1, axis2=2) - (total**2).sum(axis=1) / m) / (m * d), 1e-12)
-        _, logdet = np.linalg.slogdet(v[:, None, None] * np.eye(d) + gram)
-        gammas = np.array([multi(d + int(k)) for k in m]) - multi(d)
-        out[t, t:] = -(d * m / 2) * math.log(math.pi) + d / 2 * d * np.log(v) + gammas - ((d + m) / 2) * logdet
+    for t, m, ok in _spans(x, d * d):
+        v = _scale(x, t, m, ok)
+        gram = np.where(ok[..., None, None], outer[None, 1:] - outer[t, None], 0.0)
+        # Rounding in the prefix sums is of the order of their size; the diagonal outweighs it.
+        ridge = np.maximum(v, 1e-13 * np.trace(outer[-1]))
+        factor = np.linalg.cholesky(gram + ridge[..., None, None] * np.eye(d))
+        logdet = 2 * np.log(np.diagonal(factor, axis1=2, axis2=3)).sum(axis=2)
+        value = -(d * m / 2) * math.log(math.pi) + d / 2 * d * np.log(ridge) + multi[d + m] - multi[d] - ((d + m) / 2) * logdet
+        out[t] = np.where(ok, value, -np.inf)
     return out
 
 
@@ -84,6 +118,8 @@ def marginals(log_p: np.ndarray, g: float, truncate: float = -np.inf) -> np.ndar
     Terms more than `truncate` below the sum so far end an inner sum.
     """
     n = len(log_p)
+    if not np.isfinite(log_p[np.triu_indices(n)]).all():
+        raise ValueError("a segment's likelihood is not finite")
     lg = math.log(g)
     q = np.full(n + 1, -np.inf)
     q[n - 1] = log_p[n - 1, n - 1]
