@@ -44,29 +44,41 @@ def uniform_grid(extents: DataFrame, by: list[str], dx: str = "dx") -> DataFrame
     return out.withColumn("x_km", F.col("lo") + F.col("i") * F.col(dx))
 
 
-def regridded(source: DataFrame, grid: DataFrame, value: str, by: list[str], tolerance: Column | None) -> DataFrame:
-    """grid with `value` interpolated linearly over x_km, ends held.
+def regridded_all(grid: DataFrame, sources: list[tuple[DataFrame, list[str], Column | None]], by: list[str]) -> DataFrame:
+    """grid (by, x_km, ...) with values of several sources interpolated linearly over x_km, ends held.
 
-    A grid point farther than the tolerance from any finite sample is NULL; a group with fewer than
-    two finite samples is NULL everywhere. One shuffle by `by`: the bracketing samples come from
-    windows over both sides' rows.
+    sources: (rows with by and x_km, their value columns, tolerance). A grid point farther than the
+    tolerance (which may name columns of the grid) from any finite sample is NULL; a group with fewer than
+    two finite samples is NULL everywhere. All sides go into one order by one shuffle; the bracketing
+    samples of every value come from windows over it.
     """
-    # The tolerance may name columns of the grid.
-    points = grid.withColumn("_t", F.lit(None).cast("double") if tolerance is None else tolerance)
-    known = source.where(F.col(value).isNotNull()).groupBy(*by, "x_km").agg(F.min(value).alias("_v"))
-    both = known.withColumn("_side", F.lit(0)).unionByName(points.withColumn("_side", F.lit(1)), allowMissingColumns=True)
-    at = F.when(F.col("_side") == 0, F.struct("x_km", F.col("_v").alias("v")))
-    both = both.withColumn("_p", at)
-    ahead = Window.partitionBy(*by).orderBy(F.col("x_km"), F.col("_side").desc()).rowsBetween(0, Window.unboundedFollowing)
-    back = Window.partitionBy(*by).orderBy("x_km", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = both.withColumns({"_b": F.last("_p", ignorenulls=True).over(back), "_a": F.first("_p", ignorenulls=True).over(ahead), "_n": F.count("_p").over(Window.partitionBy(*by))})
-    both = both.where("_side = 1")
-    x, b, a = F.col("x_km"), F.col("_b"), F.col("_a")
-    inner = b["v"] + (a["v"] - b["v"]) * (x - b["x_km"]) / (a["x_km"] - b["x_km"])
-    v = F.when(b.isNull(), a["v"]).when(a.isNull(), b["v"]).when(a["x_km"] == b["x_km"], b["v"]).otherwise(inner)
-    near = F.least(F.coalesce(x - b["x_km"], F.lit(float("inf"))), F.coalesce(a["x_km"] - x, F.lit(float("inf"))))
-    ok = (F.col("_n") >= 2) & (F.col("_t").isNull() | (near <= F.col("_t")))
-    return both.select(*grid.columns, F.when(ok, v).alias(value))
+    values = [(v, k) for k, (_, names, _) in enumerate(sources) for v in names]
+    both = grid.withColumn("_side", F.lit(1)).withColumns({f"_t{k}": F.lit(None).cast("double") if t is None else t for k, (_, _, t) in enumerate(sources)})
+    for source, names, _ in sources:
+        some = F.coalesce(*[F.col(v) for v in names]).isNotNull() & F.col("x_km").isNotNull()
+        known = source.where(some).groupBy(*by, "x_km").agg(*[F.min(v).alias(v) for v in names])
+        points = [F.when(F.col(v).isNotNull(), F.struct("x_km", F.col(v).cast("double").alias("v"))).alias(f"_p_{v}") for v in names]
+        both = both.unionByName(known.select(*by, "x_km", F.lit(0).alias("_side"), *points), allowMissingColumns=True)
+    whole = Window.partitionBy(*by)
+    back = whole.orderBy("x_km", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = whole.orderBy("x_km", F.col("_side").desc()).rowsBetween(0, Window.unboundedFollowing)
+    both = both.withColumns({f"_b_{v}": F.last(f"_p_{v}", ignorenulls=True).over(back) for v, _ in values} | {f"_n_{v}": F.count(f"_p_{v}").over(whole) for v, _ in values})
+    both = both.withColumns({f"_a_{v}": F.first(f"_p_{v}", ignorenulls=True).over(ahead) for v, _ in values}).where("_side = 1")
+
+    def value(name: str, k: int) -> Column:
+        x, b, a, t = F.col("x_km"), F.col(f"_b_{name}"), F.col(f"_a_{name}"), F.col(f"_t{k}")
+        inner = b["v"] + (a["v"] - b["v"]) * (x - b["x_km"]) / (a["x_km"] - b["x_km"])
+        v = F.when(b.isNull(), a["v"]).when(a.isNull(), b["v"]).when(a["x_km"] == b["x_km"], b["v"]).otherwise(inner)
+        near = F.least(F.coalesce(x - b["x_km"], F.lit(float("inf"))), F.coalesce(a["x_km"] - x, F.lit(float("inf"))))
+        return F.when((F.col(f"_n_{name}") >= 2) & (t.isNull() | (near <= t)), v).alias(name)
+
+    kept = [c for c in grid.columns if c not in {v for v, _ in values}]
+    return both.select(*kept, *[value(v, k) for v, k in values])
+
+
+def regridded(source: DataFrame, grid: DataFrame, value: str, by: list[str], tolerance: Column | None) -> DataFrame:
+    """grid with one value of one source, as regridded_all."""
+    return regridded_all(grid, [(source, [value], tolerance)], by)
 
 
 def raster_cells(points: DataFrame, x: str, y: str, x0: float, y0: float, dx: float, dy: float) -> DataFrame:
@@ -75,12 +87,19 @@ def raster_cells(points: DataFrame, x: str, y: str, x0: float, y0: float, dx: fl
     return out.withColumns({"tile_col": F.floor(F.col("col") / 512).cast("long"), "tile_row": F.floor(F.col("row") / 512).cast("long")})
 
 
-def sampled(points: DataFrame, raster: DataFrame, values: list[str]) -> DataFrame:
+def sampled(points: DataFrame, raster: DataFrame, values: list[str], pad: int = 42) -> DataFrame:
     """points (from raster_cells) with the raster's values in their cells, NULL outside.
 
-    An equi-join on tile and cell: tiles that hold no point are pruned by the join's keys.
+    The raster is first cut down to the points' box, `pad` cells wider (5 km of 120 m), by tile and by cell.
+    The box is four numbers; as literals they prune the tiles' partitions and the files' row groups, so
+    what is shuffled doesn't grow with the raster. The join is on tile and cell.
     """
     keys = ["tile_col", "tile_row", "col", "row"]
+    box = points.agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("col", "row")]).first()
+    if box.min_col is not None:
+        for c in ("col", "row"):
+            lo, hi = box[f"min_{c}"] - pad, box[f"max_{c}"] + pad
+            raster = raster.where(F.col(c).between(lo, hi) & F.col(f"tile_{c}").between(lo // 512, hi // 512))
     return points.join(raster.select(*keys, *values), keys, "left")
 
 
@@ -93,7 +112,7 @@ def outer_aligned(parts: list[DataFrame], on: list[str]) -> DataFrame:
 
 
 def overlap(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
-    """(by, lo, hi) both series cover; disjoint ones have a NULL reason no longer: reason tells."""
+    """(by, lo, hi, reason): the stretch of x_km that both series cover; reason is empty unless there is none."""
     ext = lambda d, k: d.groupBy(*by).agg(F.min("x_km").alias(f"lo{k}"), F.max("x_km").alias(f"hi{k}"))
     out = ext(a, 0).join(ext(b, 1), by).select(*by, F.greatest("lo0", "lo1").alias("lo"), F.least("hi0", "hi1").alias("hi"))
-    return out.withColumn("reason", F.when(F.col("hi") <= F.col("lo"), "series do not overlap").otherwise(""))
+    return out.withColumn("reason", F.when(F.col("hi") > F.col("lo"), "").otherwise("series do not overlap"))

@@ -20,31 +20,31 @@ def tumbling_mean(df: DataFrame, time: str, interval: str, values: list[str], by
     return bins.join(out, [*by, time], "left")
 
 
-def peak_power(radar: DataFrame, layer: DataFrame, by: list[str], margin: float | None = None) -> DataFrame:
+def peak_power(radar: DataFrame, layer: DataFrame, by: list[str], margin: float | None = None, near: list[str] | None = None) -> DataFrame:
     """(by, slow_time, peak_twtt, peak_power): the strongest sample within the margin of the layer's pick.
 
     Times take the nearest pick within a second. Of equal powers the earliest two-way time counts;
-    traces without any sample in the margin have no row.
+    traces without any sample in the margin have no row. near: the keys of `by` that the layer has.
     """
     margin = pick_margin() if margin is None else margin
     times = radar.select(*by, "slow_time").distinct()
-    picks = nearest(times, layer, "slow_time", ["twtt"], by, F.expr("INTERVAL '1' SECOND")).withColumnRenamed("twtt", "_pick")
+    picks = nearest(times, layer, "slow_time", ["twtt"], near or by, F.expr("INTERVAL '1' SECOND")).withColumnRenamed("twtt", "_pick")
     near = radar.join(picks.where("_pick IS NOT NULL"), [*by, "slow_time"]).where(F.col("twtt").between(F.col("_pick") - margin, F.col("_pick") + margin))
     near = near.withColumn("_db", decibels(F.col("data"))).where("_db IS NOT NULL")
     best = F.max(F.struct(F.col("_db").alias("db"), (-F.col("twtt")).alias("t"))).alias("_m")
     return near.groupBy(*by, "slow_time").agg(best).select(*by, "slow_time", (-F.col("_m.t")).alias("peak_twtt"), F.col("_m.db").alias("peak_power"))
 
 
-def reflection_power(frames: DataFrame, layers: DataFrame, interval: str = "5 seconds", by: tuple[str, ...] = ("segment_id",)) -> DataFrame:
+def reflection_power(frames: DataFrame, layers: DataFrame, interval: str = "5 seconds", by: tuple[str, ...] = ("segment_id",), of_layers: tuple[str, ...] | None = None) -> DataFrame:
     """Surface and bottom power per averaged trace; a segment without layers has no rows.
 
-    frames: by, slow_time, twtt, data. layers: by, layer, slow_time, twtt.
+    frames: by, slow_time, twtt, data. layers: of_layers (by unless given, and among it), layer, slow_time, twtt.
     """
-    by = list(by)
-    with_layers = frames.join(layers.select(*by).distinct(), by, "left_semi")
+    by, own = list(by), list(of_layers or by)
+    with_layers = frames.join(layers.select(*own).distinct(), own, "left_semi")
     mean = tumbling_mean(with_layers, "slow_time", interval, ["data"], [*by, "twtt"])
-    one = lambda name: layers.where(F.col("layer") == f"standard:{name}").select(*by, "slow_time", "twtt")
-    peak = lambda name, k: peak_power(mean, one(name), by).select(*by, "slow_time", F.col("peak_twtt").alias(f"{k}_twtt"), F.col("peak_power").alias(f"{k}_power_db"))
+    one = lambda name: layers.where(F.col("layer") == f"standard:{name}").select(*own, "slow_time", "twtt")
+    peak = lambda name, k: peak_power(mean, one(name), by, near=own).select(*by, "slow_time", F.col("peak_twtt").alias(f"{k}_twtt"), F.col("peak_power").alias(f"{k}_power_db"))
     return outer_aligned([peak("surface", "surface"), peak("bottom", "bed")], [*by, "slow_time"])
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from firnspark.operators.joins import nearest
+
 
 def boxes(lines: DataFrame, points: str = "points") -> DataFrame:
     """lines with the bounds of their points (array of struct lon, lat)."""
@@ -69,13 +71,37 @@ def clipped(left: DataFrame, right: DataFrame, left_key: str, right_key: str, ce
     return out.select(left_key, right_key, point("f").alias("first"), point("l").alias("last"))
 
 
-def search(frames: DataFrame, collections: list[str] | None = None, segments_: list[str] | None = None, years: tuple[int, int] | None = None) -> DataFrame:
-    """Catalog rows of the collections, segments and years asked for."""
+def along_track_bounds(found: DataFrame, samples: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """(left_key, right_key, lat_first, lat_last, lon_first, lon_last): along-track positions of the crossings of `clipped`.
+
+    Each crossing takes the x_km of the track's sample nearest in latitude, and of the one nearest in
+    longitude. One order by each coordinate serves all crossings; nothing is exploded.
+    """
+    ends = F.array(*[F.struct(F.lit(e).alias("end"), F.col(f"{e}.lat").alias("lat"), F.col(f"{e}.lon").alias("lon")) for e in ("first", "last")])
+    out = found.select(left_key, right_key, F.inline(ends))
+    for c in ("lat", "lon"):
+        known = samples.where(F.col(c).isNotNull()).groupBy(left_key, c).agg(F.min("x_km").alias(f"x_{c}"))
+        out = nearest(out, known, c, [f"x_{c}"], [left_key])
+    at = lambda c, e: F.max(F.when(F.col("end") == e, F.col(f"x_{c}"))).alias(f"{c}_{e}")
+    return out.groupBy(left_key, right_key).agg(*[at(c, e) for c in ("lat", "lon") for e in ("first", "last")])
+
+
+def search(frames: DataFrame, collections: list[str] | None = None, segments_: list[str] | None = None, years: tuple[int, int] | None = None, dates: str | None = None, geometry: DataFrame | None = None, key: str = "frame", geometry_key: str = "id") -> DataFrame:
+    """Catalog rows of the collections, segments and years asked for, that meet any line of `geometry`.
+
+    dates: "first/last" year, either of which may be left out. frames and geometry have points, and rows are
+    told apart by key and geometry_key.
+    """
     out = frames
     if collections:
         out = out.where(F.col("collection").isin(collections))
     if segments_:
         out = out.where(F.col("segment").isin(segments_))
+    if dates:
+        first, _, last = dates.partition("/")
+        years = (int(first or -(1 << 31)), int(last or (1 << 31) - 1))
     if years:
         out = out.where(F.col("year").between(*years))
+    if geometry is not None:
+        out = out.join(intersecting(out, geometry, key, geometry_key).select(key).distinct(), key, "left_semi")
     return out

@@ -43,6 +43,29 @@ def computed(profile: DataFrame, k: PhysicalConstants = EARTH) -> DataFrame:
     return out.withColumns({"dfree": free, "dfree_msl": free - F.col("geoid_m"), "dsurf": series.gradient("_hs")}).drop("_hs", "_hb")
 
 
+def early(profile: DataFrame, power_wn: float = 0.15, slope_wn: float = 0.02, order: tuple[int, int] = (5, 5), hidden: tuple[float, float] | None = None, steepest: float = STEEPEST, k: PhysicalConstants = EARTH) -> DataFrame:
+    """profile (with dx) with amp_e, amp_shown, dA_e, dfree_e and dsurf_e, the features before wavelengths had units.
+
+    Cutoffs are shares of Nyquist, whatever the spacing. The gradient is masked in the stretch `hidden` (a band of
+    artefacts, its ends not included) and where too steep; five samples of a gap are interpolated, and what is left is
+    carried on. amp_shown is the filtered power where power was measured. Picks are on the power's grid here.
+    """
+    spaced = profile.withColumns({"_dx": F.col("dx"), "_nan": F.col("amp").isNull()})
+    for c in ("h_surf", "h_bed"):
+        spaced = series.filled(spaced, c, f"_i{c}", at="x_km")
+    # A share w of Nyquist is the wavelength 2 dx / w: with dx = 1 it is 2 / w.
+    unit = spaced.withColumn("dx", F.lit(1.0))
+    out = filtering.low_passed(unit, {"amp_e": ("amp", 2 / power_wn)}, order[0])
+    out = filtering.low_passed(out, {"_hs": ("_ih_surf", 2 / slope_wn), "_hb": ("_ih_bed", 2 / slope_wn)}, order[1])
+    out = out.withColumn("dx", F.col("_dx")).withColumn("_g", series.gradient("amp_e"))
+    free = F.lit(True) if hidden is None else ~((F.col("x_km") > hidden[0]) & (F.col("x_km") < hidden[1]))
+    out = series.filled(out.withColumn("_m", F.when(free & (F.abs("_g") <= steepest), F.col("_g"))), "_m", "dA_e", most=5)
+    out = out.withColumns({
+        "amp_shown": F.when(~F.col("_nan"), F.col("amp_e")), "dfree_e": F.col("_hs") - (F.col("_hs") - F.col("_hb")) * F.lit(k.flotation_factor), "dsurf_e": series.gradient("_hs"),
+    })
+    return out.drop("_dx", "_nan", "_ih_surf", "_ih_bed", "_hs", "_hb", "_g", "_m")
+
+
 def standardised(df: DataFrame, columns: list[str], where=None) -> DataFrame:
     """columns less their mean, over their deviation, by segment; statistics of the rows `where` only, if given."""
     own = lambda c: F.col(c) if where is None else F.when(where, F.col(c))

@@ -90,6 +90,15 @@ def cropped(profile: DataFrame, bounds: DataFrame, *keys: str) -> DataFrame:
     return out.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where("_n >= 2").drop("_n")
 
 
+def cropped_to(profile: DataFrame, lo, hi, *keys: str) -> DataFrame:
+    """Samples within the bounds (columns, or None for an open end), numbered anew; groups with fewer than two have none."""
+    keys = keys or (KEY,)
+    kept = profile if lo is None else profile.where(F.col("x_km") >= lo)
+    kept = kept if hi is None else kept.where(F.col("x_km") <= hi)
+    kept = kept.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where("_n >= 2").drop("_n")
+    return kept.withColumn(series.ORDER, (F.row_number().over(series.along(*keys)) - 1).cast("long"))
+
+
 def analysed(profile: DataFrame) -> DataFrame:
     """The profile with physics, spacing and smoothed residual: what most plans start from."""
     return smoothed(with_physics(profile))

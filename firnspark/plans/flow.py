@@ -105,6 +105,13 @@ def best_legs(track: DataFrame, angle: float = 30.0, margin_km: float = 3.5, *mo
     return ranked.where("_k = 1").drop("_k", "direction", "leg")
 
 
+def on_best_leg(track: DataFrame, angle: float = 30.0, margin_km: float = 3.5) -> DataFrame:
+    """The samples of each segment's best leg, numbered anew, with leg_lo and leg_hi; segments without one have none."""
+    best = best_legs(track, angle, margin_km).select(KEY, F.col("lo").alias("leg_lo"), F.col("hi").alias("leg_hi"))
+    own = track.join(best, KEY).where(F.col("x_km").between(F.col("leg_lo"), F.col("leg_hi")))
+    return own.withColumn("i", (F.row_number().over(series.along()) - 1).cast("long"))
+
+
 def flotation_leg(track: DataFrame, angle: float = 30.0, margin_km: float = 3.5) -> DataFrame:
     """(segment_id, lo, hi, score) of the best legs."""
     return best_legs(track, angle, margin_km).select(KEY, "lo", "hi", F.col("score").cast("long").alias("score"))

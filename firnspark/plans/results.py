@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from firnspark.constants import EARTH
-from firnspark.functions.physics import draft
+from firnspark.functions.physics import draft, erf
 from firnspark.operators import series
 from firnspark.plans import flotation
 
@@ -22,8 +22,6 @@ def fitted_erf(df: DataFrame, x: str, y: str, by: str = KEY, steps: int = 60) ->
 
     Starts from the spread, the middle and the mean of the samples; groups with fewer than four have no row.
     """
-    erf = np.vectorize(math.erf)
-
     def each(one: pd.DataFrame) -> pd.DataFrame:
         one = one.dropna().sort_values("x")
         u, v = one["x"].to_numpy(float), one["y"].to_numpy(float)
@@ -65,17 +63,20 @@ def sea_level(profile: DataFrame) -> DataFrame:
     return profile.groupBy(KEY).agg(F.avg("geoid_m").alias("sea_level"), F.min("geoid_m").alias("geoid_min"), F.max("geoid_m").alias("geoid_max"))
 
 
-def projected_seabed(layers: DataFrame, found: DataFrame, floor: float = -2000.0, window_km: float = 2.0, clearance_m: float = 20.0) -> DataFrame:
-    """(segment_id, seabed): a level below floating ice: the bed near the grounding point, or below the deepest keel.
+def projected_seabed(layers: DataFrame, out: str = "seabed", floor: float = -2000.0, window_km: float = 2.0, clearance_m: float = 20.0) -> DataFrame:
+    """layers with a level below their floating ice: the bed near the grounding point, or below the deepest keel.
 
-    layers: x_km, bed, ice, grounded. found: map_km.
+    layers: x_km, bed, thick_ice, grounded and the segment's map_km. Without either there is no seabed. The bed
+    counts within window_km of the point, the keel wherever floating ice is; the lower of them holds, down to the floor.
     """
-    own = layers.join(found.select(KEY, "map_km"), KEY)
+    w = series.whole()
     near = F.col("grounded") & F.col("bed").isNotNull() & (F.abs(F.col("x_km") - F.col("map_km")) <= window_km)
-    depth = F.median(F.when(near, F.col("bed")))
-    keel = F.min(F.when(~F.col("grounded") & F.col("ice"), F.col("bed"))) - clearance_m
-    # least skips what is missing; without either there is no seabed.
-    return own.groupBy(KEY).agg(depth.alias("_d"), keel.alias("_k")).select(KEY, F.when(F.col("_d").isNotNull() | F.col("_k").isNotNull(), F.greatest(F.least("_d", "_k"), F.lit(floor))).alias("seabed"))
+    depth = F.median(F.when(near, F.col("bed"))).over(w)
+    keel = F.min(F.when(~F.col("grounded") & F.col("thick_ice"), F.col("bed"))).over(w) - clearance_m
+    own = layers.withColumns({"_d": depth, "_k": keel})
+    # least skips what is missing.
+    level = F.when(F.col("_d").isNotNull() | F.col("_k").isNotNull(), F.greatest(F.least("_d", "_k"), F.lit(floor)))
+    return own.withColumn(out, level).drop("_d", "_k")
 
 
 def data_extent(profile: DataFrame, windows: DataFrame, pad_km: float = 25.0) -> DataFrame:
@@ -97,7 +98,9 @@ def collapsed(surface: Column, bed: Column, geoid: Column, grounded: Column, tol
 def held_front(df: DataFrame, bed: str, flag: str, out: str) -> DataFrame:
     """Ice bottom held out to the front: from the first collapsed pick seaward, back to where it stopped shoaling.
 
-    df has sign. The samples seaward of the anchor take its depth; out_held tells which.
+    df has sign. The anchor is the first flagged sample on the way to the sea, moved back landward for as long as the
+    sample before it is deeper. Samples seaward of the anchor take its depth; out_held tells which. Without a flagged
+    sample, or a pick at the anchor, nothing is held.
     """
     seaward = F.col("i") * -F.col("sign")
     w = Window.partitionBy(KEY).orderBy("_s")
@@ -111,36 +114,40 @@ def held_front(df: DataFrame, bed: str, flag: str, out: str) -> DataFrame:
     return own.withColumn(f"{out}_held", held).withColumn(out, F.when(held, F.col("_depth")).otherwise(F.col(bed))).drop("_s", "_first", "_stop", "_depth")
 
 
-def ahead_of_terminus(profile: DataFrame, found: DataFrame, signs: DataFrame) -> DataFrame:
-    """profile with ahead: whether a sample is seaward of the calving front.
+def ahead_of_terminus(own: DataFrame) -> DataFrame:
+    """own with ahead: whether a sample is seaward of the calving front.
 
-    The front is the terminus seaward of the grounding point that is nearest to it, else the seaward end of the ice
-    run the point is in or nearest to.
+    own has ice, the columns of ``flotation.with_window`` and the segment's map_km. The front is the terminus seaward
+    of the grounding point that is nearest to it, else the seaward end of the ice run the point is in or nearest to.
+    Windows over one order by segment; nothing is joined.
     """
-    point = found.select(KEY, "map_km").join(signs.select(KEY, "sign"), KEY).where("map_km IS NOT NULL")
-    t = flotation.termini(profile).withColumnRenamed("x_km", "t").join(point, KEY).where(F.col("t") * F.col("sign") < F.col("map_km") * F.col("sign"))
-    front = t.groupBy(KEY, "sign").agg(F.max(F.col("t") * F.col("sign")).alias("_f")).select(KEY, (F.col("_f") * F.col("sign")).alias("front"))
-    at = profile.join(point, KEY).groupBy(KEY).agg(F.min_by("i", F.struct(F.abs(F.col("x_km") - F.col("map_km")), "i")).alias("gp_i"))
-    ice = series.runs(profile, "ice").join(at, KEY).join(point, KEY)
-    away = F.when(F.col("gp_i").between(F.col("start"), F.col("stop")), 0).otherwise(F.least(F.abs(F.col("start") - F.col("gp_i")), F.abs(F.col("stop") - F.col("gp_i"))))
-    run = ice.groupBy(KEY, "sign").agg(F.min(F.struct(away.alias("away"), "start", "x_start", "x_stop")).alias("_r"))
-    run = run.select(KEY, F.when(F.col("sign") > 0, F.col("_r.x_start")).otherwise(F.col("_r.x_stop")).alias("end"))
-    out = profile.join(point.select(KEY, "sign"), KEY, "left").join(front, KEY, "left").join(run, KEY, "left")
-    edge = F.coalesce("front", "end")
-    return out.withColumn("ahead", F.coalesce(F.when(F.col("sign") > 0, F.col("x_km") < edge).otherwise(F.col("x_km") > edge), F.lit(False))).drop("sign", "front", "end")
-
-
-def plot_layers(analysed: DataFrame, windows: DataFrame, found: DataFrame) -> DataFrame:
-    """Everything a section needs, as columns: bridged picks, ice, water and seabed masks, held bottom, projected seabed."""
-    out = bridged(bridged(analysed, "h_surf", "surface"), "h_bed", "bed_raw")
-    point = found.select(KEY, "map_km").join(windows.select(KEY, "sign"), KEY)
-    out = out.join(point, KEY).where("map_km IS NOT NULL")
+    w, x, sign = series.whole(), F.col("x_km"), F.col("sign")
+    point = F.col("map_km") * sign
+    front = F.greatest(*[F.when(F.col(t) * sign < point, F.col(t) * sign) for t in ("t_before", "t_after")])
+    out = own.withColumns({"_f": F.max(front).over(w), "_gp": F.min_by("i", F.struct(F.abs(x - F.col("map_km")), "i")).over(w)})
+    out = out.withColumn("_run", F.col("i") - F.row_number().over(Window.partitionBy(KEY, "ice").orderBy("i")))
+    run = Window.partitionBy(KEY, "ice", "_run")
+    out = out.withColumns({"_a": F.min("i").over(run), "_z": F.max("i").over(run), "_xa": F.min("x_km").over(run), "_xz": F.max("x_km").over(run)})
+    gp = F.col("_gp")
+    away = F.when(gp.between(F.col("_a"), F.col("_z")), 0).otherwise(F.least(F.abs(F.col("_a") - gp), F.abs(F.col("_z") - gp)))
+    best = F.min(F.when(F.col("ice"), F.struct(away.alias("away"), F.col("_a").alias("a"), F.col("_xa").alias("xa"), F.col("_xz").alias("xz")))).over(w)
+    out = out.withColumn("_r", best)
+    edge = F.coalesce(F.col("_f") * sign, F.when(sign > 0, F.col("_r.xa")).otherwise(F.col("_r.xz")))
+    ahead = F.when(F.col("map_km").isNotNull(), F.when(sign > 0, x < edge).otherwise(x > edge))
+    return out.withColumn("ahead", F.coalesce(ahead, F.lit(False))).drop("_f", "_gp", "_run", "_a", "_z", "_xa", "_xz", "_r")
+
+
+def plot_layers(own: DataFrame) -> DataFrame:
+    """Everything a section needs, as columns: bridged picks, ice, water and seabed masks, held bottom, projected seabed.
+
+    own has the columns of ``flotation.with_window`` and the segment's map_km; segments without one are left out.
+    """
+    out = bridged(bridged(own.where("map_km IS NOT NULL"), "h_surf", "surface"), "h_bed", "bed_raw")
     out = out.withColumn("grounded", F.col("x_km") * F.col("sign") >= F.col("map_km") * F.col("sign"))
     out = out.withColumn("collapsed", collapsed(F.col("surface"), F.col("bed_raw"), F.col("geoid_m"), F.col("grounded")))
     out = held_front(out, "bed_raw", "collapsed", "bed")
     out = out.withColumn("thick_ice", F.coalesce(F.col("surface") - F.col("bed") >= 25.0, F.lit(False)))
-    sea = projected_seabed(out.select(KEY, "x_km", "bed", "grounded", F.col("thick_ice").alias("ice")), found)
-    return out.join(sea, KEY, "left").withColumn("joined_gap", series.dilated("bed_raw_gap"))
+    return projected_seabed(out).withColumn("joined_gap", series.dilated("bed_raw_gap"))
 
 
 def plateaus(df: DataFrame, c: str = "amp", head: float = 0.3, tail: float = 0.3) -> DataFrame:
@@ -151,13 +158,34 @@ def plateaus(df: DataFrame, c: str = "amp", head: float = 0.3, tail: float = 0.3
     return own.groupBy(KEY).agg(F.avg(F.when(F.col("_r") <= head, F.col(c))).alias("bright"), F.avg(F.when(F.col("_r") >= 1 - tail, F.col(c))).alias("dark"))
 
 
-def report(analysed: DataFrame, windows: DataFrame, results: list[DataFrame]) -> DataFrame:
-    """One row per segment and detector: extent, spacing, gaps, window and answer."""
-    ext = analysed.groupBy(KEY).agg(F.min("x_km").alias("x0"), F.max("x_km").alias("x1"), F.first("dx").alias("dx"), F.avg("geoid_m").alias("geoid"))
-    gaps = series.gaps(analysed).groupBy(KEY).agg(F.count(F.lit(1)).alias("n_gaps"))
+def windows_of(own: DataFrame) -> DataFrame:
+    """(segment_id, sign, x_cross, lo, hi, reason) of samples that have the columns of ``flotation.with_window``."""
+    one = lambda c, name: F.first(c).alias(name)
+    return own.groupBy(KEY).agg(one("sign", "sign"), one("x_cross", "x_cross"), one("wlo", "lo"), one("whi", "hi"), one("wreason", "reason"))
+
+
+def report(own: DataFrame, results: list[DataFrame], least_km: float = 0.3) -> DataFrame:
+    """One row per segment and detector: extent, spacing, gaps, window and answer.
+
+    own has dx, geoid_m and the columns of ``flotation.with_window``. Its summary is one aggregation; gaps are counted
+    as runs of missing power in the same order.
+    """
+    w = series.along()
+    gap = F.col("amp").isNull()
+    marked = own.withColumns({"_nan": gap, "_next": F.coalesce(F.lead("x_km").over(w), F.col("x_km"))})
+    marked = marked.withColumn("_run", F.col("i") - F.row_number().over(Window.partitionBy(KEY, "_nan").orderBy("i")))
+    run = Window.partitionBy(KEY, "_nan", "_run")
+    # A gap is counted at its first sample.
+    counted = F.col("_nan") & (F.col("i") == F.min("i").over(run)) & (F.max("_next").over(run) - F.min("x_km").over(run) > least_km)
+    marked = marked.withColumn("_gap", counted)
+    one = lambda c, name: F.first(c).alias(name)
+    ext = marked.groupBy(KEY).agg(
+        F.count(F.lit(1)).alias("n"), F.min("x_km").alias("x0"), F.max("x_km").alias("x1"), one("dx", "dx"), F.avg("geoid_m").alias("geoid"),
+        F.count_if("_gap").alias("n_gaps"), one("sign", "sign"), one("wlo", "wlo"), one("whi", "whi"),
+    )
     out = results[0].select(KEY, "detector", "map_km", "reason")
     for r in results[1:]:
         out = out.unionByName(r.select(KEY, "detector", "map_km", "reason"))
-    out = ext.join(gaps, KEY, "left").join(windows.select(KEY, "sign", "lo", "hi"), KEY).join(out, KEY)
+    out = ext.join(out, KEY)
     line = F.format_string("%s: %.2f km", "detector", "map_km")
-    return out.withColumn("n_gaps", F.coalesce("n_gaps", F.lit(0))).withColumn("summary", F.when(F.col("map_km").isNull(), F.concat_ws(": ", "detector", "reason")).otherwise(line))
+    return out.withColumn("summary", F.when(F.col("map_km").isNull(), F.concat_ws(": ", "detector", "reason")).otherwise(line))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from firnspark.constants import EARTH, LIGHT
 from firnspark.functions.physics import clean
 from firnspark.operators import series
 
@@ -38,7 +42,7 @@ WITH e AS (
               ELSE CAST(43.19 AS DOUBLE) + CAST(500.0 AS DOUBLE) * (r - CAST(0.45 AS DOUBLE)) END AS s_msl
   FROM r
 )
-SELECT user_id AS segment_id, CAST(i AS BIGINT) AS i, CAST(i AS DOUBLE) * CAST(0.5 AS DOUBLE) AS x_km,
+SELECT user_id AS segment_id, CAST(i AS BIGINT) AS i, CAST(i AS DOUBLE) * CAST({step} AS DOUBLE) AS x_km,
        CASE WHEN i % 23 IN (5, 6, 7) THEN NULL
             ELSE CAST(-60.0 AS DOUBLE) - CAST(25.0 AS DOUBLE) * least(CAST(1.0 AS DOUBLE), greatest(CAST(0.0 AS DOUBLE), (r - CAST(0.45 AS DOUBLE)) / CAST(0.15 AS DOUBLE))) + eps_a END AS amp,
        geoid_m + s_msl + eps_h AS h_surf,
@@ -52,8 +56,29 @@ FROM g
 """
 
 
-def from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(EVENTS_SQL, events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+def from_events(spark: SparkSession, sf_dir: str, step_km: float = 0.5) -> DataFrame:
+    return spark.sql(EVENTS_SQL.replace("{step}", repr(step_km)), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+#: Radar frames, layer picks and tracks made of the profile {p}, so that reading them gives it back: a sample every two
+#: seconds, echoes at the picks' two-way times on a grid of 50 ns, an aircraft at 3 km, 20 samples a frame. Runs in Spark and
+#: DuckDB alike.
+TWTT_STEP = 5e-8
+_S = f"((3000.0e0 - h_surf) * {2 / LIGHT!r})"
+_B = f"({_S} + (h_surf - h_bed) * {2 * math.sqrt(EARTH.permittivity) / LIGHT!r})"
+TRACK_SQL = "SELECT segment_id, CAST(i AS BIGINT) * 2000000 AS us, lat, lon FROM {p}"
+LAYERS_SQL = f"""SELECT segment_id, 'standard:surface' AS layer, i * 2000000 + 400000 AS us, {_S} AS twtt, CAST(3000.0 AS DOUBLE) AS elev FROM {{p}} WHERE i % 31 <> 4
+UNION ALL SELECT segment_id, 'standard:bottom', i * 2000000 + 400000, {_B}, CAST(3000.0 AS DOUBLE) FROM {{p}} WHERE h_bed IS NOT NULL AND i % 31 <> 4"""
+_ECHO = "SELECT segment_id, CAST(floor(i / 20.0e0) AS BIGINT) AS frame, i * 2000000 AS us, CAST(floor({t} / 5.0e-8 + 0.5e0) AS BIGINT) + {o} AS bin, lat, lon, {a} AS data FROM {{p}} WHERE {w}"
+FRAMES_SQL = " UNION ALL ".join(_ECHO.format(t=t, o=o, a=a, w=w) for t, v, w in ((_S, "1.0e-3", "h_surf IS NOT NULL"), (_B, "pow(10.0e0, amp / 10.0e0)", "h_bed IS NOT NULL AND amp IS NOT NULL")) for o, a in ((-1, f"0.5e0 * {v}"), (0, v), (1, f"0.25e0 * {v}")))
+
+
+def radar_from_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(frames, layers, track) with slow_time and, in frames and layers, twtt."""
+    p = from_events(spark, sf_dir)
+    read = lambda sql: spark.sql(sql, p=p).withColumn("slow_time", F.timestamp_micros("us")).drop("us")
+    frames = read(FRAMES_SQL).withColumn("twtt", F.col("bin") * F.lit(TWTT_STEP)).drop("bin")
+    return frames, read(LAYERS_SQL), read(TRACK_SQL)
 
 
 def from_arrays(spark: SparkSession, segment_id: int, **columns) -> DataFrame:
@@ -105,8 +130,16 @@ def raster(spark: SparkSession, path: str, variables: list[str]) -> DataFrame:
     known = {"vx", "vy", "geoid", "bed", "surface"}
     if bad := set(variables) - known:
         raise KeyError(f"no such variable: {sorted(bad)}")
-    cells = spark.read.parquet(path).where(F.col("var").isin(variables))
-    return cells.groupBy("tile_col", "tile_row", "col", "row").pivot("var", variables).agg(F.first("value"))
+    try:
+        table = spark.read.parquet(path)
+    except AnalysisException as e:
+        raise FileNotFoundError(f"no raster table at {path}: convert the grid to (var, col, row, value) with write_raster, or pass a number instead") from e
+    keys = ["tile_col", "tile_row", "col", "row"]
+    # Filters on tiles and cells reach the scan through the grouping; one variable needs none.
+    if len(variables) == 1:
+        return table.where(F.col("var") == variables[0]).select(*keys, F.col("value").alias(variables[0]))
+    one = lambda v: F.max(F.when(F.col("var") == v, F.col("value"))).alias(v)
+    return table.where(F.col("var").isin(variables)).groupBy(*keys).agg(*[one(v) for v in variables])
 
 
 def write_raster(cells: DataFrame, path: str) -> None:
