@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,8 +10,8 @@ from pyspark.sql import functions as F
 
 from firnspark.functions import physics, projection
 from firnspark.operators import joins, radar, series, spatial
-from firnspark.plans import detectors, features, flotation, flow, results, screening
-from firnspark.sources import profiles
+from firnspark.plans import detectors, features, flotation, flow, reader, results, screening
+from firnspark.sources import catalog, profiles
 
 KEY = "segment_id"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,10 +48,18 @@ def _track(spark, sf_dir):
     return flow.angled(flow.headed(_masked(spark, sf_dir)))
 
 
-def _power_filled(spark, sf_dir):
-    """analysed, with the filled power as amp_f and its masked gradient: the detectors' input without the low-pass."""
-    out = series.filled(_analysed(spark, sf_dir), "amp", "amp_f")
-    return features.power_gradient(out)
+#: Samples of the detectors' profile are this far apart, so that its floating stretch is as long as they ask for.
+WIDE_KM = 1.0
+
+
+def _windowed(spark, sf_dir):
+    """Samples, twice as far apart, with physics, smoothed residual and their segment's search window."""
+    return flotation.with_window(flotation.analysed(profiles.from_events(spark, sf_dir, WIDE_KM)))
+
+
+def _featured(spark, sf_dir):
+    """The detectors' input: every feature, low-passed as the detectors have it."""
+    return features.computed(_windowed(spark, sf_dir))
 
 
 @query
@@ -58,6 +67,15 @@ def profile_physics(spark, sf_dir):
     return rounded(_masked(spark, sf_dir).select(KEY, "i", "x_km", "thickness", "h_surf_msl", "h_bed_msl", "residual", "hab"))
 
 
+@query
+def layer_physics(spark, sf_dir):
+    """Height above buoyancy of two layers, freeboard, draft, and the filter's cutoff as a share of Nyquist."""
+    own = series.spacing(_profile(spark, sf_dir))
+    hab = physics.buoyancy_of_layers(F.col("h_surf"), F.col("h_bed"), F.col("geoid_m"))
+    cut = physics.cutoff_column(features.POWER_KM)
+    return rounded(own.select(KEY, "i", hab.alias("hab"), (F.col("h_surf") - F.col("geoid_m")).alias("freeboard"), physics.draft(F.col("h_surf"), F.col("geoid_m")).alias("draft"), cut.alias("wn")))
+
+
 @query
 def segment_summary(spark, sf_dir):
     return rounded(flotation.summary(_profile(spark, sf_dir)))
@@ -134,8 +152,7 @@ def flotation_window(spark, sf_dir):
 def _two_series(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
     kind = lambda k: e.where(F.col("event_type") == k)
-    types = [r[0] for r in e.select("event_type").distinct().orderBy("event_type").limit(2).collect()]
-    return kind(types[0]).select("user_id", "event_id", "us"), kind(types[1]).groupBy("user_id", "us").agg(F.min("value").alias("value"))
+    return kind("click").select("user_id", "event_id", "us"), e.where("event_type <> 'click'").groupBy("user_id", "us").agg(F.min("value").alias("value"))
 
 
 @query
@@ -195,7 +212,7 @@ def terminus_names(spark, sf_dir):
 
 @query
 def tumbling_mean(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("user_id % 10 = user_id % 10")
+    e = table(spark, sf_dir, "events")
     out = radar.tumbling_mean(e, "ts", "6 hours", ["value"], ["event_type"], keep_empty=True)
     return rounded(out.select("event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "value"))
 
@@ -269,63 +286,146 @@ def feature_table(spark, sf_dir):
 
 @query
 def power_gradient(spark, sf_dir):
-    return rounded(_power_filled(spark, sf_dir).select(KEY, "i", "amp_f", "dA"))
+    return rounded(_featured(spark, sf_dir).select(KEY, "i", "amp_f", "dA"))
+
+
+@query
+def early_features(spark, sf_dir):
+    """The features as the CSV tables' script has them: filtered power, its gradient with a hidden stretch, residual and slope."""
+    out = features.early(series.spacing(_profile(spark, sf_dir)), hidden=(10.0, 12.0))
+    return rounded(out.select(KEY, "i", "amp_e", "amp_shown", "dA_e", "dfree_e", "dsurf_e"), 3)
 
 
 @query
 def standardised_features(spark, sf_dir):
-    own = _power_filled(spark, sf_dir).select(KEY, "i", "x_km", "amp_f", "dA")
+    own = _featured(spark, sf_dir).select(KEY, "i", "x_km", "amp_f", "dA")
     out = features.standardised(own, ["amp_f"])
     return rounded(features.standardised(out, ["dA"], F.col("x_km") < 10).select(KEY, "i", "amp_f", "dA"))
 
 
 @query
 def gradient_detector(spark, sf_dir):
-    own = _power_filled(spark, sf_dir)
-    return rounded(detectors.gradient(own, flotation.windows(own)))
+    return rounded(detectors.gradient(_featured(spark, sf_dir)))
+
+
+@query
+def clipped_gradient(spark, sf_dir):
+    return rounded(detectors.gradient_clipped(_featured(spark, sf_dir), steepest=2.0))
+
+
+@query
+def power_rise(spark, sf_dir):
+    """The notebooks' gradient: over the whole track, and between the first and last thick ice."""
+    own = detectors.between_thick_ice(_masked(spark, sf_dir))
+    anywhere = detectors.rise(own).withColumn("scope", F.lit("track"))
+    return rounded(anywhere.unionByName(detectors.rise(own, where=F.col("on_ice")).withColumn("scope", F.lit("thick ice"))))
 
 
 @query
 def onset_detector(spark, sf_dir):
-    own = _power_filled(spark, sf_dir)
-    return rounded(detectors.onset(own, flotation.windows(own), least_km=3.0))
+    return rounded(detectors.onset(_featured(spark, sf_dir)))
 
 
 def _posterior(spark, sf_dir):
     """A posterior in closed form: a bell over each segment's window."""
-    own = _analysed(spark, sf_dir)
-    w = flotation.windows(own).where("lo IS NOT NULL")
-    own = own.join(w.select(KEY, "lo", "hi", "x_cross"), KEY).where("x_km BETWEEN lo AND hi")
-    return own.select(KEY, F.lit("mean").alias("model"), "x_km", F.exp(-F.pow(F.col("x_km") - F.col("x_cross"), F.lit(2)) / 8).alias("p"))
+    own = flotation.with_window(_analysed(spark, sf_dir)).where("x_km BETWEEN wlo AND whi")
+    return own.select(KEY, F.lit("raw").alias("run"), F.lit("mean").alias("model"), "x_km", F.exp(-F.pow(F.col("x_km") - F.col("x_cross"), F.lit(2)) / 8).alias("p"), F.lit("").alias("reason"))
 
 
 @query
 def credible_intervals(spark, sf_dir):
     p = _posterior(spark, sf_dir)
-    return rounded(detectors.intervals(p).join(detectors.most_likely(p), [KEY, "model"]))
+    return rounded(detectors.intervals(p).join(detectors.most_likely(p).drop("reason"), [KEY, "run", "model"]))
+
+
+@query
+def changepoint_posterior(spark, sf_dir):
+    """Every model's posterior and their mean, as the script has them: three models, untrimmed."""
+    p = detectors.bayesian(_featured(spark, sf_dir), models=("gauss", "ifm", "fullcov"), trim=0)
+    return rounded(p, 5)
 
 
 @query
 def bayesian_changepoint(spark, sf_dir):
-    own = features.computed(_analysed(spark, sf_dir))
-    p = detectors.bayesian(own, flotation.windows(own))
-    return rounded(detectors.most_likely(p).join(detectors.intervals(p, (0.68,)).drop("mass"), [KEY, "model"], "left"))
+    p = detectors.bayesian(_featured(spark, sf_dir))
+    return rounded(detectors.most_likely(p).join(detectors.intervals(p, (0.68,)).drop("mass"), [KEY, "run", "model"], "left"))
 
 
 @query
 def changepoint_discordance(spark, sf_dir):
-    own = features.computed(_analysed(spark, sf_dir))
-    w = flotation.windows(own)
-    one = lambda norm: detectors.most_likely(detectors.bayesian(own, w, normalise=norm)).where("model = 'mean'")
-    return rounded(detectors.discordant(one(False), one(True)))
+    """Raw and normalised features, the latter by the seaward stretch, with all models and no trimming."""
+    own = _featured(spark, sf_dir)
+    p = detectors.bayesian(own, models=("gauss", "ifm", "fullcov"), runs=("raw", "normalised"), trim=0, reference=F.col("smooth") < 10)
+    return rounded(detectors.discordant(detectors.most_likely(p).where("model = 'mean'")))
+
+
+def _results(own: DataFrame) -> DataFrame:
+    """The answers of onset, changepoint and gradient for each segment, with its window and extent."""
+    own = catalog.kept(own, "features")
+    return results.report(own, [detectors.onset(own), detectors.changepoint_result(detectors.bayesian(own), results.windows_of(own)), detectors.gradient(own)])
 
 
 @query
 def transition_width(spark, sf_dir):
-    own = _power_filled(spark, sf_dir)
-    w = flotation.windows(own)
-    out = detectors.transition_width(detectors.onset(own, w, least_km=3.0), detectors.gradient(own, w), w)
-    return rounded(detectors.zone_offset(out.withColumnRenamed("width_km", "map_km").withColumn("zone", F.lit(1.0)), "zone").withColumnRenamed("map_km", "width_km"))
+    return rounded(detectors.transition_width(_results(_featured(spark, sf_dir))))
+
+
+@query
+def zone_offsets(spark, sf_dir):
+    """Each detector's answer against a zone that begins 2 km seaward of where the residual says the ice grounds."""
+    own = catalog.kept(_featured(spark, sf_dir), "features")
+    zone = own.groupBy(KEY).agg((F.first("x_cross") - 2.0 * F.first("sign")).alias("zone"))
+    found = detectors.gradient(own).unionByName(detectors.onset(own)).select(KEY, "detector", "map_km").join(zone, KEY)
+    return rounded(detectors.zone_offset(found, "zone"))
+
+
+@query
+def detection_report(spark, sf_dir):
+    return rounded(_results(_featured(spark, sf_dir)).withColumn("sign", F.col("sign").cast("long")))
+
+
+def _radar_tables(spark, sf_dir):
+    """Frames, layers and tracks as the tables they are read from elsewhere."""
+    return [catalog.kept(t, name) for t, name in zip(profiles.radar_from_events(spark, sf_dir), ("frames", "layers", "track"), strict=True)]
+
+
+def _from_radar(spark, sf_dir, dx_km=None):
+    frames, layers, track = _radar_tables(spark, sf_dir)
+    return reader.profiles_from_radar(frames, layers, track, "4 seconds", dx_km, geoid=15.0, keep=catalog.kept)
+
+
+@query
+def radar_elevations(spark, sf_dir):
+    _, layers, track = _radar_tables(spark, sf_dir)
+    out = reader.elevations(layers, track, [KEY])
+    return rounded(out.select(KEY, F.unix_micros("slow_time").alias("us"), "x_km", "lat", "lon", "h_surf", "h_bed"), 4)
+
+
+@query
+def radar_bed_power(spark, sf_dir):
+    frames, layers, _ = _radar_tables(spark, sf_dir)
+    out = reader.bed_power(frames, layers, "4 seconds", [KEY])
+    return rounded(out.select(KEY, F.unix_micros("slow_time").alias("us"), "x_km", "amp"), 4)
+
+
+@query
+def radar_profile(spark, sf_dir):
+    """Frames, picks and tracks read into profiles."""
+    return rounded(_from_radar(spark, sf_dir), 3)
+
+
+@query
+def grounding_report(spark, sf_dir):
+    """From radar frames to the report: read, crop, keep the leg that crosses flotation, find the window, detect, measure."""
+    own = flotation.cropped_to(_from_radar(spark, sf_dir, F.lit(1.0)), F.lit(1.0), None)
+    vx = F.when(F.col(KEY) % 5 == 4, 289.7777).otherwise(-77.6457)
+    vy = F.when(F.col(KEY) % 5 == 4, -77.6457).otherwise(-289.7777)
+    track = catalog.kept(flow.angled(flow.headed(physics.with_physics(own.withColumns({"vx": vx, "vy": vy})))), "tracks")
+    leg = flow.on_best_leg(track, margin_km=8.0)
+    own = catalog.kept(features.computed(flotation.with_window(flotation.smoothed(leg), 8.0)), "features")
+    out = catalog.kept(results.report(own, [detectors.onset(own, least_km=4.0), detectors.changepoint_result(detectors.bayesian(own), results.windows_of(own)), detectors.gradient(own)]), "report")
+    width = detectors.transition_width(out)
+    return rounded(detectors.zone_offset(out.join(width, KEY), "wlo").withColumn("sign", F.col("sign").cast("long")), 3)
 
 
 def _lines(spark, sf_dir):
@@ -352,12 +452,64 @@ def zone_bounds(spark, sf_dir):
     return rounded(found.select(KEY, "c_custkey", F.col("first.lat").alias("first_lat"), F.col("last.lat").alias("last_lat"), F.col("last.lon").alias("last_lon")))
 
 
+@query
+def track_bounds(spark, sf_dir):
+    """Where zones begin and end along each track: at the samples nearest in latitude and in longitude to the crossings."""
+    tracks, zones = _lines(spark, sf_dir)
+    found = spatial.clipped(tracks, zones, KEY, "c_custkey", 0.25)
+    return rounded(spatial.along_track_bounds(found, _profile(spark, sf_dir), KEY, "c_custkey"))
+
+
 @query
 def catalog_search(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("collection"), F.col("o_orderstatus").alias("segment"), F.year("o_orderdate").alias("year"), "o_orderkey")
     return spatial.search(o, ["1-URGENT", "2-HIGH"], ["O", "F"], (1993, 1996)).select("o_orderkey")
 
 
+@query
+def catalog_geometry(spark, sf_dir):
+    """Tracks of a range of years that meet any of the zones asked for."""
+    tracks, zones = _lines(spark, sf_dir)
+    frames = tracks.withColumn("year", (F.lit(2000) + F.col(KEY) % 20).cast("int"))
+    return spatial.search(frames, dates="2006/2015", geometry=zones.where("c_custkey % 53 < 5"), key=KEY, geometry_key="c_custkey").select(KEY, "year")
+
+
+@query
+def termini_ingest(spark, sf_dir):
+    """Termini from their converted tables: names and shapes by row, in degrees."""
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    names = n.select(F.col("n_nationkey").alias("row"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"), (F.lit(2010) + F.col("n_nationkey") % 15).alias("year"))
+    at = lambda dx: F.struct((F.col("n_nationkey") * 9000.0 - 300000.0 + dx).alias("x"), (F.lit(-1000000.0) - F.col("n_nationkey") * 500.0).alias("y"))
+    shapes = n.where("n_nationkey <> 7").select(F.col("n_nationkey").alias("row"), F.array(at(0.0), at(4000.0)).alias("points"))
+    out = catalog.termini(names, shapes, end_year=2021)
+    named = catalog.region(r.select(F.col("r_regionkey").alias("region"), F.col("r_name").alias("name")), "EUROPE")
+    out = out.join(named.select("region", F.lit(True).alias("in_region")), "region", "left")
+    return rounded(out.select("row", "name", F.coalesce("in_region", F.lit(False)).alias("in_region"), F.col("points")[0]["lon"].alias("lon"), F.col("points")[1]["lat"].alias("lat")))
+
+
+@query
+def label_lookup(spark, sf_dir):
+    """Rows by label, and a layer by its name."""
+    p = table(spark, sf_dir, "part")
+    return catalog.labelled(p, "p_partkey", [3, 17, 150]).select("p_partkey", F.lit("label").alias("by")).unionByName(catalog.labelled(p, "p_size", [7]).select("p_partkey", F.lit("layer").alias("by")))
+
+
+@query
+def geoid_sample(spark, sf_dir):
+    """The geoid and the seabed along the tracks from a raster table, the seabed on the ellipsoid."""
+    path = f"{catalog.shared(spark)}/firnspark-raster-{uuid.uuid4().hex}"
+    cells = spark.range(400).select(F.col("id").alias("col")).crossJoin(F.broadcast(spark.range(200).select(F.col("id").alias("row"))))
+    var = lambda name, value: cells.select(F.lit(name).alias("var"), "col", "row", value.cast("double").alias("value"))
+    profiles.write_raster(var("geoid", 10 + F.col("col") * 0.01).unionByName(var("bed", -200 - F.col("row") * 1.5)), path)
+    own = reader.with_geoid(_profile(spark, sf_dir).drop("geoid_m"), path, (-320000.0, -950000.0), 2000.0)
+    return rounded(reader.bathymetry(own, path, (-320000.0, -950000.0), 2000.0).select(KEY, "i", "geoid_m", "seabed_m"))
+
+
+@query
+def erf_values(spark, sf_dir):
+    return rounded(_profile(spark, sf_dir).select(KEY, "i", physics.erf_model(F.col("x_km"), 12.0, 0.25, 8.0, -3.0).alias("y")))
+
+
 @query
 def erf_derivatives(spark, sf_dir):
     d1, d2, d3 = physics.erf_model_derivatives(F.col("x_km"), 12.0, 0.25, 8.0)
@@ -372,19 +524,15 @@ def erf_fit(spark, sf_dir):
 
 @query
 def plot_layers(spark, sf_dir):
-    own = _analysed(spark, sf_dir)
-    w = flotation.windows(own)
-    found = w.where("x_cross IS NOT NULL").select(KEY, F.col("x_cross").alias("map_km"))
-    out = results.plot_layers(own, w, found)
+    own = flotation.with_window(_analysed(spark, sf_dir)).withColumn("map_km", F.col("x_cross"))
+    out = results.plot_layers(own)
     return rounded(out.select(KEY, "i", "surface", "surface_gap", "bed", "bed_held", "thick_ice", "grounded", "collapsed", "joined_gap", "seabed"))
 
 
 @query
 def ahead_of_terminus(spark, sf_dir):
-    own = _analysed(spark, sf_dir)
-    w = flotation.windows(own)
-    found = w.where("x_cross IS NOT NULL").select(KEY, F.col("x_cross").alias("map_km"))
-    return results.ahead_of_terminus(own, found, w).select(KEY, "i", "ahead")
+    own = flotation.with_window(_analysed(spark, sf_dir)).withColumn("map_km", F.col("x_cross"))
+    return results.ahead_of_terminus(own).select(KEY, "i", "ahead")
 
 
 @query
@@ -426,14 +574,6 @@ def last_terminus(spark, sf_dir):
     return rounded(first.groupBy(KEY).agg(F.max("x_km").alias("last"), F.count(F.lit(1)).alias("n")))
 
 
-@query
-def detection_report(spark, sf_dir):
-    own = _power_filled(spark, sf_dir)
-    w = flotation.windows(own)
-    out = results.report(own, w, [detectors.gradient(own, w), detectors.onset(own, w, least_km=3.0)])
-    return rounded(out.withColumn("sign", F.col("sign").cast("long")))
-
-
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: the screening verdict of every segment."""
     return segment_screening(spark, sf_dir)

@@ -175,6 +175,68 @@ def test_changepoint_finds_a_planted_step(model):
         changepoint.posterior(x, "other")
 
 
+@pytest.mark.parametrize("model", ["gauss", "ifm", "fullcov"])
+@pytest.mark.parametrize("scale", [0.01, 1.0, 100.0, 1000.0])
+def test_changepoint_does_not_depend_on_the_unit(model, scale):
+    rng = np.random.default_rng(2)
+    for n in (20, 60, 120):
+        x = rng.normal(size=(n, 4)) * 0.3
+        x[n * 3 // 5 :] += 3
+        p = changepoint.posterior(x * scale, model, trim=3)
+        assert abs(int(np.argmax(p)) - (n * 3 // 5 - 1)) <= 2
+        assert np.allclose(p, changepoint.posterior(x, model, trim=3), atol=1e-6)
+
+
+def test_changepoint_of_series_without_spread():
+    for x in (np.zeros((15, 4)), np.full((15, 4), 7.0), np.repeat([[0.0, 1, 2, 3]], 15, axis=0)):
+        for model in changepoint.MODELS:
+            p = changepoint.posterior(x, model)
+            assert np.isfinite(p).all() and p.sum() == pytest.approx(1)
+
+
+def brute_likelihood(x, model):
+    """ln of a segment's likelihood from the samples alone, by determinants and gamma functions."""
+    n, d = len(x), x.shape[1]
+    v = np.var(x)
+    if model == "ifm":
+        each = [-(n / 2) * math.log(math.pi) + d / 2 * math.log(v) - math.lgamma(d / 2) + math.lgamma((d + n) / 2) - (d + n) / 2 * math.log(v + (c * c).sum()) for c in x.T]
+        return sum(each)
+    multi = lambda a: d * (d - 1) / 4 * math.log(math.pi) + sum(math.lgamma(a - j / 2) for j in range(d))
+    det = lambda m: np.linalg.slogdet(m)[1]
+    return -(d * n / 2) * math.log(math.pi) + d / 2 * det(v * np.eye(d)) - multi(d / 2) + multi((d + n) / 2) - (d + n) / 2 * det(v * np.eye(d) + x.T @ x)
+
+
+@pytest.mark.parametrize("model", ["ifm", "fullcov"])
+def test_changepoint_likelihoods_match_brute_force(model):
+    x = np.random.default_rng(5).normal(size=(9, 4)) * [1, 5, 0.2, 30] + [0, 40, 1, -60]
+    found = changepoint.MODELS[model](x)
+    for t in range(9):
+        for s in range(t, 9):
+            assert found[t, s] == pytest.approx(brute_likelihood(x[t : s + 1], model), abs=1e-6)
+
+
+def test_bayesian_gives_every_segment_an_answer(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for segment, n in ((1, 40), (2, 2), (3, 40), (4, 40)):
+        for i in range(n):
+            x = [float(v) + (5.0 if i >= 22 else 0.0) for v in rng.normal(size=4)]
+            rows.append((segment, i, float(i), *(None if segment == 3 and i == 9 else v for v in x), None if segment == 4 else 0.0, None if segment == 4 else 39.0, "never grounded" if segment == 4 else ""))
+    df = spark.createDataFrame(rows, "segment_id long, i long, x_km double, amp_f double, dA double, dfree double, dsurf double, wlo double, whi double, wreason string")
+    p = detectors.bayesian(df, runs=("raw", "normalised"))
+    found = {(r.segment_id, r.run, r.model): r for r in detectors.most_likely(p).collect()}
+    assert len(found) == 2 * (3 + 1 + 1 + 1)
+    for run in ("raw", "normalised"):
+        assert all(found[1, run, m].map_km is not None and found[1, run, m].reason == "" for m in ("ifm", "fullcov", "mean"))
+        assert found[2, run, "mean"].reason.startswith("fewer") and found[3, run, "mean"].reason.startswith("features") and found[4, run, "mean"].reason == "never grounded"
+    # Channels are taken as of mean zero, so a step shows in raw features and not in ones centred between its levels.
+    assert all(abs(found[1, "raw", m].map_km - 21) <= 3 for m in ("ifm", "fullcov", "mean"))
+    with pytest.raises(ValueError):
+        detectors.bayesian(df, models=("other",))
+    with pytest.raises(ValueError):
+        detectors.bayesian(df, primary="other")
+
+
 def onset_profile(spark, way):
     n = 120
     k = np.arange(n) if way > 0 else np.arange(n)[::-1]
@@ -192,18 +254,30 @@ def onset_profile(spark, way):
 @pytest.mark.parametrize("way", [1, -1])
 def test_onset_is_the_first_sample_of_the_lasting_drop(spark, way):
     df, w = onset_profile(spark, way)
-    r = detectors.onset(df, w).first()
+    df = detectors.windowed(df, w)
+    r = detectors.onset(df).first()
     first = 61 if way > 0 else 120 - 1 - 61
     assert r.reason == "" and abs(r.map_km - first * 0.5) <= 1.0
     high = df.withColumn("amp_f", F.lit(-60.0))
-    assert detectors.onset(high, w).first().reason == "power never drops"
-    assert detectors.onset(df, w, least_km=50.0).first().reason == "floating reference is too short"
+    assert detectors.onset(high).first().reason == "power never drops"
+    assert detectors.onset(df, least_km=50.0).first().reason == "floating reference is too short"
 
 
 def test_gradient_detector_ignores_the_edges(spark):
     df = spark.createDataFrame([(1, k, float(k), 9.0 if k in (10, 30) else 5.0 if k == 20 else 0.1) for k in range(41)], "segment_id long, i long, x_km double, dA double")
-    w = spark.createDataFrame([(1, 10.0, 30.0)], "segment_id long, lo double, hi double")
-    assert detectors.gradient(df, w).first().map_km == 20
+    w = spark.createDataFrame([(1, 1, 10.0, 30.0)], "segment_id long, sign int, lo double, hi double")
+    own = detectors.windowed(df, w)
+    assert detectors.gradient(own).first().map_km == 20
+    assert detectors.gradient_clipped(own).first().map_km == 20 and detectors.gradient_clipped(own, steepest=10.0).first().map_km == 10
+    none = detectors.gradient(detectors.windowed(df, w.where("lo < 0"))).first()
+    assert none.map_km is None and none.reason == "no search window"
+
+
+def test_rise_takes_the_first_of_equal_signed_steps(spark):
+    amp = [0.0, 0.0, 4.0, 4.0, -9.0, -9.0, -5.0, -5.0]
+    df = spark.createDataFrame([(1, k, k * 0.5, v, 60.0 if k > 3 else 10.0) for k, v in enumerate(amp)], "segment_id long, i long, x_km double, amp double, thickness double")
+    own = detectors.between_thick_ice(df)
+    assert detectors.rise(own).first().map_km == 0.5 and detectors.rise(own, where=F.col("on_ice")).first().map_km == 2.5
 
 
 def test_erf_fit_and_derivatives(spark):
