@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from firnspark.llm import bpe, jaccard_join, license_scan, nn_descent, packing, quality_model, quality_rules, suffix_dedup, url_filter, warc
+from firnspark.llm import bpe, jaccard_join, license_scan, nn_descent, oracles, packing, quality_model, quality_rules, suffix_dedup, url_filter, warc
 from firnspark.llm.common import Scratch, table
 
 
@@ -74,6 +74,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc": oracles.WARC,
+    "op4_nn_descent": oracles.NEIGHBOURS,
+    "op5_suffix_dedup": oracles.SUFFIXES,
+    "op7_jaccard_join": oracles.JACCARD,
     "op2_url_filter": url_filter.ORACLE_SQL,
     "op9_quality_rules": quality_rules.ORACLE_SQL,
     "op10_license_scan": license_scan.ORACLE_SQL,
