@@ -245,17 +245,38 @@ def test_nn_descent_edge_tables(spark):
     assert Counter(tuple(r) for r in nn_descent.near_duplicates(one, Scratch(spark, "t"))[0].collect()) == Counter({(None, 2, 4, False): 1, (4, 2, 4, True): 2})
 
 
-def test_degrees_across_blocks(spark):
+def test_crossed_counts_and_joins_across_blocks(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(90, 8)) * 0.2 + np.ones(8)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    rows = [(1, k, 1 + k % 2, bytearray(v.tobytes())) for k, v in enumerate(x)]
-    df = spark.createDataFrame(rows, "component long, node long, weight long, x binary")
+    weight = [1 + k % 2 for k in range(90)]
+    right = spark.createDataFrame([(7, k, weight[k], bytearray(v.tobytes()), k < 40) for k, v in enumerate(x)], "grp long, node long, weight long, x binary, crowded boolean")
+    met = nn_descent.crossed(right.where("crowded").drop("crowded"), right, 90, 0.95, block=16).collect()
     close = x @ x.T >= 0.95
     np.fill_diagonal(close, False)
-    want = close @ np.array([r[2] for r in rows])
-    got = {r.node: r.degree for r in nn_descent.degrees(df, 90, 0.95, block=16).collect()}
-    assert got == {k: int(v) for k, v in enumerate(want)}
+    close[40:, 40:] = False
+    got = Counter()
+    for r in met:
+        if r.v is None:
+            got[r.u] += r.n
+    assert {k: got[k] for k in range(90)} == {k: int(v) for k, v in enumerate(close @ np.array(weight))}
+    links = [(a, b) for a in range(90) for b in range(a) if close[a, b]]
+    assert components(range(90), [(r.u, r.v) for r in met if r.v is not None]) == components(range(90), links)
+
+
+def test_crowds_are_counted_in_balls(spark):
+    """A tight group of a third of all rows, vectors around its edge, and pairs: every link, without comparing the group."""
+    rng = np.random.default_rng(8)
+    middle = np.eye(24)[0]
+    rows = [middle + rng.normal(size=24) * 0.012 for _ in range(300)]
+    rows += [middle + (v := rng.normal(size=24)) / np.linalg.norm(v) * r for r in np.linspace(0.15, 0.6, 150)]
+    rows += [c + rng.normal(size=24) * 0.1 for c in rng.normal(size=(225, 24)) for _ in range(2)]
+    rows = [(k, v.tolist()) for k, v in enumerate(rows)]
+    links, _ = brute_vectors(rows, 0.95)
+    n, least = Counter(k for e in links for k in e), components(range(len(rows)), links)
+    found, audit = nn_descent.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), Scratch(spark, "t"))
+    assert {r.vec_id: (r.n_links, r.component_id) for r in found.collect()} == {k: (n[k], least[k]) for k in range(len(rows))}
+    assert audit["compared"] < 100
 
 
 # Pipeline
