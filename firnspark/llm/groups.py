@@ -37,13 +37,36 @@ def bounds(*keys: np.ndarray) -> list[int]:
     return [0, *(np.flatnonzero(new) + 1).tolist(), n]
 
 
-def block_pairs(rows: DataFrame, group: str, member: str, size: str, block: int) -> DataFrame:
-    """rows with pair, own, low, high: each group in blocks of about `block` members, every two blocks together once.
+def first_pairs(rows: DataFrame, block: int) -> DataFrame:
+    """rows (tile, row, size) with pair, side and label: each tile in blocks of about `block`, every other block with the first.
 
-    pair is a hash of the group and its two blocks, low and high; own is the row's block. A group of
-    one block is one pair. `size` is the column with the group's size.
+    A tile of one block is one pair. pair is a hash of the tile and its block, side 2 (all rows meet all), label the row.
     """
-    out = rows.withColumn("blocks", F.ceil(F.col(size) / block).cast("int")).withColumn("own", F.pmod(F.xxhash64(member, group), F.col("blocks")).cast("int"))
-    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    out = out.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("other", "blocks")
-    return out.withColumn("pair", F.xxhash64(group, "low", "high"))
+    out = rows.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("row", "tile"), F.col("blocks")).cast("int"))
+    with_all = F.when(F.col("blocks") == 1, F.array(F.lit(0))).when(F.col("own") == 0, F.sequence(F.lit(1), F.greatest(F.col("blocks") - 1, F.lit(1)))).otherwise(F.array("own"))
+    out = out.withColumn("other", F.explode(with_all))
+    return out.select("tile", "row", F.xxhash64("tile", "other").alias("pair"), F.lit(2).alias("side"), F.col("row").alias("label"))
+
+
+def rest_pairs(rows: DataFrame, found: DataFrame, block: int) -> DataFrame:
+    """What first_pairs has left open of tiles of more than one block, given the components (node, component) of what it found.
+
+    Rows of a tile's largest component need no more comparing among themselves: the other rows (side 0) meet all
+    rows (side 1) of another label, every block of the ones with every block of the others. A crowd that is joined already
+    costs nothing here.
+    """
+    known = rows.where(F.col("size") > block).join(found.select(F.col("node").alias("row"), "component"), "row", "left").withColumn("label", F.coalesce("component", "row"))
+    sizes = known.groupBy("tile", "label").agg(F.count(F.lit(1)).alias("n"))
+    tiles = sizes.groupBy("tile").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all")).where(F.col("top.n") < F.col("all"))
+    tiles = tiles.select("tile", F.col("top.label").alias("major"), F.ceil((F.col("all") - F.col("top.n")) / block).cast("int").alias("high"), F.ceil(F.col("all") / block).cast("int").alias("wide"))
+    known = known.join(tiles, "tile")
+    own = lambda k: F.pmod(F.xxhash64("row", "tile"), F.col(k)).cast("int")
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    minor = known.where(F.col("label") != F.col("major")).select("tile", "row", "label", F.lit(0).alias("side"), own("high").alias("a"), each("wide").alias("b"))
+    every = known.select("tile", "row", "label", F.lit(1).alias("side"), own("wide").alias("b"), each("high").alias("a"))
+    return minor.unionByName(every).select("tile", "row", F.xxhash64("tile", "a", "b", F.lit("rest")).alias("pair"), "side", "label")
+
+
+def may_meet(row: np.ndarray, side: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Which two rows of a pair of blocks are to be compared."""
+    return (label[:, None] != label[None, :]) & (row[:, None] != row[None, :]) & ((side[:, None] == 2) | (side[:, None] != side[None, :]))

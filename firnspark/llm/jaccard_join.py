@@ -6,9 +6,10 @@ a tile, signatures bound the overlap from above by bit counts; what passes is in
 as sorted arrays.
 
 Pairs are never listed. A tile gives a least spanning forest of the pairs that size and signature let be
-linked: no more pairs than rows. The components of these forests hold every link, and within
-each the sets are intersected exactly, which again gives a spanning forest. Large tiles and components
-are dealt into pairs of blocks, each a task's work.
+linked: no more pairs than rows. The components of these forests hold every link; within each,
+pairs that pass the bound are intersected, unless they are joined already, which again gives a spanning
+forest. Large tiles and components are dealt into blocks: every block meets the first one, and what
+that leaves apart from the largest component meets all others.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from firnspark.llm import repeats, shingles
 from firnspark.llm.chunks import buckets, chunked, packed, shares, text_bytes, unpacked
 from firnspark.llm.common import Scratch, trimmed
 from firnspark.llm.components import connected_components
-from firnspark.llm.groups import block_pairs, bounds, whole_groups
+from firnspark.llm.groups import bounds, first_pairs, may_meet, rest_pairs, whole_groups
 
 KEY = repeats.ALONE
 #: The order's list of widespread shingles has a fixed bound, so it can be broadcast: 2^17 words.
@@ -45,9 +46,13 @@ class Similarity:
         """Least overlap of a set of n shingles with any partner."""
         return -(-self.top * n // self.bottom)
 
-    def linked(self, n: int, m: int, common: int) -> bool:
+    def linked(self, n, m, common):
         return self.bottom * common >= self.top * (n + m - common)
 
+    def may_be(self, n, m, apart):
+        """Whether sets that differ in `apart` elements or more can be linked: with I = (n + m - apart) / 2."""
+        return (self.bottom - self.top) * (n + m) >= (self.bottom + self.top) * apart
+
     def bits(self) -> float:
         """Least signature bits for each shingle: twice the bits in which linked sets of equal size may differ
         are still fewer than the half of them in which unrelated ones do."""
@@ -80,8 +85,9 @@ def _ordered(keys: np.ndarray, edges: np.ndarray, rank_of: np.ndarray, ranks: np
 def widespread(chunks: DataFrame, size: int, at: int, least: int = 8) -> DataFrame:
     """(shingle, n): the shingles that most documents have, at most MOST_WIDESPREAD of them.
 
-    Every chunk counts all of its texts, equal sets once, and passes on the shingles of `least`
-    documents or more; the rest can't be widespread. Only the order of comparing depends on it.
+    Every chunk counts all of its texts, equal sets once, and passes on the shingles that `least` of its
+    documents or more have. Only the order of comparing depends on the list: a shingle that is missed makes a
+    larger tile, not a lost link.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,19 +209,19 @@ def _classes(docs: DataFrame, scratch: Scratch, similarity: Similarity, chunk_by
     del members, some, least, by_chunk, answers
     scratch.free()
 
-    asked = scratch.keep(_proposed_pairs(tiles, held_rows, similarity, partitions).distinct(), "asked")
-    del tiles, held_rows, keyed_sets
-    scratch.drop("keyed", "tiles", "widespread")
-    scratch.free()
+    proposed = _spanned(tiles, lambda dealt: _proposed_pairs(dealt, held_rows, similarity, partitions), scratch, "proposed")
     # Whatever is linked is in one component of the pairs that may be; there sets are intersected exactly.
-    groups = scratch.keep(connected_components(asked, scratch, "group"), "groups").select(F.col("node").alias("row"), F.col("component").alias("tile"))
-    groups = groups.join(groups.groupBy("tile").agg(F.count(F.lit(1)).alias("size")), "tile")
-    links = scratch.keep(_linked(groups, chunks, sets, similarity, partitions), "links")
-    del groups, asked
-    scratch.drop("groups", "asked")
+    groups = scratch.keep(connected_components(proposed, scratch, "group"), "groups").select(F.col("node").alias("row"), F.col("component").alias("tile"))
+    groups = scratch.keep(groups.join(groups.groupBy("tile").agg(F.count(F.lit(1)).alias("size")), "tile"), "sized")
+    del tiles, held_rows, keyed_sets, proposed
+    scratch.drop("keyed", "tiles", "widespread", "groups", "proposed", "proposed-known", "proposed-rest")
+    scratch.free()
+    links = _spanned(groups, lambda dealt: _linked(dealt, chunks, sets, similarity, partitions), scratch, "links")
+    del groups
+    scratch.drop("sized")
     scratch.free()
     classes = scratch.keep(connected_components(links, scratch, "class"), "classes")
-    scratch.drop("links")
+    scratch.drop("links", "links-known", "links-rest")
 
     of_row = rows.select("row", "doc_id", "n").join(copies, "row", "left").withColumn("vertex", F.coalesce("vertex", "row"))
     of_row = of_row.join(classes.select(F.col("node").alias("vertex"), "component"), "vertex", "left")
@@ -236,94 +242,108 @@ def _place():
     return F.expr(f"CAST(row % {shingles.MOST_DOCS} AS INT)")
 
 
-def _asked(groups: DataFrame, block: int) -> DataFrame:
-    """(chunk_id, asked): for each chunk its rows' places, and the groups and pairs of blocks they are wanted in."""
-    dealt = block_pairs(groups, "tile", "row", "size", block)
-    return dealt.groupBy(_chunk().alias("chunk_id")).agg(F.collect_list(F.struct(_place().alias("place"), "pair", "tile")).alias("asked"))
+def _spanned(groups: DataFrame, compare, scratch: Scratch, name: str, block: int = 1024) -> DataFrame:
+    """(a, b) that compare finds in groups (tile, row, size), in two goes if there are groups of more than one block."""
+    found = scratch.keep(compare(first_pairs(groups, block)).distinct(), name)
+    if groups.where(F.col("size") > block).isEmpty():
+        return found
+    rest = rest_pairs(groups, scratch.keep(connected_components(found, scratch, f"{name}-so-far"), f"{name}-known"), block)
+    return found.union(scratch.keep(compare(rest).distinct(), f"{name}-rest"))
+
+
+def _asked(dealt: DataFrame) -> DataFrame:
+    """(chunk_id, asked): for each chunk its rows' places, and where they are wanted."""
+    return dealt.groupBy(_chunk().alias("chunk_id")).agg(F.collect_list(F.struct(_place().alias("place"), "pair", "tile", "side", "label")).alias("asked"))
+
 
+WANTED = "pair long, tile long, side int, label long, row long"
 
-def _wanted(asked: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places in order, with their pairs and tiles."""
+
+def _wanted(asked: pa.Scalar, chunk_id: int) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    """Places in order, and where they are wanted."""
     found = asked.values
-    place, pair, tile = (found.field(k).to_numpy() for k in range(3))
+    place = found.field("place").to_numpy()
     order = np.argsort(place, kind="stable")
-    return place[order].astype(np.int64), pair[order], tile[order]
+    place = place[order].astype(np.int64)
+    columns = {c: found.field(c).take(pa.array(order)) for c in ("pair", "tile", "side", "label")}
+    return place, columns | {"row": pa.array(chunk_id * shingles.MOST_DOCS + place, pa.int64())}
+
+
+def _each_meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]]]:
+    """Tables of whole pairs of blocks, with the bounds, rows, labels and mask of each of them."""
+    for table in whole_groups(batches, "pair"):
+        pair, tile, side, label, row = (table.column(c).to_numpy() for c in ("pair", "tile", "side", "label", "row"))
+        edges = bounds(pair, tile)
+        yield table, [(lo, hi, row[lo:hi], label[lo:hi], may_meet(row[lo:hi], side[lo:hi], label[lo:hi])) for lo, hi in zip(edges, edges[1:], strict=False) if hi - lo > 1]
 
 
-def _proposed_pairs(tiles: DataFrame, held_rows: DataFrame, similarity: Similarity, partitions: int, block: int = 1024) -> DataFrame:
-    """(a, b): pairs that may be linked by size and signature, a least spanning forest of them for each tile.
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    columns = list(zip(*found, strict=True)) or [[], []]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
 
-    A tile of more than `block` rows is dealt into pairs of blocks. The rows' signatures are taken from
-    their chunks and shuffled once, to where their tile is looked at.
+
+def _proposed_pairs(dealt: DataFrame, held_rows: DataFrame, similarity: Similarity, partitions: int) -> DataFrame:
+    """(a, b): pairs that may be linked by size and signature, a least spanning forest of them for each pair of blocks.
+
+    The rows' signatures are taken from their chunks and shuffled once, to where their tile is looked at.
     """
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk_id, held, asked in zip(*batch.columns, strict=True):
-                t = unpacked(held.as_buffer())
-                place, pair, tile = _wanted(asked)
-                own = t.select(["n", "signature"]).take(pa.array(place))
-                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(tile), pa.array(chunk_id.as_py() * shingles.MOST_DOCS + place, pa.int64()), *own.columns], ["pair", "tile", "row", "n", "signature"])
+                place, where = _wanted(asked, chunk_id.as_py())
+                own = unpacked(held.as_buffer()).select(["n", "signature"]).take(pa.array(place))
+                yield pa.RecordBatch.from_arrays([*where.values(), *own.columns], [*where, "n", "signature"])
 
-    dealt = held_rows.join(_asked(tiles, block), "chunk_id").select("chunk_id", "docs", "asked").mapInArrow(trimmed(signed), "pair long, tile long, row long, n long, signature binary")
+    sent = held_rows.join(_asked(dealt), "chunk_id").select("chunk_id", "docs", "asked").mapInArrow(trimmed(signed), WANTED + ", n long, signature binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "pair"):
-            pair, tile, row, n = (table.column(c).to_numpy() for c in ("pair", "tile", "row", "n"))
-            signs, found = table.column("signature"), []
-            edges = bounds(pair, tile)
-            for lo, hi in zip(edges, edges[1:], strict=False):
-                if hi - lo > 1:
-                    apart = shingles.least_differences([signs[k].as_buffer().to_pybytes() for k in range(lo, hi)])
-                    both = n[lo:hi, None] + n[None, lo:hi]
-                    # bottom * I >= top * (n + m - I) with I = (n + m - difference) / 2.
-                    cost = np.where((similarity.bottom - similarity.top) * both >= (similarity.bottom + similarity.top) * apart, apart + 1, -1)
-                    found += _proposed(row[lo:hi], cost)
-            columns = list(zip(*found, strict=True)) or [[], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
+        for table, meetings in _each_meeting(batches):
+            n, signs, found = table.column("n").to_numpy(), table.column("signature"), []
+            for lo, hi, row, label, meet in meetings:
+                apart = shingles.least_differences([signs[k].as_buffer().to_pybytes() for k in range(lo, hi)])
+                cost = np.where(meet & similarity.may_be(n[lo:hi, None], n[None, lo:hi], apart), apart + 1, np.where(label[:, None] == label[None, :], 0, -1))
+                found += _named(row, shingles.forest(cost))
+            yield _pairs(found)
 
-    return dealt.repartition(partitions, "pair").sortWithinPartitions("pair", "tile", "row").mapInArrow(trimmed(run), "a long, b long")
+    return sent.repartition(partitions, "pair").sortWithinPartitions("pair", "tile", "row").mapInArrow(trimmed(run), "a long, b long")
 
 
-def _proposed(row: np.ndarray, cost: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of a least spanning forest: no more than there are rows, however many may be linked."""
-    return [tuple(sorted((int(row[a]), int(row[b])), reverse=True)) for a, b in shingles.forest(cost)]
+def _named(row: np.ndarray, edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    return [tuple(sorted((int(row[a]), int(row[b])), reverse=True)) for a, b in edges]
 
 
-def _linked(groups: DataFrame, chunks: DataFrame, sets, similarity: Similarity, partitions: int, block: int = 1024) -> DataFrame:
-    """(a, b): links within each group, by exact intersection of sorted arrays; a spanning forest of them.
+def _linked(dealt: DataFrame, chunks: DataFrame, sets, similarity: Similarity, partitions: int) -> DataFrame:
+    """(a, b): links, a spanning forest of them for each pair of blocks.
 
-    The arrays are made again from the rows' chunks and shuffled once.
+    Signatures bound the overlap once more, for the pairs that no tile has judged; what passes is intersected
+    as sorted arrays. The arrays are made again from the rows' chunks and shuffled once.
     """
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk_id, held, asked in zip(*batch.columns, strict=True):
-                place, pair, tile = _wanted(asked)
+                place, where = _wanted(asked, chunk_id.as_py())
                 for lo in range(0, len(place), 256):
-                    part = slice(lo, lo + 256)
-                    rows, at = np.unique(place[part], return_inverse=True)
+                    rows, at = np.unique(place[lo : lo + 256], return_inverse=True)
                     keys, edges = sets(held, rows.tolist())
                     own = [(keys & shingles.HASH)[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(pair[part]), pa.array(tile[part]), pa.array(chunk_id.as_py() * shingles.MOST_DOCS + place[part], pa.int64()), pa.array([own[k] for k in at], pa.binary())], ["pair", "tile", "row", "sorted"])
+                    yield pa.RecordBatch.from_arrays([*(c.slice(lo, 256) for c in where.values()), pa.array([own[k] for k in at], pa.binary())], [*where, "sorted"])
 
-    dealt = chunks.select("chunk_id", "docs").join(_asked(groups, block), "chunk_id").select("chunk_id", "docs", "asked").mapInArrow(trimmed(arrays), "pair long, tile long, row long, sorted binary")
+    sent = chunks.select("chunk_id", "docs").join(_asked(dealt), "chunk_id").select("chunk_id", "docs", "asked").mapInArrow(trimmed(arrays), WANTED + ", sorted binary")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "pair"):
-            pair, tile, row = (table.column(c).to_numpy() for c in ("pair", "tile", "row"))
+        for table, meetings in _each_meeting(batches):
             arrays, found = table.column("sorted"), []
-            edges = bounds(pair, tile)
-            for lo, hi in zip(edges, edges[1:], strict=False):
-                if hi - lo > 1:
-                    held = [np.frombuffer(arrays[k].as_buffer(), np.uint64) for k in range(lo, hi)]
-                    common, n = shingles.overlaps(held), np.array([len(x) for x in held])
-                    cost = np.where(similarity.bottom * common >= similarity.top * (n[:, None] + n[None, :] - common), 1, -1)
-                    found += _proposed(row[lo:hi], cost)
-            columns = list(zip(*found, strict=True)) or [[], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
-
-    return dealt.repartition(partitions, "pair").sortWithinPartitions("pair", "tile", "row").mapInArrow(trimmed(link), "a long, b long")
+            for lo, hi, row, label, meet in meetings:
+                held = [np.frombuffer(arrays[k].as_buffer(), np.uint64) for k in range(lo, hi)]
+                n = np.array([len(x) for x in held])
+                apart = shingles.least_differences([shingles.signature(x, similarity.bits()) for x in held])
+                may = meet & similarity.may_be(n[:, None], n[None, :], apart)
+                found += _named(row, shingles.joined(held, may, label, similarity.linked))
+            yield _pairs(found)
+
+    return sent.repartition(partitions, "pair").sortWithinPartitions("pair", "tile", "row").mapInArrow(trimmed(link), "a long, b long")
 
 
 def one_of_each(docs: DataFrame, scratch: Scratch, similarity: Similarity = Similarity()) -> DataFrame:

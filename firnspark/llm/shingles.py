@@ -112,27 +112,33 @@ def least_differences(signatures: list[bytes]) -> np.ndarray:
     return out
 
 
-def overlaps(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
-    """How many elements every two of these sorted sets have in common.
+def common(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many elements the sorted array `one` shares with each of the others."""
+    found = np.searchsorted(one, each := np.concatenate(others))
+    hit = one[np.minimum(found, len(one) - 1)] == each
+    return np.add.reduceat(hit, np.cumsum([0, *map(len, others[:-1])]))
 
-    Elements of one set only are left out; the rest are columns of a 0-1 matrix, which is
-    multiplied by its transpose some columns at a time.
+
+def joined(sets: list[np.ndarray], may: np.ndarray, label: np.ndarray, linked, most: int = 1 << 20) -> list[tuple[int, int]]:
+    """Links that join all sets that links join: a spanning forest, by exact intersection of sorted arrays.
+
+    Only pairs that `may` be linked are intersected, and only while nothing joins them yet; equal labels are
+    joined from the start. linked(n, m, common) judges; arrays are taken `most` elements at a time.
     """
-    out = np.zeros((len(sets), len(sets)), np.float64)
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    _, column, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    place = np.cumsum(n > 1) - 1
-    shared = n[column] > 1
-    row, column = row[shared], place[column[shared]]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
-        a, b = np.searchsorted(column, (lo, lo + columns))
-        part = np.zeros((len(sets), columns), np.float32)
-        part[row[a:b], column[a:b] - lo] = 1
-        out += part @ part.T
-    out[np.diag_indices(len(sets))] = [len(s) for s in sets]
-    return out.astype(np.int64)
+    root = np.unique(label, return_inverse=True)[1]
+    size, out = np.array([len(x) for x in sets]), []
+    for i in range(len(sets)):
+        others = np.flatnonzero(may[i])
+        others = others[(others > i) & (root[others] != root[i])]
+        while len(others):
+            n = max(1, int(np.searchsorted(np.cumsum(size[others]), most, side="right")))
+            part, others = others[:n], others[n:]
+            for j in part[linked(size[i], size[part], common(sets[i], [sets[k] for k in part]))].tolist():
+                if root[j] != root[i]:
+                    root[root == root[j]] = root[i]
+                    out.append((i, j))
+            others = others[root[others] != root[i]]
+    return out
 
 
 def forest(cost: np.ndarray) -> list[tuple[int, int]]:

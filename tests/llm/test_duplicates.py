@@ -116,7 +116,9 @@ def test_signatures_bound_differences():
         bound = shingles.least_differences([shingles.signature(s, per) for s in sets])
         true = np.array([[len(np.setxor1d(a, b)) for b in sets] for a in sets])
         assert (bound <= true).all() and bound[2, 5] == 0
-    assert (shingles.overlaps(sets) == np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])).all()
+    for a in sets:
+        if len(a):
+            assert (shingles.common(a, full := [b for b in sets if len(b)]) == [len(np.intersect1d(a, b)) for b in full]).all()
 
 
 def test_window_hashes():
@@ -279,6 +281,32 @@ def test_crowds_are_counted_in_balls(spark):
     assert audit["compared"] < 100
 
 
+def test_blocks_join_what_all_pairs_join(spark):
+    """Groups of several blocks: a crowd that joins at once, strangers that join it by one link, and nothing else."""
+    from firnspark.llm.groups import first_pairs, may_meet, rest_pairs
+
+    rng = np.random.default_rng(3)
+    links = {(a, b) for a in range(60) for b in range(a) if rng.random() < 0.2} | {(70, 65), (75, 59), (75, 70), (78, 77)}
+    groups = spark.createDataFrame([(5, k, 80) for k in range(80)] + [(6, 100, 2), (6, 101, 2)], "tile long, row long, size long")
+    linked = lambda a, b: (max(a, b), min(a, b)) in links or {a, b} == {100, 101}
+
+    def compare(dealt):
+        by, seen = {}, set()
+        for r in dealt.collect():
+            by.setdefault((r.pair, r.tile), []).append(r)
+        for rows in by.values():
+            meet = may_meet(*(np.array([r[c] for r in rows]) for c in ("row", "side", "label")))
+            seen |= {(rows[a].row, rows[b].row) for a, b in zip(*np.nonzero(meet)) if linked(rows[a].row, rows[b].row)}
+        return seen
+
+    first = compare(first_pairs(groups, 16))
+    so_far = components(range(102), first)
+    known = spark.createDataFrame([(k, so_far[k]) for k in range(102)], "node long, component long")
+    rest = rest_pairs(groups, known, 16)
+    assert components(range(102), first | compare(rest)) == components(range(102), links | {(101, 100)})
+    assert rest.where("side = 0").select("row").distinct().count() < 40
+
+
 # Pipeline
 
 def test_pipeline_stages_against_brute_force(spark):
