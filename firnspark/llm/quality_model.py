@@ -27,7 +27,9 @@ def _without(text: Column, chars: str, by: str = "") -> Column:
 
 def with_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the struct column `features`, FEATURES of the whole text; null texts are empty ones."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    # The caller's columns travel in one struct, so that no name of theirs can meet one of the steps'.
+    docs = docs.select(F.struct("*").alias("own"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.col("text")
     out = docs.withColumn("_w", F.array_remove(F.split(_without(text, BLANKS, " "), " "), ""))
     out = out.withColumn("_l", F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""))
     count = lambda chars: F.length(text) - F.length(_without(text, chars))
@@ -44,7 +46,7 @@ def with_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "stops": share("_stops", "_n"), "commas": share("_commas", "_n"), "words_per_line": share("_n", "_ln"), "dup_lines": F.when(F.col("_ln") > 0, 1.0 - share("_ld", "_ln")).otherwise(0.0),
     }
     found = F.struct(*[values[k].alias(k) for k in FEATURES]).alias("features")
-    return out.select(*docs.columns, found)
+    return out.select("own.*", found)
 
 
 @dataclass(frozen=True)
@@ -162,7 +164,7 @@ def lasso_logistic(z: np.ndarray, y: np.ndarray, penalty: float, steps: int = 40
     return float(b - own @ mean), own
 
 
-def fit(x: np.ndarray, y: np.ndarray, penalty: float = 2e-3, most_rules: int = 400) -> Ensemble:
+def fit(x: np.ndarray, y: np.ndarray, penalty: float = 2e-3) -> Ensemble:
     """The ensemble for features x and labels y; without both labels, a constant score."""
     if not len(y):
         return Ensemble()
@@ -171,7 +173,7 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = 2e-3, most_rules: int = 4
     order = np.lexsort((*x.T, y))
     x, y = x[order], y[order].astype(float)
     rules, seen, kept = mined_rules(x, y), set(), []
-    for rule in rules[:most_rules]:
+    for rule in rules:
         column = rule.holds(x)
         if 0 < column.sum() < len(x) and (key := column.tobytes()) not in seen:
             seen.add(key)
@@ -187,15 +189,17 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000) -> Ensemble:
-    """Fit on at most `most_rows` labelled rows that aren't held out, those of the least id hashes.
+    """Fit on at most `most_rows` labelled documents that aren't held out, those of the least id hashes.
 
     Labels that contradict each other for a document count as 1 if any is 1; null labels and ids
-    are left out. The chosen labels (16 bytes each) are the side that is broadcast.
+    are left out. Of rows with the same id the one with the least text counts, so the sample is the same in every
+    run. The chosen labels (16 bytes each) are the side that is broadcast.
     """
     usable = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(~held_out(F.col("doc_id")))
     chosen = usable.groupBy("doc_id").agg(F.max("quality").alias("_label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    got = with_features(rows).select("_label", *[f"features.{k}" for k in FEATURES]).limit(4 * most_rows).toPandas()
+    rows = rows.groupBy("doc_id").agg(F.first("_label").alias("_label"), F.min("text").alias("text"))
+    got = with_features(rows).select("_label", *[f"features.{k}" for k in FEATURES]).toPandas()
     return fit(got[list(FEATURES)].to_numpy(float).reshape(len(got), len(FEATURES)), (got["_label"].to_numpy() >= 1).astype(int))
 
 

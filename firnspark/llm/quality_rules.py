@@ -58,7 +58,9 @@ def _without(text: Column, chars: str, by: str = "") -> Column:
 
 def measured(docs: DataFrame, text_col: str, window: int) -> DataFrame:
     """docs with its measurements, in columns of MEASURES; native expressions only."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    # The caller's columns travel in one struct, so that no name of theirs can meet one of the steps'.
+    docs = docs.select(F.struct("*").alias("own"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.col("text")
     blank = _without(text, BLANKS, " ")
     has_word = lambda line: F.length(_without(line, BLANKS + " ")) > 0
     out = docs.withColumns({"_words": F.array_remove(F.split(blank, " "), ""), "_lines": F.filter(F.split(text, "\n"), has_word)})
@@ -90,7 +92,7 @@ def measured(docs: DataFrame, text_col: str, window: int) -> DataFrame:
         lambda a, p: F.struct((a["n"] + F.least(F.lit(window), p - a["last"])).alias("n"), p.alias("last")),
         lambda a: a["n"],
     )
-    return out.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_sorted", "_near", "_at")
+    return out.select("own.*", *[F.coalesce(covered, F.lit(0)).cast("long").alias(c) if c == "n_repeat_words" else c for c in MEASURES])
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 5, rules: tuple[Rule, ...] = RULES) -> DataFrame:

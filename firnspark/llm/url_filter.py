@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,10 +34,16 @@ class Rule:
         return self.host + self.path
 
 
-VOCABULARY = Vocabulary(
-    strict=("casino", "escort", "hentai", "jackpot", "porn", "viagra", "xxx"),
-    soft=("adult", "ads", "banner", "bet", "bonus", "click", "free", "loan", "pills", "popup", "promo", "track", "win"),
-)
+def read_vocabulary(path: str = os.path.join(os.path.dirname(__file__), "url_terms.tsv"), enough: int = 2) -> Vocabulary:
+    """The terms of a file: a term and its weight (strict or soft) a line, with a tab between; # begins a remark."""
+    with open(path, encoding="utf-8") as f:
+        found = [line.rstrip("\n").split("\t") for line in f if line.strip() and not line.startswith("#")]
+    if bad := [x for x in found if len(x) != 2 or x[1] not in ("strict", "soft") or x[0] != x[0].lower()]:
+        raise ValueError(f"no terms with weights: {bad[:3]}")
+    return Vocabulary(*(tuple(sorted({t for t, w in found if w == weight})) for weight in ("strict", "soft")), enough)
+
+
+VOCABULARY = read_vocabulary()
 
 RULES = (
     Rule("com", "/en/", "block"),
@@ -105,14 +112,14 @@ def term_hits(words: Vocabulary):
 def judge_urls(pages: DataFrame, words: Vocabulary = VOCABULARY, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per row of pages: id, host, path, rule, verdict, n_strict, n_soft.
 
-    The longest fitting rule decides; without one, the vocabulary over host and path blocks on
-    one strict or `words.enough` distinct soft terms. Null, empty or scheme-less urls have empty
-    host and path, no hits, and are allowed. Repeated rows and ids stay as they are; other columns
+    The longest fitting rule decides; without one, the vocabulary over the whole url (scheme, query and
+    fragment too) blocks on one strict or `words.enough` distinct soft terms. Urls without a scheme have
+    empty host and path, so no rule fits them, but their terms count; null and empty ones have no hits. Repeated rows and ids stay as they are; other columns
     are dropped, so their names can't clash. No shuffle; an empty table gives an empty one.
     """
     host, path = host_and_path(F.col(url_col))
-    split = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    scored = split.withColumn("hits", term_hits(words)(lower_ascii(F.concat("host", "path"))))
+    split = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), lower_ascii(F.coalesce(F.col(url_col), F.lit(""))).alias("whole"))
+    scored = split.withColumn("hits", term_hits(words)(F.col("whole")))
     rule = matching_rule(F.col("host"), F.col("path"), rules)
     own = F.when((F.col("hits.n_strict") >= 1) | (F.col("hits.n_soft") >= words.enough), "block").otherwise("allow")
     return scored.withColumn("r", rule).select(
@@ -136,17 +143,16 @@ def _sql_rule(field: str, rules: tuple[Rule, ...]) -> str:
 
 ORACLE_SQL = f"""
 WITH a AS (
-  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+  SELECT page_id, translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS u,
+         CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), b AS (
-  SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM a
+  SELECT page_id, u, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM a
 ), c AS (
-  SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  SELECT page_id, u, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM b
-), d AS (
-  SELECT *, translate(host || path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS u FROM c
 ), e AS (
   SELECT page_id, host, path, {_sql_rule("text", RULES)} AS rule, {_sql_rule("verdict", RULES)} AS ruled,
-         {_sql_hits(VOCABULARY.strict)} AS n_strict, {_sql_hits(VOCABULARY.soft)} AS n_soft FROM d
+         {_sql_hits(VOCABULARY.strict)} AS n_strict, {_sql_hits(VOCABULARY.soft)} AS n_soft FROM c
 )
 SELECT page_id, host, path, rule,
        coalesce(ruled, CASE WHEN n_strict >= 1 OR n_soft >= {VOCABULARY.enough} THEN 'block' ELSE 'allow' END) AS verdict,

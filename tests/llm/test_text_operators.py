@@ -5,6 +5,7 @@ import hashlib
 import json
 import math
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -65,6 +66,22 @@ def test_url_rules_and_vocabulary(spark):
     assert url_filter.judge_urls(df.limit(0)).count() == 0
 
 
+def test_whole_urls_are_searched(spark):
+    urls = ["http://x.com/search?q=porn", "http://x.com/p#XXX", "casino.example/viagra", "http://x.com/?a=free&b=bonus", "http://x.com/?a=free&b=free", "http://x.com/pornographer", "/just/a/path?track=1&win=2", ""]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r for r in url_filter.judge_urls(df).collect()}
+    assert [got[k].verdict for k in range(8)] == ["block", "block", "block", "block", "allow", "allow", "block", "allow"]
+    assert got[2].host == "" and got[2].n_strict == 2 and got[3].n_soft == 2 and got[4].n_soft == 1
+
+
+def test_vocabulary_file(tmp_path):
+    (path := tmp_path / "terms.tsv").write_text("# mine\nfoo\tstrict\n\nbar\tsoft\n")
+    assert url_filter.read_vocabulary(str(path)) == url_filter.Vocabulary(("foo",), ("bar",))
+    path.write_text("foo\n")
+    with pytest.raises(ValueError):
+        url_filter.read_vocabulary(str(path))
+
+
 # WARC
 
 def test_warc_round_trip(spark):
@@ -132,6 +149,50 @@ def test_rules_compile_to_what_they_score(spark):
     assert quality_model.fit(x[:0], y[:0]).score(x[:1])[0] == 0.5 and quality_model.fit(x, y * 0 + 1).score(x[:1])[0] > 0.9
 
 
+def brute_features(text):
+    text = text or ""
+    words = [w for w in re.split("[ \t\n\x0b\x0c\r]+", text) if w]
+    lines = [x for x in text.split("\n") if x.strip(" ")]
+    n, chars = len(words), sum(map(len, words))
+    share = lambda a, b: a / b if b else 0.0
+    count = lambda s: sum(text.count(c) for c in s)
+    return [
+        math.log1p(n), share(chars, n), share(len(set(words)), n), share(len(re.findall("[A-Z]", text)), chars), share(count("|"), n), share(count("!"), n), share(count("#*$%&<>{}"), n),
+        share(len(re.findall("[0-9]", text)), chars), share(count("."), n), share(count(","), n), share(n, len(lines)), 1 - len(set(lines)) / len(lines) if lines else 0.0,
+    ]
+
+
+def test_quality_scores_against_brute_force(spark):
+    """Every statistic from the text, every rule from its bounds, and the score from the weights of the rules that hold."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_model.train(docs, labels)
+    got = {r.doc_id: r for r in quality_model.judged(docs, labels).collect()}
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    assert set(got) == set(texts) and model.rules
+    for k, text in texts.items():
+        x = dict(zip(quality_model.FEATURES, brute_features(text)))
+        total = model.bias + sum(w for rule, w in model.rules if all(low < x[f] <= high for f, low, high in rule.bounds))
+        assert got[k].score == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-9) and got[k].predicted == int(got[k].score >= 0.3)
+        assert got[k].held_out == (zlib.crc32(str(k).encode()) % 5 == 0)
+
+
+def test_steps_and_columns_do_not_meet(spark):
+    names = ["_n", "_w", "_l", "_words", "_h", "_near", "_sorted", "own", "_label", "n_lines"]
+    df = spark.createDataFrame([(1, "a b c\nd e", *range(7, 17))], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    model = quality_model.Ensemble(0.5)
+    for out in (quality_model.scored(df, model), quality_rules.with_bits(df)):
+        row = out.first()
+        assert all(row[n] == 7 + k for k, n in enumerate(names) if n != "n_lines") and row.text == "a b c\nd e"
+    assert quality_rules.with_bits(df).first().n_lines == 2
+
+
+def test_training_takes_one_row_of_an_id(spark):
+    docs = spark.createDataFrame([(k, "word " * (5 + k % 7)) for k in range(60)] + [(3, "word " * (5 + k % 50)) for k in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality long")
+    a, b = (quality_model.train(d, labels, 50) for d in (docs, docs.repartition(7).orderBy(F.rand(3))))
+    assert a == b
+
+
 def test_quality_model_edge_rows(spark):
     docs = spark.createDataFrame([(1, None, 0.1), (2, "", 0.2), (3, "a " * 60000, 0.3), (None, "x y", 0.4), (1, None, 0.1)], "doc_id long, text string, score double")
     labels = spark.createDataFrame([], "doc_id long, quality int")
@@ -286,11 +347,31 @@ def test_cosine_is_that_of_the_definition(spark):
     idf = w.idf()
     vec = {t: n * idf.get(t, w.other()) for t, n in own.items()}
     norm = math.sqrt(sum(v * v for v in vec.values()))
-    best = max(sum(vec.get(t, 0) * x for name, t, x in w.rows() if name == lic) / norm for lic, _ in w.templates)
+    dots = Counter()
+    for template, _, t, x in w.rows():
+        dots[template] += vec.get(t, 0) * x / norm
+    best = max(dots.values())
     found = license_scan.scan(spark.createDataFrame([(1, "a", text)], "doc_id long, path string, text string"), Scratch(spark, "t"), least=0.1).first()
     assert found.license == "MIT" and found.score == pytest.approx(best, abs=1e-6)
 
 
+def test_real_notices_are_found(spark):
+    full = dict(reversed([t for t in license_scan.TEMPLATES if len(t[1]) > 600]))
+    mit = full["MIT"].replace("Copyright (c)", "Copyright (c) 2021 Jane Q. Public and others")
+    apache = ["Copyright 2019 The Example Authors.", "", *textwrap.wrap(full["Apache-2.0"], 60)]
+    files = {
+        "a/LICENSE": (mit, "MIT"), "b.py": ("\n".join(f"# {x}".rstrip() for x in apache) + "\n\nimport os\n", "Apache-2.0"),
+        "c.c": ("/*\n" + "\n".join(f" * {x}".rstrip() for x in apache) + "\n */\nint main;\n", "Apache-2.0"), "d.rs": ("// SPDX-License-Identifier: GPL-3.0-or-later\nfn main() {}", "GPL-3.0"),
+        "e/COPYING": ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.\n", "GPL-3.0"),
+        "f.md": ("Copyright 2020 Foo. Licensed under the MIT License. Have fun.", "MIT"), "g.md": ("This file is released under the MIT License, see LICENSE for details.", "MIT"),
+        "h.txt": ("I was licensed to drive in the public domain of my home town, after a redistribution of seats.", None), "i/LICENSE": (full["BSD-3-Clause"], "BSD-3-Clause"), "j/LICENSE": (full["ISC"], "ISC"),
+        "k.txt": ("License: BSD 2-Clause License " * 3 + "x" * 100_000, None),
+    }
+    df = spark.createDataFrame([(k, path, text) for k, (path, (text, _)) in enumerate(files.items())], "doc_id long, path string, text string")
+    got = {r.path: (r.license, r.origin) for r in license_scan.scan(df, Scratch(spark, "t")).collect()}
+    assert {p: got[p][0] for p in files if p != "k.txt"} == {p: name for p, (_, name) in files.items() if p != "k.txt"}
+
+
 def test_vocabulary_file_is_a_parameter(spark, tmp_path, vocabulary):
     copy = tmp_path / "v.json"
     copy.write_text(json.dumps(json.load(open(vocabulary))))
