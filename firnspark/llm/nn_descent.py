@@ -44,11 +44,11 @@ class Settings:
     """
 
     neighbours: int = 10
-    longest: int = 80
+    longest: int = 20
     signs: int | None = None
     cell: int = 128
     block: int = 256
-    missed: float = 0.02
+    missed: float = 0.01
     rounds: int = 4
     settled: float = 0.02
     audit: int = 1000
@@ -468,19 +468,31 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, threshold: float = 0.9
             turn(fresh)
             if lists.join(before, ["u", "v"], "left_anti").count() <= s.settled * s.neighbours * n:
                 break
+        # What has links goes on until no new one is found: few vectors, whose neighbours' neighbours matter most.
+        for _ in range(s.rounds):
+            before = lists
+            turn(lists.where(near).select("u").distinct())
+            if lists.where(near).join(before, ["u", "v"], "left_anti").isEmpty():
+                break
         length = s.neighbours
-        crowded = scratch.keep(saturated(lists, lengths, length, least, s), f"saturated-{start}-{length}")
-        while length < s.longest and not crowded.isEmpty():
+        while length < s.longest:
+            full = scratch.keep(saturated(lists, lengths, length, least, s), f"saturated-{start}-{length}")
             length *= 2
-            lengths = scratch.keep(lengths.join(crowded, "u", "left_anti").union(crowded.select("u", F.lit(length))), f"lengths-{start}-{length}")
-            turn(crowded)
-            crowded = scratch.keep(saturated(lists, lengths, length, least, s), f"saturated-{start}-{length}")
+            if not full.isEmpty():
+                lengths = scratch.keep(lengths.join(full, "u", "left_anti").union(full.select("u", F.lit(length))), f"lengths-{start}-{length}")
+                for _ in range(2):
+                    turn(full)
+        crowded = scratch.keep(saturated(lists, lengths, length, least, s), f"saturated-{start}-{length}")
         seen = ties.union(lists.where(near)).select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+        # Links of crowded vectors are counted with their crowd; the graph's edges stand for the others.
+        for end in ("a", "b"):
+            seen = seen.join(crowded.select(F.col("u").alias(end)), end, "left_anti")
         seen = seen.join(_double(nodes, "a", "xa"), "a").join(_double(nodes, "b", "xb"), "b").where(linked("xa", "xb")).select("a", "b")
         pairs = scratch.keep(pairs.union(seen), f"pairs-{start}")
         degrees, links = resolved(crowded, pairs, f"resolved-{start}")
         audit["links"], audit["found"], asked, complete = audited(nodes, queries, degrees, threshold, s.audit)
         audit["recall"] = complete / asked if asked else None
+        LOG.debug("start %s: %s of %s queries with links have all", start, complete, asked)
         if asked and (reached := audit["recall"] >= s.recall):
             break
     if not reached and audit["recall"] is not None:
