@@ -137,3 +137,61 @@ def pack_documents(docs: DataFrame, length: Column | None = None, lengths: Lengt
             yield flush()[0]
 
     return counted.mapInArrow(trimmed(run), PLACED)
+
+
+SEQUENCES = "bin_id long, capacity int, ids array<int>, doc_ids array<long>, starts array<int>"
+
+
+def pack_sequences(encoded: DataFrame, lengths: Lengths = Lengths(), id_col: str = "doc_id", ids_col: str = "ids", pool_tokens: int = 1 << 22) -> DataFrame:
+    """One row per sequence: bin_id, capacity, ids (what it holds of it), and for each piece its doc_id and where it starts.
+
+    encoded has token ids as ``bpe.encode_documents`` gives them. Documents are pooled as they are read until a pool has
+    pool_tokens; the pieces of a pool are placed as in pack_documents. Attention masks and position ids follow from
+    starts. A document longer than the largest length is cut into pieces, one document at a time, so a very long one
+    is a pool of its own. Null and empty id lists are in no sequence, null ids within one are dropped; a null doc_id
+    stays null. Other columns are not read; an empty table gives an empty one.
+    """
+    own = encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.array_compact(F.coalesce(F.col(ids_col).cast("array<int>"), F.array().cast("array<int>"))).alias("ids"))
+    largest = max(lengths.permitted)
+    schema = pa.schema([("bin_id", pa.int64()), ("capacity", pa.int32()), ("ids", pa.list_(pa.int32())), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, held, n = TaskContext.get().partitionId() << 36, [], 0
+
+        def flush() -> tuple[pa.RecordBatch, int]:
+            table = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            ids = table.column("ids").combine_chunks()
+            sizes = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            flat, begin = ids.flatten().to_numpy(), np.cumsum(sizes) - sizes
+            row, number, size = pieces(sizes, largest)
+            row, number, size = (x[size > 0] for x in (row, number, size))
+            bins, offsets, capacities = packed(size, lengths)
+            order = np.lexsort((offsets, bins))
+            row, size, bins = row[order], size[order], bins[order]
+            source = begin[row] + number[order] * largest
+            tokens = flat[np.repeat(source - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+            edge = np.searchsorted(bins, np.arange(len(capacities) + 1)).astype(np.int32)
+            ends = np.concatenate([[0], np.cumsum(size)])[edge].astype(np.int32)
+            lists = lambda values, offsets: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+            return pa.RecordBatch.from_arrays([
+                pa.array(first + np.arange(len(capacities))), pa.array(capacities, pa.int32()), lists(pa.array(tokens, pa.int32()), ends),
+                lists(table.column("doc_id").combine_chunks().take(pa.array(row)), edge), lists(pa.array(offsets[order], pa.int32()), edge),
+            ], schema=schema), len(capacities)
+
+        for batch in batches:
+            at = 0
+            while at < len(batch):
+                total = np.cumsum(batch.column("ids").slice(at).value_lengths().to_numpy(zero_copy_only=False))
+                take = max(1, int(np.searchsorted(total, pool_tokens - n, side="left")) + 1) if len(total) else 1
+                take = min(take, len(batch) - at)
+                held.append(batch.slice(at, take))
+                n, at = n + int(total[take - 1]), at + take
+                if n >= pool_tokens:
+                    out, opened = flush()
+                    yield out
+                    first, n = first + opened, 0
+        if held:
+            yield flush()[0]
+
+    return own.mapInArrow(trimmed(run), SEQUENCES)

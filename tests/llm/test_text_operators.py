@@ -270,6 +270,64 @@ def test_best_fit_takes_the_tightest_bin():
     assert bins[3] == bins[1] and bins[2] == bins[0] and list(capacities) == [512, 512]
 
 
+def brute_packed(sizes, lengths):
+    """The same rule by looking at every open bin for every piece: least room that holds it, the bin last touched of equal ones."""
+    largest = max(lengths.permitted)
+    left = [s * sizes.count(s) for s in range(largest + 1)]
+    coming, opened, clock, bins, placed = [sum(left[: k + 1]) for k in range(largest + 1)], 0, 0, [], {}
+    for k in sorted(range(len(sizes)), key=lambda k: -sizes[k]):
+        size, clock = sizes[k], clock + 1
+        fit = [b for b in bins if b["room"] >= size]
+        if fit:
+            b = min(fit, key=lambda b: (b["room"], -b["touched"]))
+        else:
+            if opened % 64 == 0:
+                coming = [sum(left[: j + 1]) for j in range(largest + 1)]
+            opened += 1
+            price = lambda c: lengths.cost(c) / (size + min(c - size, coming[min(c - size, size)]))  # noqa: E731, B023
+            best = min((c for c in sorted(lengths.permitted) if c >= size), key=lambda c: (price(c), c))
+            bins.append(b := {"at": len(bins), "room": best, "used": 0})
+        left[size] -= size
+        placed[k] = (b["at"], b["used"])
+        b["used"] += size
+        b["room"] -= size
+        b["touched"] = clock
+    return placed, [min(c for c in lengths.permitted if c >= b["used"]) for b in bins]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_placement_against_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    lengths = packing.Lengths((64, 128, 256), 1 / 512, 8.0)
+    sizes = rng.integers(1, 257, size=150) if seed % 2 else np.minimum(256, 1 + rng.geometric(0.02, size=300))
+    bins, offsets, capacities = packing.packed(sizes, lengths)
+    placed, want = brute_packed(sizes.tolist(), lengths)
+    assert [(int(b), int(o)) for b, o in zip(bins, offsets)] == [placed[k] for k in range(len(sizes))]
+    assert capacities.tolist() == want
+
+
+def test_sequences_hold_the_documents_tokens(spark):
+    rng = np.random.default_rng(1)
+    docs = [(k, rng.integers(0, 50_000, size=n).tolist()) for k, n in enumerate([0, 1, 16, 17, 40, 100, *rng.integers(1, 30, size=60).tolist()])] + [(None, [7, 8]), (90, None), (91, [5, None, 6]), (1, [3])]
+    df = spark.createDataFrame([(*d, 2) for d in docs], "doc_id long, ids array<int>, bin_id int").repartition(3)
+    lengths = packing.Lengths((8, 16), 0.0, 1.0)
+    for pool in (1 << 22, 64):
+        rows = packing.pack_sequences(df, lengths, pool_tokens=pool).collect()
+        assert len({r.bin_id for r in rows}) == len(rows) and all(len(r.ids) <= r.capacity and r.capacity == min(c for c in (8, 16) if c >= len(r.ids)) for r in rows)
+        got = Counter()
+        for r in rows:
+            assert r.starts[0] == 0 and list(r.starts) == sorted(set(r.starts))
+            for doc, a, b in zip(r.doc_ids, r.starts, [*r.starts[1:], len(r.ids)]):
+                got[doc, tuple(r.ids[a:b])] += 1
+        want = Counter()
+        for doc, ids in docs:
+            ids = [x for x in ids or [] if x is not None]
+            for a in range(0, len(ids), 16):
+                want[doc, tuple(ids[a : a + 16])] += 1
+        assert got == want
+    assert packing.pack_sequences(df.limit(0)).count() == 0
+
+
 # BPE
 
 @pytest.fixture(scope="module")
