@@ -25,7 +25,7 @@ WITH e AS (
          count(*) OVER (PARTITION BY user_id) AS n
   FROM {events}
 ), k AS (
-  SELECT *, CASE WHEN user_id % 2 = 0 THEN i ELSE n - 1 - i END AS k FROM e WHERE n >= 30
+  SELECT *, CASE WHEN user_id % 2 = 0 THEN i ELSE n - 1 - i END AS k FROM e WHERE n >= 2
 ), r AS (
   SELECT *, CAST(k AS DOUBLE) / (n - 1) AS r,
          CAST((event_id % 11) - 5 AS DOUBLE) * CAST(0.2 AS DOUBLE) AS eps_h,

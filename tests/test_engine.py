@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tests.conftest import SF
 
 from firnspark.functions import physics, projection
 from firnspark.operators import filtering, joins, radar, series, spatial
@@ -354,3 +355,43 @@ def test_plot_layers_hold_the_front(spark):
     df = df.withColumn("c", F.col("b") > -100)
     got = results.held_front(df, "b", "c", "bed").orderBy("i").collect()
     assert [r.bed for r in got] == [-571.0] * 5 and [r.bed_held for r in got] == [True, True, True, False, False]
+
+
+def test_boxcar_of_segments_shorter_than_the_window(spark):
+    rows = [(1, k, float(k * k)) for k in range(3)] + [(2, 0, 5.0)] + [(3, k, None) for k in range(4)]
+    df = spark.createDataFrame(rows, "segment_id long, i long, v double")
+    for size in (4, 7, 11):
+        got = {(r.segment_id, r.i): r.m for r in series.boxcar(df, "v", F.lit(size), "m").collect()}
+        lo = -(size // 2)
+        mirrored = lambda v, j: v[j % (2 * len(v))] if j % (2 * len(v)) < len(v) else v[2 * len(v) - 1 - j % (2 * len(v))]
+        for segment, v in ((1, [0.0, 1.0, 4.0]), (2, [5.0])):
+            for k in range(len(v)):
+                assert got[segment, k] == pytest.approx(sum(mirrored(v, k + lo + j) for j in range(size)) / size)
+        assert got[3, 1] is None and len(got) == len(rows)
+
+
+def test_reader_says_what_it_leaves_out(spark):
+    from firnspark.plans import reader
+
+    frames, layers, track = profiles.radar_from_events(spark, SF)
+    ids = [r[0] for r in track.select("segment_id").distinct().orderBy("segment_id").limit(3).collect()]
+    some = [t.where(F.col("segment_id").isin(ids)) for t in (frames, layers, track)]
+    some[1] = some[1].where((F.col("segment_id") != ids[1]) | (F.col("layer") == "standard:surface"))
+    some[0] = some[0].where((F.col("segment_id") != ids[2]) | (F.col("slow_time") < "1970-01-01 00:00:01"))
+    out = reader.profiles_from_radar(*some, "4 seconds")
+    assert {r.segment_id for r in out.select("segment_id").distinct().collect()} == {ids[0]}
+    assert {r.segment_id: r.reason for r in reader.faults(*some, "4 seconds").collect()} == {ids[1]: "no surface and bottom picks", ids[2]: "series do not overlap"}
+
+
+def test_rasters_that_are_missing_or_elsewhere(spark, tmp_path):
+    from firnspark.plans import reader
+
+    with pytest.raises(FileNotFoundError):
+        profiles.raster(spark, str(tmp_path / "none"), ["geoid"])
+    own = spark.createDataFrame([(1, 0, 80.6, -60.5), (1, 1, None, None)], "segment_id long, i long, lat double, lon double")
+    profiles.write_raster(spark.createDataFrame([("geoid", 0, 0, 7.5)], "var string, col long, row long, value double"), str(tmp_path / "r"))
+    got = reader.with_geoid(own, str(tmp_path / "r"), (-272709.98, -983360.43)).orderBy("i").collect()
+    assert [r.geoid_m for r in got] == [7.5, None]
+    assert [r.geoid_m for r in reader.with_geoid(own, 3).collect()] == [3.0, 3.0] and [r.geoid_m for r in reader.with_geoid(own, None).collect()] == [0.0, 0.0]
+    with pytest.raises(ValueError):
+        reader.with_geoid(own, str(tmp_path / "r"))
