@@ -35,13 +35,21 @@ def _judged(docs: DataFrame, name: str) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rule ensemble, trained on the labels, predicts to be good."""
+    """Documents that the rule ensemble, trained on the labels, predicts to be good.
+
+    Null and empty texts get the score of an empty text; null ids are never trained on, but judged like others.
+    Repeated rows are judged one by one. Extra columns go; an empty table gives an empty one.
+    """
     model = quality_model.train(docs, table(spark, sf_dir, "labels"))
     return _columns(_judged(quality_model.scored(docs, model), "scored").where("predicted = 1"))
 
 
 def quality_rule_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the current policy keeps. The verdict is read from the text in the same row, without a join."""
+    """Documents that the current policy keeps. The verdict is read from the text in the same row, without a join.
+
+    Null and empty texts have no words, so they go. Null ids and repeated rows are judged like any other, extra columns
+    go, an empty table gives an empty one.
+    """
     kept = _judged(quality_rules.with_bits(docs), "ruled")
     for policy in (quality_rules.BASE, quality_rules.POLICIES["v1"]):
         kept = kept.where(F.col("failed_bits").bitwiseAND(F.lit(quality_rules.mask(policy)).cast("long")) == 0)
@@ -49,18 +57,31 @@ def quality_rule_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a Jaccard similarity of 0.8 of shingles of five words."""
+    """One document of each group linked by a Jaccard similarity of 0.8 of shingles of five words.
+
+    That of the least id stays, of repeated rows the first as read. Documents without words (null, empty) are linked
+    with nothing and stay; a null id stays only where its group has no other. Extra columns go, an empty table gives
+    an empty one. The result must be written before the next stage is called with it.
+    """
     return _columns(jaccard_join.one_of_each(docs, _scratch(spark, "pipeline-jaccard")))
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the strings of 200 bytes or more that occur elsewhere; n_chars is counted anew."""
+    """Documents without the strings of 200 bytes or more that occur elsewhere; n_chars is counted anew.
+
+    Null texts stay null, with null n_chars; short and empty ones stay as they are. Repeated rows lose what they share.
+    Null ids stay, extra columns go, an empty table gives an empty one.
+    """
     cut = suffix_dedup.without_repeats(_columns(docs), _scratch(spark, "pipeline-suffixes"))
     return _columns(cut.withColumn("n_chars", F.length("text").cast("long")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of every piece of every document in a training sequence."""
+    """The place of every piece of every document in a training sequence, by its words.
+
+    Documents without words (null, empty) have one row of length 0 without a place. Null ids and repeated rows are packed
+    like any other; an empty table gives an empty one.
+    """
     return packing.pack_documents(docs)
 
 
