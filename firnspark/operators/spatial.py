@@ -35,10 +35,21 @@ def crossing() -> Column:
 
 
 def cells(pieces: DataFrame, size: float, p: str, q: str) -> DataFrame:
-    """pieces with each grid cell that the box of a piece touches."""
-    axis = lambda u, v: F.sequence(F.floor(F.least(u, v) / size), F.floor(F.greatest(u, v) / size))
-    out = pieces.withColumn("cx", F.explode(axis(F.col(f"{p}x"), F.col(f"{q}x"))))
-    return out.withColumn("cy", F.explode(axis(F.col(f"{p}y"), F.col(f"{q}y"))))
+    """pieces with each grid cell that a piece passes through, and no more: column by column, the rows between its ends there.
+
+    A long piece across the grid is as many rows as it is long, not as its box is large. Ends are widened a little, so
+    rounding leaves no cell out.
+    """
+    ax, ay, bx, by = (F.col(f"{e}{c}") for e in (p, q) for c in "xy")
+    pad = size * 1e-9
+    x0, x1, y0, y1 = F.least(ax, bx), F.greatest(ax, bx), F.least(ay, by), F.greatest(ay, by)
+    out = pieces.withColumn("cx", F.explode(F.sequence(F.floor((x0 - pad) / size), F.floor((x1 + pad) / size))))
+    steep = (by - ay) / F.nullif(bx - ax, F.lit(0.0))
+    at = lambda x: F.greatest(y0, F.least(y1, ay + steep * (F.greatest(x0, F.least(x1, x)) - ax)))
+    left, right = at(F.col("cx") * size - pad), at((F.col("cx") + 1) * size + pad)
+    lo, hi = F.coalesce(F.least(left, right), y0), F.coalesce(F.greatest(left, right), y1)
+    lo, hi = F.when(steep.isNull(), y0).otherwise(lo), F.when(steep.isNull(), y1).otherwise(hi)
+    return out.withColumn("cy", F.explode(F.sequence(F.floor((lo - pad) / size), F.floor((hi + pad) / size))))
 
 
 def _met(left: DataFrame, right: DataFrame, left_key: str, right_key: str, cell: float) -> DataFrame:

@@ -11,6 +11,15 @@ from firnspark.plans import flotation, flow
 
 KEY = series.KEY
 
+#: The words of the verdicts, which are results: fixed values. {} is a rounded number.
+NO_LEG = "no along-flow leg crossing flotation"
+NO_DIRECTION = "flow direction undefined (ice too slow)"
+ACROSS = "across flow ({} deg)"
+NO_TERMINUS = "no terminus in range"
+NO_ICE = "no ice on the leg"
+NEVER_NEAR = "never near flotation (min HAB {} m)"
+TOO_FAR = "terminus {} km from the transition"
+
 
 def screened(profile: DataFrame, margin_km: float = 3.5, angle: float = 30.0, terminus_km: float | None = None, hab_m: float = 50.0) -> DataFrame:
     """One row per segment. Angles come from the whole track, all else from the chosen leg; reason is the first that fails, empty if usable."""
@@ -28,17 +37,13 @@ def screened(profile: DataFrame, margin_km: float = 3.5, angle: float = 30.0, te
     out = out.withColumns({c: F.when(F.col("has_leg"), F.col(f"leg.{c}")).otherwise(F.col(c)) for c in ("min_hab", "hab_crosses_zero", "terminus")})
     far = F.least(F.abs(F.col("terminus") - F.col("leg.wlo")), F.abs(F.col("terminus") - F.col("leg.whi")))
     out = out.withColumn("distance", F.when(F.col("has_leg") & F.col("terminus").isNotNull(), far))
-    whole = lambda c: F.format_string("%.0f", series.half_even(c))
+    said = lambda text, c: F.format_string(text.replace("{}", "%.0f"), series.half_even(F.col(c)))
     reason = (
-        F.when(~F.col("has_leg"), "no along-flow leg crossing flotation")
-        .when(F.col("median_angle").isNull(), "flow direction undefined (ice too slow)")
-        .when(F.col("median_angle") > angle, F.concat(F.lit("across flow ("), whole(F.col("median_angle")), F.lit(" deg)")))
-        .when(F.col("terminus").isNull(), "no terminus in range")
-        .when(F.col("min_hab").isNull(), "no ice on the leg")
-        .when(F.col("min_hab") > hab_m, F.concat(F.lit("never near flotation (min HAB "), whole(F.col("min_hab")), F.lit(" m)")))
+        F.when(~F.col("has_leg"), NO_LEG).when(F.col("median_angle").isNull(), NO_DIRECTION).when(F.col("median_angle") > angle, said(ACROSS, "median_angle"))
+        .when(F.col("terminus").isNull(), NO_TERMINUS).when(F.col("min_hab").isNull(), NO_ICE).when(F.col("min_hab") > hab_m, said(NEVER_NEAR, "min_hab"))
     )
     if terminus_km is not None:
-        reason = reason.when(F.col("distance") > terminus_km, F.concat(F.lit("terminus "), whole(F.col("distance")), F.lit(" km from the transition")))
+        reason = reason.when(F.col("distance") > terminus_km, said(TOO_FAR, "distance"))
     return out.withColumn("reason", reason.otherwise("")).select(
         KEY, "leg_lo", "leg_hi", "terminus", "min_hab", "hab_crosses_zero", "distance", "median_angle", "monotonic", "ice_fraction", (F.col("reason") == "").alias("usable"), "reason"
     )

@@ -152,6 +152,20 @@ def test_polylines(spark):
     assert {(r.t, r.f) for r in spatial.intersecting(t, f, "t", "f").collect()} == {("a", "cross"), ("b", "touch")}
 
 
+def test_cells_of_pieces_lose_no_crossing(spark):
+    """Whatever the grid, the same lines meet: one cell for all compares all pairs."""
+    rng = np.random.default_rng(5)
+    line = lambda: [tuple(float(v) for v in np.round(p, 1)) for p in rng.uniform(-3, 3, size=(3, 2))]
+    struct = "array<struct<lon:double,lat:double>>"
+    t, f = (spark.createDataFrame([(k, line()) for k in range(60)], f"{n} long, points {struct}") for n in ("t", "f"))
+    want = {tuple(r) for r in spatial.intersecting(t, f, "t", "f", 1e6).collect()}
+    assert len(want) > 100
+    for size in (0.1, 0.37, 2.0):
+        assert {tuple(r) for r in spatial.intersecting(t, f, "t", "f", size).collect()} == want
+    long = spark.createDataFrame([(1, 0.0, 0.0, 100.0, 100.0)], "k long, ax double, ay double, bx double, by double")
+    assert spatial.cells(long, 1.0, "a", "b").count() < 500
+
+
 def test_changepoint_marginals_match_enumeration():
     rng = np.random.default_rng(3)
     for n in (3, 5, 7):
@@ -395,3 +409,13 @@ def test_rasters_that_are_missing_or_elsewhere(spark, tmp_path):
     assert [r.geoid_m for r in reader.with_geoid(own, 3).collect()] == [3.0, 3.0] and [r.geoid_m for r in reader.with_geoid(own, None).collect()] == [0.0, 0.0]
     with pytest.raises(ValueError):
         reader.with_geoid(own, str(tmp_path / "r"))
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from firnspark.sources import catalog
+
+    context = SimpleNamespace(master="spark://host:7077", getConf=lambda: SimpleNamespace(get=lambda k: None), getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError):
+        catalog.shared(SimpleNamespace(sparkContext=context))
