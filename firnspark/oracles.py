@@ -543,6 +543,8 @@ def oracle_sql() -> dict[str, str]:
             "a": f"SELECT segment_id, i, CAST(round_even(({SQL_X.format(lat='lat', lon='lon')} + 320000.0) / 2000.0, 0) AS BIGINT) AS col, CAST(round_even((-950000.0 - {SQL_Y.format(lat='lat', lon='lon')}) / 2000.0, 0) AS BIGINT) AS row_ FROM p",
             "b": "SELECT *, CASE WHEN col BETWEEN 0 AND 399 AND row_ BETWEEN 0 AND 199 THEN 10 + col * 0.01e0 END AS g FROM a",
         }, f"SELECT segment_id, i, {r('g', 'geoid_m')}, {r('-200 - row_ * 1.5e0 + g', 'seabed_m')} FROM b"),
+        # The samples lie on the model, so the least squares are 0 and the parameters those of the model.
+        "erf_fit": with_(PROFILE, "SELECT segment_id, 12.0e0 AS a, 0.25e0 AS b, 8.0e0 AS x0, -3.0e0 AS c, 0.0e0 AS rmse FROM p GROUP BY segment_id HAVING count(*) >= 4"),
         # A series of positive terms, which loses nothing to cancelling; beyond 6 the error function is 1.
         "erf_values": with_(PROFILE | {
             "a": "SELECT segment_id, i, 0.25e0 * (x_km - 8.0e0) AS u FROM p",
