@@ -114,7 +114,9 @@ def low_passed(profile: DataFrame, columns: dict[str, tuple[str, float]], order:
             for lo, hi, step in zip(edges, edges[1:], dx, strict=False):
                 w = 2 * step / wavelength
                 if hi - lo >= least and 0 < w < 1 and np.isfinite(own := interpolated(value[lo:hi])).all():
-                    rows.append(own), widths.append(w), at.append((lo, hi))
+                    rows.append(own)
+                    widths.append(w)
+                    at.append((lo, hi))
             for (lo, hi), found in zip(at, zero_phase_all(rows, order, widths), strict=True):
                 out[lo:hi] = found
             whole = whole.append_column(name, pa.array(out, from_pandas=True))
