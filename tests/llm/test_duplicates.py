@@ -10,12 +10,29 @@ import pytest
 from pyspark.sql import functions as F
 from tests.conftest import SF
 
-from firnspark.llm import jaccard_join, nn_descent, rolling, shingles, suffix_dedup
+from firnspark.llm import chunks, jaccard_join, nn_descent, rolling, shingles, suffix_dedup
 from firnspark.llm.common import Scratch
 from firnspark.llm.components import connected_components
 from firnspark.llm.queries import QUERIES
 
 
+def test_chunk_ids_go_to_one_bucket(spark):
+    ids = [k for task in (0, 3, 51, 70_000) for k, _ in zip(chunks.chunk_ids(task, 51), range(9))]
+    assert len(set(ids)) == 36 and max(ids) < 1 << 49
+    found = spark.createDataFrame([(k,) for k in ids], "id long").select("id", F.hash("id").alias("h"), F.expr("pmod(hash(id), 51)").alias("b")).collect()
+    assert chunks.spark_hash(np.array([r.id for r in found])).tolist() == [r.h for r in found]
+    assert {r.id: r.b for r in found} == {k: task % 51 for task, own in zip((0, 3, 51, 70_000), np.split(np.array(ids), 4)) for k in own.tolist()}
+
+
+def test_a_task_writes_one_file_of_chunks(spark):
+    df = spark.range(4000).select("id", F.repeat(F.lit("word "), 500).alias("text")).repartition(3)
+    scratch = Scratch(spark, "t")
+    table = chunks.chunked(df, scratch, chunk_bytes=1 << 19)
+    assert table.count() > 12 and len(table.inputFiles()) == 3
+    scratch.drop()
+    assert not [t for t in spark.catalog.listTables() if t.name in (n for n in scratch.tables.values())] and not scratch.tables
+
+
 def components(nodes, links):
     parent = {n: n for n in nodes}
 
@@ -331,3 +348,30 @@ def test_pipeline_stages_against_brute_force(spark):
         assert cut[i].n_chars == len(cut[i].text)
     assert {r.doc_id: r.n for r in out[-1].groupBy("doc_id").agg(F.sum("length").alias("n")).collect()} == {i: len(r.text.split()) for i, r in cut.items()}
     assert len(corpus_pipeline.run(spark, SF).columns) == 7
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Nulls in every column, empty and long texts, repeated rows, columns with the steps' names, and no rows at all."""
+    import corpus_pipeline
+
+    text = "Here is one plain sentence of several common words, and here is another one that says a little more about it. "
+    rows = [(1, text, "en", "a", 5), (1, text, "en", "a", 5), (None, text + "Tail of its own.", None, None, None), (2, None, "en", "a", 1), (3, "", "en", "a", 0), (4, "word " * 30_000, "de", "b", 9), (None, None, None, None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    odd = spark.createDataFrame([(*r, 3, "x") for r in rows], schema + ", _n int, score string")
+    for name, stage in corpus_pipeline.STAGES:
+        for docs in (odd, odd.limit(0)):
+            out = stage(spark, docs, SF)
+            found = out.collect()
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert out.columns == list(corpus_pipeline.COLUMNS)
+            assert bool(found) <= bool(docs.count())
+        if name == "quality rules":
+            assert not any(r.text in (None, "") for r in stage(spark, odd, SF).collect())
+        if name == "n-gram Jaccard join":
+            got = Counter((r.doc_id, r.text) for r in stage(spark, odd, SF).collect())
+            assert got[1, text] == 1 and got[2, None] == 1 and got[3, ""] == 1 and got[None, None] == 1 and got[4, "word " * 30_000] == 1
+        if name == "suffix-array dedup":
+            got = Counter((r.doc_id, r.text, r.n_chars) for r in stage(spark, odd, SF).collect())
+            assert got[2, None, None] == 1 and got[3, "", 0] == 1 and sum(got.values()) == len(rows)
+        if name == "best-fit packing":
+            assert {r.doc_id for r in stage(spark, odd, SF).collect()} == {1, 2, 3, 4, None}

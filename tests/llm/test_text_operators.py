@@ -224,6 +224,13 @@ def test_rule_ledger(spark):
     assert quality_rules.judged(df.limit(0)).count() == 0
 
 
+def test_ledger_of_long_and_repeated_rows(spark):
+    long = " ".join(f"w{k * 7919 % 3001}" for k in range(60_000)) + "\n" + "\n".join(["same line"] * 50 + ["x" * 200_000])
+    rows = [(1, long), (1, long), (1, "a b"), (None, None)]
+    got = sorted((tuple(r)[:6] for r in quality_rules.judged(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words").collect()), key=str)
+    assert got == sorted(((k, *brute_rules(t)) for k, t in rows), key=str)
+
+
 def test_ablations_read_the_bits(spark):
     found = quality_rules.ledger(spark.read.parquet(f"{SF}/documents.parquet"))
     bits = [r.failed_bits for r in found.collect()]
