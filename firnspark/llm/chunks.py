@@ -19,6 +19,8 @@ from firnspark.llm.common import Scratch, input_bytes, parts, trimmed
 #: Most documents of a chunk, so that a document's place in its chunk has 14 bits.
 MOST_DOCS = 1 << 14
 CHUNKS = "chunk_id long, n_bytes long, n_docs long, docs binary"
+#: Numbers from which a task takes the ids of its chunks: with a place of 14 bits, ids of two million tasks fit a long.
+TASK_IDS = 1 << 28
 #: Spark makes no more buckets than this unless told to.
 MOST_BUCKETS = 100_000
 
@@ -43,26 +45,46 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets[:-1] - offsets[0], offsets[1:] - offsets[0]
 
 
+def spark_hash(x: np.ndarray) -> np.ndarray:
+    """Spark's hash of longs (Murmur3 with its usual seed), by which rows go to buckets."""
+    turned = lambda v, r: (v << np.uint32(r)) | (v >> np.uint32(32 - r))
+    h = np.full(len(x), 42, np.uint32)
+    for word in (x.astype(np.uint64) & np.uint64(0xFFFFFFFF), x.astype(np.uint64) >> np.uint64(32)):
+        k = turned(word.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+        h = turned(h ^ k, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(8)
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ (h >> np.uint32(shift))) * np.uint32(factor)
+    return (h ^ (h >> np.uint32(16))).astype(np.int32)
+
+
+def chunk_ids(task: int, n_buckets: int) -> Iterator[int]:
+    """Ids of a task's chunks, all of which go to one bucket, so that the task writes one file; tasks take buckets in turn."""
+    for lo in range(0, TASK_IDS, 1 << 16):
+        some = (task * TASK_IDS + lo) + np.arange(1 << 16, dtype=np.int64)
+        yield from some[spark_hash(some).astype(np.int64) % n_buckets == task % n_buckets].tolist()
+
+
 def chunked(docs: DataFrame, scratch: Scratch, text_col: str = "text", chunk_bytes: int = 4 << 20, name: str = "chunks") -> DataFrame:
     """Write docs as chunks of about chunk_bytes of text; a text is never cut, every column is kept.
 
     The table is bucketed by chunk_id: what is known of the chunks is joined to it without moving them.
-    There are more buckets where there is more to read.
+    There are more buckets where there is more to read; a task's chunks are one file.
     """
-    at = docs.columns.index(text_col)
+    at, n_buckets = docs.columns.index(text_col), buckets(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, k = TaskContext.get().partitionId() << 32, 0
+        ids = chunk_ids(TaskContext.get().partitionId(), n_buckets)
         for batch in batches:
             _, starts, ends = text_bytes(batch.column(at))
             lo = 0
             while lo < len(starts):
                 hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + chunk_bytes, side="right")))
                 hi = min(hi, lo + MOST_DOCS)
-                yield pa.RecordBatch.from_pydict({"chunk_id": [base + k], "n_bytes": [int(ends[hi - 1] - starts[lo])], "n_docs": [hi - lo], "docs": [packed(batch.slice(lo, hi - lo))]})
-                lo, k = hi, k + 1
+                yield pa.RecordBatch.from_pydict({"chunk_id": [next(ids)], "n_bytes": [int(ends[hi - 1] - starts[lo])], "n_docs": [hi - lo], "docs": [packed(batch.slice(lo, hi - lo))]})
+                lo = hi
 
-    return scratch.keep_bucketed(docs.mapInArrow(trimmed(run), CHUNKS), name, "chunk_id", buckets(docs))
+    return scratch.keep_bucketed(docs.mapInArrow(trimmed(run), CHUNKS), name, "chunk_id", n_buckets)
 
 
 def buckets(docs: DataFrame, per_bytes: int = 64 << 20) -> int:
