@@ -79,7 +79,7 @@ def answered(sent: DataFrame, partitions: int) -> DataFrame:
         for kind in sorted(held):
             rows = held.pop(kind)
             first = np.concatenate([np.frombuffer(r["first"], np.uint64) for r in rows])
-            second = np.concatenate([np.frombuffer(r["second"], np.uint32 if kind >= WHOLE else np.uint64) for r in rows]) if kind < ALONE else np.zeros(len(first), np.uint32)
+            second = np.concatenate([np.frombuffer(r["second"], np.uint64) for r in rows]) if kind < ALONE else np.zeros(len(first), np.uint64)
             marks = np.concatenate([np.frombuffer(r["marks"], np.uint8) for r in rows])
             order = np.lexsort((second, first)) if kind >= WHOLE else np.argsort(first, kind="stable")
             a, b = first[order], second[order]

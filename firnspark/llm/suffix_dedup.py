@@ -8,7 +8,7 @@ windows have it at the same place, and neighbouring windows share it. So pass 1
 each run of windows with a common least string (one in 60 or so), by that string and by the whole
 stretch the run covers. A run whose stretch is found again is settled at once. Only runs whose least
 string is found again in another stretch go on to pass 2, where their windows are compared in full.
-Windows are compared by 96-bit hashes of their bytes.
+Windows are compared by two 64-bit hashes of their bytes.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from firnspark.llm import repeats
 from firnspark.llm.chunks import chunked, shares, text_bytes, unpacked
 from firnspark.llm.common import Scratch, trimmed
-from firnspark.llm.rolling import Rolling, U, sliding_min
+from firnspark.llm.rolling import Rolling, U, mix, sliding_min
 
 GRAM, STRETCH, WINDOW = 0, repeats.WHOLE, repeats.WHOLE + 1
 PASS1 = repeats.MESSAGES + ", runs binary"
@@ -37,7 +37,7 @@ def runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, gr
     """Runs of windows with a common least string: its hash, first and last window, hash words of the stretch.
 
     Works block by block, so memory doesn't depend on how long a text is; a run cut by a block's
-    edge is two runs.
+    edge is two runs. Least hashes are small numbers; they are mixed once more, so that ranges of them are even.
     """
     enters = np.zeros(len(data) + 1, np.int8)
     enters[starts[ends - starts >= length]] += 1
@@ -57,21 +57,21 @@ def runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, gr
         hi = np.append(lo[1:], len(least)) - 1
         ok = least[lo] >= 0
         lo, hi = lo[ok], hi[ok]
-        found.append((grams[least[lo]], lo + at, hi + at, one.spans(lo, hi + length), Rolling(own, 1).spans(lo, hi + length)))
+        found.append((mix(grams[least[lo]]), lo + at, hi + at, one.spans(lo, hi + length), Rolling(own, 1).spans(lo, hi + length)))
     if not found:
         return tuple(np.empty(0, t) for t in (U, np.int64, np.int64, U, U))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def window_keys(data: np.ndarray, at: np.ndarray, length: int, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """96-bit keys of the windows that start at `at` (in order)."""
-    first, second = np.empty(len(at), U), np.empty(len(at), np.uint32)
+    """128-bit keys of the windows that start at `at` (in order)."""
+    first, second = np.empty(len(at), U), np.empty(len(at), U)
     for lo in range(0, len(data), block):
         a, b = np.searchsorted(at, (lo, lo + block))
         if a < b:
             own, here = data[lo : lo + block + length - 1], at[a:b] - lo
             first[a:b] = Rolling(own, 0).spans(here, here + length)
-            second[a:b] = Rolling(own, 1).spans(here, here + length).astype(np.uint32)
+            second[a:b] = Rolling(own, 1).spans(here, here + length)
     return first, second
 
 
@@ -122,7 +122,7 @@ def find_repeats(docs: DataFrame, scratch: Scratch, text_col: str = "text", leng
                 data, starts, ends = text_bytes(unpacked(held.as_buffer()).column(at))
                 grams, lo, hi, one, two = runs(data, starts, ends, length, gram)
                 places = []
-                for kind, a, b in ((GRAM, grams, one), (STRETCH, one, two.astype(np.uint32))):
+                for kind, a, b in ((GRAM, grams, one), (STRETCH, one, two)):
                     first, second, marks, place = repeats.distinct(a, b, kind >= repeats.WHOLE)
                     places.append(place)
                     sent = repeats.messages(own, kind, first, second, marks, to)
