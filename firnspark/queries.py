@@ -192,9 +192,7 @@ def _regrid(own: DataFrame) -> DataFrame:
 def regrid(spark, sf_dir):
     own = _profile(spark, sf_dir)
     grid = _regrid(own).select(KEY, "i", "x_km")
-    amp = joins.regridded(own, grid, "amp", [KEY], F.lit(0.6))
-    lat = joins.regridded(own, grid, "lat", [KEY], None).select(KEY, "i", "lat")
-    return rounded(amp.join(lat, [KEY, "i"]))
+    return rounded(joins.regridded_all(grid, [(own, ["amp"], F.lit(0.6)), (own, ["lat"], None)], [KEY]))
 
 
 @query
@@ -347,7 +345,7 @@ def changepoint_posterior(spark, sf_dir):
 
 @query
 def bayesian_changepoint(spark, sf_dir):
-    p = detectors.bayesian(_featured(spark, sf_dir))
+    p = catalog.kept(detectors.bayesian(_featured(spark, sf_dir)), "posterior")
     return rounded(detectors.most_likely(p).join(detectors.intervals(p, (0.68,)).drop("mass"), [KEY, "run", "model"], "left"))
 
 
