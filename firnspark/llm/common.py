@@ -7,7 +7,6 @@ import ctypes
 import functools
 import gc
 import os
-import tempfile
 import time
 import uuid
 from collections.abc import Iterator
@@ -16,23 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from firnspark.sources.catalog import shared
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share.
 
-    Read from ``spark.checkpoint.dir``. Where that is unset a temporary folder of this machine is
-    made and set for the session, but only if driver and executors are one process; a cluster whose
-    executors couldn't read it is an error.
-    """
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        if not sc.master.split("[")[0] == "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="firnspark-")
-        sc.setCheckpointDir(found)
-        found = sc.getCheckpointDir()
-    return found.rstrip("/")
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors and the driver share: spark.checkpoint.dir (``catalog.shared``)."""
+    return shared(spark)
 
 
 class Scratch:

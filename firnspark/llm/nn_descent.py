@@ -32,6 +32,8 @@ EDGES = "u long, v long, sim float"
 EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("sim", pa.float32())])
 #: The group of crowded vectors that no ball holds: they are compared with all others.
 REST = -1
+#: Up to so many vectors the shuffle files of all turns are small, and are left to Spark's own cleaning.
+FEW = 20_000
 
 
 @dataclass(frozen=True)
@@ -460,7 +462,8 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, threshold: float = 0.9
             step += 1
             lists = scratch.keep(best_lists(lists.union(made), lengths, s), f"lists-{start}-{step}")
             audit["rounds"] += 1
-            scratch.free()
+            if n > FEW:
+                scratch.free()
 
         for _ in range(s.rounds):
             fresh = lists.join(before, ["u", "v"], "left_anti").select("u").distinct()
