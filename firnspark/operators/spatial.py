@@ -97,7 +97,7 @@ def along_track_bounds(found: DataFrame, samples: DataFrame, left_key: str, righ
     return out.groupBy(left_key, right_key).agg(*[at(c, e) for c in ("lat", "lon") for e in ("first", "last")])
 
 
-def search(frames: DataFrame, collections: list[str] | None = None, segments_: list[str] | None = None, years: tuple[int, int] | None = None, dates: str | None = None, geometry: DataFrame | None = None, key: str = "frame", geometry_key: str = "id") -> DataFrame:
+def search(frames: DataFrame, collections: list[str] | None = None, segments_: list[str] | None = None, years: tuple[int, int] | None = None, dates: str | None = None, geometry: DataFrame | None = None, key: str = "frame", geometry_key: str = "id", cell: float = 0.5) -> DataFrame:
     """Catalog rows of the collections, segments and years asked for, that meet any line of `geometry`.
 
     dates: "first/last" year, either of which may be left out. frames and geometry have points, and rows are
@@ -114,5 +114,5 @@ def search(frames: DataFrame, collections: list[str] | None = None, segments_: l
     if years:
         out = out.where(F.col("year").between(*years))
     if geometry is not None:
-        out = out.join(intersecting(out, geometry, key, geometry_key).select(key).distinct(), key, "left_semi")
+        out = out.join(intersecting(out, geometry, key, geometry_key, cell).select(key).distinct(), key, "left_semi")
     return out

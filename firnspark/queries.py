@@ -426,6 +426,10 @@ def grounding_report(spark, sf_dir):
     return rounded(detectors.zone_offset(out.join(width, KEY), "wlo").withColumn("sign", F.col("sign").cast("long")), 3)
 
 
+#: Degrees of a grid cell for these lines: a few times a track's piece, far less than a zone's.
+CELL = 0.02
+
+
 def _lines(spark, sf_dir):
     """Users' tracks and customers' zones as polylines in degrees."""
     own = _profile(spark, sf_dir)
@@ -440,13 +444,13 @@ def _lines(spark, sf_dir):
 @query
 def line_search(spark, sf_dir):
     tracks, zones = _lines(spark, sf_dir)
-    return spatial.intersecting(tracks, zones, KEY, "c_custkey", 0.25)
+    return spatial.intersecting(tracks, zones, KEY, "c_custkey", CELL)
 
 
 @query
 def zone_bounds(spark, sf_dir):
     tracks, zones = _lines(spark, sf_dir)
-    found = spatial.clipped(tracks, zones, KEY, "c_custkey", 0.25)
+    found = spatial.clipped(tracks, zones, KEY, "c_custkey", CELL)
     return rounded(found.select(KEY, "c_custkey", F.col("first.lat").alias("first_lat"), F.col("last.lat").alias("last_lat"), F.col("last.lon").alias("last_lon")))
 
 
@@ -454,7 +458,7 @@ def zone_bounds(spark, sf_dir):
 def track_bounds(spark, sf_dir):
     """Where zones begin and end along each track: at the samples nearest in latitude and in longitude to the crossings."""
     tracks, zones = _lines(spark, sf_dir)
-    found = spatial.clipped(tracks, zones, KEY, "c_custkey", 0.25)
+    found = spatial.clipped(tracks, zones, KEY, "c_custkey", CELL)
     return rounded(spatial.along_track_bounds(found, _profile(spark, sf_dir), KEY, "c_custkey"))
 
 
@@ -469,7 +473,7 @@ def catalog_geometry(spark, sf_dir):
     """Tracks of a range of years that meet any of the zones asked for."""
     tracks, zones = _lines(spark, sf_dir)
     frames = tracks.withColumn("year", (F.lit(2000) + F.col(KEY) % 20).cast("int"))
-    return spatial.search(frames, dates="2006/2015", geometry=zones.where("c_custkey % 53 < 5"), key=KEY, geometry_key="c_custkey").select(KEY, "year")
+    return spatial.search(frames, dates="2006/2015", geometry=zones.where("c_custkey % 53 < 5"), key=KEY, geometry_key="c_custkey", cell=CELL).select(KEY, "year")
 
 
 @query
