@@ -1,4 +1,4 @@
-"""Polylines that cross: bounding boxes on a grid meet by equal cells, then segments are tested exactly."""
+"""Polylines that cross: pieces on a grid meet by equal cells, then are tested exactly; equal lines meet others once for all."""
 
 from __future__ import annotations
 
@@ -52,6 +52,17 @@ def cells(pieces: DataFrame, size: float, p: str, q: str) -> DataFrame:
     return out.withColumn("cy", F.explode(F.sequence(F.floor((lo - pad) / size), F.floor((hi + pad) / size))))
 
 
+def shapes(lines: DataFrame, key: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """(key, name) of every key, name standing for all of its lines, and (name, points) once for each different name.
+
+    Keys of equal lines have one name, their digest, so what is compared grows with the different lines and not with
+    their copies.
+    """
+    own = lines.groupBy(key).agg(F.sort_array(F.collect_set("points")).alias("points"))
+    own = own.withColumn(name, F.unhex(F.sha2(F.col("points").cast("string"), 256)))
+    return own.select(key, name), own.groupBy(name).agg(F.first("points").alias("points")).select(name, F.explode("points").alias("points"))
+
+
 def _met(left: DataFrame, right: DataFrame, left_key: str, right_key: str, cell: float) -> DataFrame:
     """Pieces a-b of the left lines and c-d of the right ones that share a point, with the left piece's number."""
     own = cells(segments(left, left_key), cell, "a", "b")
@@ -114,5 +125,7 @@ def search(frames: DataFrame, collections: list[str] | None = None, segments_: l
     if years:
         out = out.where(F.col("year").between(*years))
     if geometry is not None:
-        out = out.join(intersecting(out, geometry, key, geometry_key, cell).select(key).distinct(), key, "left_semi")
+        (keys, own), (_, other) = shapes(out, key, "_own"), shapes(geometry, geometry_key, "_other")
+        met = keys.join(_met(own, other, "_own", "_other", cell).select("_own"), "_own", "left_semi")
+        out = out.join(met, key, "left_semi")
     return out

@@ -1,6 +1,7 @@
 """Operators on small fixtures with known answers."""
 
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -166,6 +167,38 @@ def test_cells_of_pieces_lose_no_crossing(spark):
     assert spatial.cells(long, 1.0, "a", "b").count() < 500
 
 
+def _copied_lines(spark):
+    """Six lines under 200 keys each, and one under a key of its own; one key has two lines, one a single point."""
+    line = lambda k: [(0.3 * k, -1.0), (0.3 * k, 1.0)]
+    rows = [(10 * j + k, line(k)) for j in range(200) for k in range(6)] + [(9, [(5.0, 5.0), (6.0, 6.0)]), (9, line(0)), (19, [(0.0, 0.0)]), (29, None)]
+    return spark.createDataFrame(rows, "t long, points array<struct<lon:double,lat:double>>")
+
+
+def _pairs_compared(df):
+    """Rows that the joins on cells gave, by the plan that ran."""
+    df.collect()
+    plan, found = df._jdf.queryExecution().executedPlan(), 0
+    stack = [plan]
+    while stack:
+        node = stack.pop()
+        if "AdaptiveSparkPlan" in node.nodeName():
+            stack.append(node.executedPlan())
+        elif "QueryStage" in node.nodeName():
+            stack.append(node.plan())
+        if "Join" in node.nodeName() and "cx#" in node.simpleString(10000).split("Inner")[0]:
+            found += node.metrics().apply("numOutputRows").value()
+        stack += [node.children().apply(k) for k in range(node.children().size())]
+    return found
+
+
+def test_search_compares_equal_lines_once(spark):
+    frames = _copied_lines(spark).withColumns({"collection": F.lit("a"), "segment": F.lit("s"), "year": F.lit(2010)})
+    zones = spark.createDataFrame([(k, [(-1.0, 0.5), (0.7, 0.5)]) for k in range(100)] + [(500, [(1.1, 1.0), (1.3, 0.5)])], "id long, points array<struct<lon:double,lat:double>>")
+    found = spatial.search(frames, geometry=zones, key="t", cell=0.5)
+    assert Counter(r.t for r in found.collect()) == Counter([10 * j + k for j in range(200) for k in (0, 1, 2, 4)] + [9, 9])
+    assert 0 < _pairs_compared(found) < 200
+
+
 def test_changepoint_marginals_match_enumeration():
     rng = np.random.default_rng(3)
     for n in (3, 5, 7):
