@@ -71,9 +71,21 @@ def _met(left: DataFrame, right: DataFrame, left_key: str, right_key: str, cell:
     return met.toDF(left_key, "part", "ax", "ay", "bx", "by", right_key, "cx", "cy", "dx", "dy").where(crossing())
 
 
+def _of_keys(found: DataFrame, keys: DataFrame, others: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """found (_own, _other, ...) with a row for each key of either name.
+
+    A few pairs of names may be very many rows, so these are dealt evenly before the last join.
+    """
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = found.join(keys, "_own").repartition(parts, left_key, "_other").join(others, "_other")
+    return rows.select(left_key, right_key, *[c for c in found.columns if c not in ("_own", "_other")])
+
+
 def intersecting(left: DataFrame, right: DataFrame, left_key: str, right_key: str, cell: float = 0.5) -> DataFrame:
-    """(left_key, right_key) of polylines that share a point: one distributed join for all of them."""
-    return _met(left, right, left_key, right_key, cell).select(left_key, right_key).distinct()
+    """(left_key, right_key) of polylines that share a point: one distributed join for all of them, equal lines as one."""
+    (keys, own), (others, other) = shapes(left, left_key, "_own"), shapes(right, right_key, "_other")
+    met = _met(own, other, "_own", "_other", cell).select("_own", "_other").distinct()
+    return _of_keys(met, keys, others, left_key, right_key)
 
 
 def clipped(left: DataFrame, right: DataFrame, left_key: str, right_key: str, cell: float = 0.5) -> DataFrame:

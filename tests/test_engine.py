@@ -199,6 +199,14 @@ def test_search_compares_equal_lines_once(spark):
     assert 0 < _pairs_compared(found) < 200
 
 
+def test_intersecting_compares_equal_lines_once(spark):
+    zones = spark.createDataFrame([(k, [(-1.0, 0.5), (0.7, 0.5)]) for k in range(100)] + [(500, [(1.1, 1.0), (1.3, 0.5)])], "id long, points array<struct<lon:double,lat:double>>")
+    found = spatial.intersecting(_copied_lines(spark), zones, "t", "id")
+    want = [(10 * j + k, z) for j in range(200) for k in range(3) for z in range(100)] + [(10 * j + 4, 500) for j in range(200)] + [(9, z) for z in range(100)]
+    assert found.columns == ["t", "id"] and Counter(map(tuple, found.collect())) == Counter(want)
+    assert 0 < _pairs_compared(found) < 200
+
+
 def test_changepoint_marginals_match_enumeration():
     rng = np.random.default_rng(3)
     for n in (3, 5, 7):
