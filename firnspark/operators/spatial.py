@@ -52,15 +52,15 @@ def cells(pieces: DataFrame, size: float, p: str, q: str) -> DataFrame:
     return out.withColumn("cy", F.explode(F.sequence(F.floor((lo - pad) / size), F.floor((hi + pad) / size))))
 
 
-def shapes(lines: DataFrame, key: str, name: str) -> tuple[DataFrame, DataFrame]:
-    """(key, name) of every key, name standing for all of its lines, and (name, points) once for each different name.
+def shapes(lines: DataFrame, key: str, name: str, *also: str) -> tuple[DataFrame, DataFrame]:
+    """(key, name) of every key, name standing for all of its lines, and (name, points, also) once for each different name.
 
-    Keys of equal lines have one name, their digest, so what is compared grows with the different lines and not with
-    their copies.
+    Keys of equal lines (and equal columns `also`) have one name, their digest, so what is compared grows with the
+    different lines and not with their copies.
     """
-    own = lines.groupBy(key).agg(F.sort_array(F.collect_set("points")).alias("points"))
-    own = own.withColumn(name, F.unhex(F.sha2(F.col("points").cast("string"), 256)))
-    return own.select(key, name), own.groupBy(name).agg(F.first("points").alias("points")).select(name, F.explode("points").alias("points"))
+    own = lines.groupBy(key).agg(F.sort_array(F.collect_set(F.struct("points", *also))).alias("lines"))
+    own = own.withColumn(name, F.unhex(F.sha2(F.col("lines").cast("string"), 256)))
+    return own.select(key, name), own.groupBy(name).agg(F.first("lines").alias("lines")).select(name, F.inline("lines"))
 
 
 def _met(left: DataFrame, right: DataFrame, left_key: str, right_key: str, cell: float) -> DataFrame:
@@ -91,8 +91,14 @@ def intersecting(left: DataFrame, right: DataFrame, left_key: str, right_key: st
 def clipped(left: DataFrame, right: DataFrame, left_key: str, right_key: str, cell: float = 0.5) -> DataFrame:
     """(left_key, right_key, first, last): the first and last crossing along the left line, as points.
 
-    Pieces that lie on one another count by their end that comes first on the left line.
+    Pieces that lie on one another count by their end that comes first on the left line. Equal lines are compared once.
     """
+    (keys, own), (others, other) = shapes(left, left_key, "_own"), shapes(right, right_key, "_other")
+    return _of_keys(_ends(own, other, "_own", "_other", cell), keys, others, left_key, right_key)
+
+
+def _ends(left: DataFrame, right: DataFrame, left_key: str, right_key: str, cell: float) -> DataFrame:
+    """What `clipped` gives, all lines compared."""
     met = _met(left, right, left_key, right_key, cell)
     ux, uy, vx, vy = (F.col(p) - F.col(q) for p, q in (("bx", "ax"), ("by", "ay"), ("dx", "cx"), ("dy", "cy")))
     cross, length = ux * vy - uy * vx, ux * ux + uy * uy

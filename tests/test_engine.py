@@ -207,6 +207,16 @@ def test_intersecting_compares_equal_lines_once(spark):
     assert 0 < _pairs_compared(found) < 200
 
 
+def test_clipped_compares_equal_lines_once(spark):
+    zones = spark.createDataFrame([(k, [(-1.0, 0.5), (0.7, 0.5), (-1.0, 0.75)]) for k in range(100)], "id long, points array<struct<lon:double,lat:double>>")
+    found = spatial.clipped(_copied_lines(spark), zones, "t", "id")
+    got = {(r.t, r.id): (*r.first, *r.last) for r in found.collect()}
+    second = lambda x: 0.5 + 0.25 * (0.7 - x) / 1.7
+    want = {(t, z): (0.3 * k, 0.5, 0.3 * k, second(0.3 * k)) for k in range(3) for t in [10 * j + k for j in range(200)] + [9] * (k == 0) for z in range(100)}
+    assert got.keys() == want.keys() and found.count() == len(want) and all(v == pytest.approx(want[k]) for k, v in got.items())
+    assert 0 < _pairs_compared(found) < 200
+
+
 def test_changepoint_marginals_match_enumeration():
     rng = np.random.default_rng(3)
     for n in (3, 5, 7):
