@@ -126,6 +126,14 @@ def along_track_bounds(found: DataFrame, samples: DataFrame, left_key: str, righ
     return out.groupBy(left_key, right_key).agg(*[at(c, e) for c in ("lat", "lon") for e in ("first", "last")])
 
 
+def track_bounds(tracks: DataFrame, lines: DataFrame, samples: DataFrame, left_key: str, right_key: str, cell: float = 0.5) -> DataFrame:
+    """`along_track_bounds` of what `clipped` finds; tracks of equal points and samples are looked up once, as are equal lines."""
+    near = samples.groupBy(left_key).agg(F.sort_array(F.collect_set(F.struct("lat", "lon", "x_km"))).alias("samples"))
+    (keys, own), (others, other) = shapes(tracks.join(near, left_key, "left"), left_key, "_own", "samples"), shapes(lines, right_key, "_other")
+    found = along_track_bounds(_ends(own.drop("samples"), other, "_own", "_other", cell), own.select("_own", F.inline("samples")), "_own", "_other")
+    return _of_keys(found, keys, others, left_key, right_key)
+
+
 def search(frames: DataFrame, collections: list[str] | None = None, segments_: list[str] | None = None, years: tuple[int, int] | None = None, dates: str | None = None, geometry: DataFrame | None = None, key: str = "frame", geometry_key: str = "id", cell: float = 0.5) -> DataFrame:
     """Catalog rows of the collections, segments and years asked for, that meet any line of `geometry`.
 

@@ -217,6 +217,20 @@ def test_clipped_compares_equal_lines_once(spark):
     assert 0 < _pairs_compared(found) < 200
 
 
+def test_track_bounds_look_equal_tracks_up_once(spark):
+    """Against bounds of all pairs; tracks of equal points are told apart by their samples."""
+    tracks = _copied_lines(spark)
+    zones = spark.createDataFrame([(k, [(-1.0, 0.5), (0.7, 0.5), (-1.0, 0.75)]) for k in range(100)], "id long, points array<struct<lon:double,lat:double>>")
+    rows = [(10 * j + k, 0.25 * i - 1, 0.3 * k, float(i + 100 * (j == 7))) for j in range(200) for k in range(6) if (j, k) != (8, 1) for i in range(9)]
+    samples = spark.createDataFrame(rows, "t long, lat double, lon double, x_km double")
+    found = spatial.track_bounds(tracks, zones, samples, "t", "id")
+    plain = spatial.along_track_bounds(spatial.clipped(tracks, zones, "t", "id"), samples, "t", "id")
+    got = Counter(map(tuple, found.collect()))
+    assert got == Counter(map(tuple, plain.select(*found.columns).collect())) and got.total() == 60100
+    assert {r[2:] for r in got if r[0] == 71} == {(106.0, 106.0, 100.0, 100.0)} and {r[2:] for r in got if r[0] == 81} == {(None,) * 4}
+    assert 0 < _pairs_compared(found) < 200
+
+
 def test_changepoint_marginals_match_enumeration():
     rng = np.random.default_rng(3)
     for n in (3, 5, 7):
