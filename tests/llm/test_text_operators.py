@@ -420,6 +420,27 @@ def test_cosine_is_that_of_the_definition(spark):
     assert found.license == "MIT" and found.score == pytest.approx(best, abs=1e-6)
 
 
+def test_license_scan_leaves_out_nothing_that_reaches_the_threshold(spark):
+    """Every line against every template by hand; the notices name their licences without any anchor."""
+    rng, w = np.random.default_rng(8), license_scan.Weights()
+    idf, words = w.idf(), sorted(w.idf())
+    lines = [t for _, t in w.templates if "\n" not in t and "." not in t] + ["Mit", "Released under the GPLv3", "permission to use copy modify", ""]
+    lines += [" ".join([*rng.permutation(t.split())[: rng.integers(1, 12)], *rng.choice(words, rng.integers(0, 3))]).replace(".", " ") for _, t in w.templates for _ in range(2)]
+    vectors = {}
+    for k, name, t, x in w.rows():
+        vectors.setdefault((k, name), {})[t] = x
+    want = {}
+    for k, text in enumerate(lines):
+        own = {t: n * idf.get(t, w.other()) for t, n in Counter(re.findall(license_scan.TOKEN, text.lower())).items()}
+        norm = math.sqrt(sum(v * v for v in own.values())) or 1.0
+        score, name = min((-round(sum(v * x.get(t, 0.0) for t, v in own.items()) / norm, 6), name) for (_, name), x in vectors.items())
+        want[k] = (name if -score >= 0.8 else None, score)
+    got = {r.doc_id: r.license for r in license_scan.scan(spark.createDataFrame([(k, f"d{k}.txt", t) for k, t in enumerate(lines)], "doc_id long, path string, text string"), Scratch(spark, "t")).collect()}
+    clear = {k: name for k, (name, score) in want.items() if abs(score + 0.8) > 2e-6}
+    assert len(clear) > 500 and got[lines.index("GPLv3")] == got[lines.index("Released under the GPLv3")] == "GPL-3.0"
+    assert {k: got[k] is None for k in clear} == {k: name is None for k, name in clear.items()}
+
+
 def test_real_notices_are_found(spark):
     full = dict(reversed([t for t in license_scan.TEMPLATES if len(t[1]) > 600]))
     mit = full["MIT"].replace("Copyright (c)", "Copyright (c) 2021 Jane Q. Public and others")
