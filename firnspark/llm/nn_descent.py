@@ -193,8 +193,8 @@ def saturated(lists: DataFrame, lengths: DataFrame, length: int, least: float, s
     return _with_length(full, lengths, s).where(F.col("length") == length).select("u")
 
 
-def refined(lists: DataFrame, fresh: DataFrame, nodes: DataFrame, lengths: DataFrame, n: int, turn: int, threshold: float, s: Settings) -> DataFrame:
-    """EDGES between the neighbours of each vector in `fresh`, better than what they have.
+def refined(lists: DataFrame, fresh: DataFrame, nodes: DataFrame, lengths: DataFrame, n: int, turn: int, threshold: float, s: Settings, most: int = 5) -> DataFrame:
+    """EDGES between the neighbours of each vector in `fresh`, better than what they have: for each at least its best `most`.
 
     Around a vector there may be more than three lists' worth of others that have it in theirs; each turn takes
     others of them.
@@ -216,7 +216,7 @@ def refined(lists: DataFrame, fresh: DataFrame, nodes: DataFrame, lengths: DataF
                 if hi - lo > 1:
                     m = np.stack(x[lo:hi])
                     # As many as a list could take of them, a third of what is around.
-                    found.append(_top(v[lo:hi], m @ m.T, np.nan_to_num(least[lo:hi], nan=-2.0), threshold, max(5, (hi - lo) // 3)))
+                    found.append(_top(v[lo:hi], m @ m.T, np.nan_to_num(least[lo:hi], nan=-2.0), threshold, max(most, (hi - lo) // 3)))
             yield _edges(found)
 
     joined = around.select("u", "v").join(targets, "v").select("u", "v", "least", "v32")
@@ -455,9 +455,9 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, threshold: float = 0.9
         before, lists = lists, scratch.keep(best_lists(lists.union(made), lengths, s), f"lists-{start}-0")
         step = 0
 
-        def turn(fresh: DataFrame):
+        def turn(fresh: DataFrame, most: int = 5):
             nonlocal lists, ties, step
-            made = scratch.keep(refined(lists, fresh, nodes, lengths, n, 100 * start + step, threshold, s), f"made-{start}-{step}")
+            made = scratch.keep(refined(lists, fresh, nodes, lengths, n, 100 * start + step, threshold, s, most), f"made-{start}-{step}")
             ties = ties.union(made.where(near))
             step += 1
             lists = scratch.keep(best_lists(lists.union(made), lengths, s), f"lists-{start}-{step}")
@@ -483,8 +483,9 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, threshold: float = 0.9
             length *= 2
             if not full.isEmpty():
                 lengths = scratch.keep(lengths.join(full, "u", "left_anti").union(full.select("u", F.lit(length))), f"lengths-{start}-{length}")
+                # A whole list from each place: of a group hardly larger than a list, a third would be its same nearest each time.
                 for _ in range(2):
-                    turn(full)
+                    turn(full, length)
         crowded = scratch.keep(saturated(lists, lengths, length, least, s), f"saturated-{start}-{length}")
         seen = ties.union(lists.where(near)).select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
         # Links of crowded vectors are counted with their crowd; the graph's edges stand for the others.

@@ -257,6 +257,21 @@ def test_audit_sees_small_groups_beside_a_large_one(spark):
     assert audit["recall"] == 1.0
 
 
+def test_nn_descent_finds_all_links_of_groups_hardly_larger_than_a_list(spark):
+    """Groups of 16 to 29, all of whose pairs link, by one start and without audit (no id is divisible by 50)."""
+    rng = np.random.default_rng(21)
+    groups = [rng.standard_normal(64) + 0.19 * rng.standard_normal((16 + k % 14, 64)) for k in range(42)]
+    x = np.concatenate([*groups, rng.standard_normal((1500, 64))])
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    close = u @ u.T >= 0.95
+    want = close.sum(axis=1) - 1
+    ids = [k + k // 49 + 1 for k in range(len(x))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    found, audit = nn_descent.near_duplicates(df, Scratch(spark, "t"), settings=nn_descent.Settings(starts=1))
+    assert audit["recall"] is None and (want > 10).sum() > 500
+    assert {r.vec_id: r.n_links for r in found.collect()} == dict(zip(ids, want.tolist()))
+
+
 def test_nn_descent_edge_tables(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert nn_descent.near_duplicates(empty, Scratch(spark, "t"))[0].count() == 0
