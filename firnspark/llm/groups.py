@@ -48,18 +48,26 @@ def first_pairs(rows: DataFrame, block: int) -> DataFrame:
     return out.select("tile", "row", F.xxhash64("tile", "other").alias("pair"), F.lit(2).alias("side"), F.col("row").alias("label"))
 
 
-def rest_pairs(rows: DataFrame, found: DataFrame, block: int) -> DataFrame:
+def _labelled(rows: DataFrame, found: DataFrame, block: int) -> DataFrame:
+    """rows of tiles of more than one block, labelled by their components in found (node, component)."""
+    return rows.where(F.col("size") > block).join(found.select(F.col("node").alias("row"), "component"), "row", "left").withColumn("label", F.coalesce("component", "row"))
+
+
+def open_tiles(rows: DataFrame, found: DataFrame, block: int) -> DataFrame:
+    """(tile, major, high, wide): tiles of more than one block that are not one component of found, that of most rows, and blocks."""
+    sizes = _labelled(rows, found, block).groupBy("tile", "label").agg(F.count(F.lit(1)).alias("n"))
+    tiles = sizes.groupBy("tile").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all")).where(F.col("top.n") < F.col("all"))
+    return tiles.select("tile", F.col("top.label").alias("major"), F.ceil((F.col("all") - F.col("top.n")) / block).cast("int").alias("high"), F.ceil(F.col("all") / block).cast("int").alias("wide"))
+
+
+def rest_pairs(rows: DataFrame, found: DataFrame, block: int, tiles: DataFrame | None = None) -> DataFrame:
     """What first_pairs has left open of tiles of more than one block, given the components (node, component) of what it found.
 
     Rows of a tile's largest component need no more comparing among themselves: the other rows (side 0) meet all
     rows (side 1) of another label, every block of the ones with every block of the others. A crowd that is joined already
-    costs nothing here.
+    costs nothing here. tiles: open_tiles of the same, where they are written already.
     """
-    known = rows.where(F.col("size") > block).join(found.select(F.col("node").alias("row"), "component"), "row", "left").withColumn("label", F.coalesce("component", "row"))
-    sizes = known.groupBy("tile", "label").agg(F.count(F.lit(1)).alias("n"))
-    tiles = sizes.groupBy("tile").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all")).where(F.col("top.n") < F.col("all"))
-    tiles = tiles.select("tile", F.col("top.label").alias("major"), F.ceil((F.col("all") - F.col("top.n")) / block).cast("int").alias("high"), F.ceil(F.col("all") / block).cast("int").alias("wide"))
-    known = known.join(tiles, "tile")
+    known = _labelled(rows, found, block).join(open_tiles(rows, found, block) if tiles is None else tiles, "tile")
     own = lambda k: F.pmod(F.xxhash64("row", "tile"), F.col(k)).cast("int")
     each = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
     minor = known.where(F.col("label") != F.col("major")).select("tile", "row", "label", F.lit(0).alias("side"), own("high").alias("a"), each("wide").alias("b"))

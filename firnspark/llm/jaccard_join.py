@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from firnspark.llm import repeats, shingles
 from firnspark.llm.chunks import buckets, chunked, packed, shares, text_bytes, unpacked
 from firnspark.llm.common import Scratch, trimmed
-from firnspark.llm.components import connected_components
-from firnspark.llm.groups import bounds, first_pairs, may_meet, rest_pairs, whole_groups
+from firnspark.llm.components import connected_components, stars
+from firnspark.llm.groups import bounds, first_pairs, may_meet, open_tiles, rest_pairs, whole_groups
 
 KEY = repeats.ALONE
 #: The order's list of widespread shingles has a fixed bound, so it can be broadcast: 2^17 words.
@@ -211,17 +211,15 @@ def _classes(docs: DataFrame, scratch: Scratch, similarity: Similarity, chunk_by
 
     proposed = _spanned(tiles, lambda dealt: _proposed_pairs(dealt, held_rows, similarity, partitions), scratch, "proposed")
     # Whatever is linked is in one component of the pairs that may be; there sets are intersected exactly.
-    groups = scratch.keep(connected_components(proposed, scratch, "group"), "groups").select(F.col("node").alias("row"), F.col("component").alias("tile"))
+    groups = proposed.select(F.col("node").alias("row"), F.col("component").alias("tile"))
     groups = scratch.keep(groups.join(groups.groupBy("tile").agg(F.count(F.lit(1)).alias("size")), "tile"), "sized")
     del tiles, held_rows, keyed_sets, proposed
-    scratch.drop("keyed", "tiles", "widespread", "groups", "proposed", "proposed-known", "proposed-rest")
+    scratch.drop("keyed", "tiles", "widespread", "proposed", "proposed-known")
     scratch.free()
-    links = _spanned(groups, lambda dealt: _linked(dealt, chunks, sets, similarity, partitions), scratch, "links")
+    classes = _spanned(groups, lambda dealt: _linked(dealt, chunks, sets, similarity, partitions), scratch, "links")
     del groups
     scratch.drop("sized")
     scratch.free()
-    classes = scratch.keep(connected_components(links, scratch, "class"), "classes")
-    scratch.drop("links", "links-known", "links-rest")
 
     of_row = rows.select("row", "doc_id", "n").join(copies, "row", "left").withColumn("vertex", F.coalesce("vertex", "row"))
     of_row = of_row.join(classes.select(F.col("node").alias("vertex"), "component"), "vertex", "left")
@@ -243,12 +241,20 @@ def _place():
 
 
 def _spanned(groups: DataFrame, compare, scratch: Scratch, name: str, block: int = 1024) -> DataFrame:
-    """(a, b) that compare finds in groups (tile, row, size), in two goes if there are groups of more than one block."""
-    found = scratch.keep(compare(first_pairs(groups, block)).distinct(), name)
-    if groups.where(F.col("size") > block).isEmpty():
-        return found
-    rest = rest_pairs(groups, scratch.keep(connected_components(found, scratch, f"{name}-so-far"), f"{name}-known"), block)
-    return found.union(scratch.keep(compare(rest).distinct(), f"{name}-rest"))
+    """(node, component) of what compare joins in groups (tile, row, size), in two goes if the first leaves groups of
+    more than one block apart. The second starts from the stars of the first."""
+    found = scratch.keep(compare(first_pairs(groups, block)).distinct(), f"{name}-first")
+    known = scratch.keep(connected_components(found, scratch, f"{name}-so-far"), f"{name}-known")
+    scratch.drop(f"{name}-first")
+    if not groups.where(F.col("size") > block).isEmpty():
+        still = scratch.keep(open_tiles(groups, known, block), f"{name}-open")
+        if not still.isEmpty():
+            rest = scratch.keep(compare(rest_pairs(groups, known, block, still)).distinct(), f"{name}-rest")
+            both = known.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(rest)
+            known = scratch.keep(connected_components(both, scratch, f"{name}-in-all"), name)
+            scratch.drop(f"{name}-known", f"{name}-rest")
+        scratch.drop(f"{name}-open")
+    return known
 
 
 def _asked(dealt: DataFrame) -> DataFrame:
@@ -278,7 +284,8 @@ def _each_meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table,
 
 
 def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    columns = list(zip(*found, strict=True)) or [[], []]
+    """What the found pairs join, as stars: fewer rounds join those of different tasks."""
+    columns = list(zip(*stars(found), strict=True)) or [[], []]
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
 
 
@@ -310,7 +317,7 @@ def _proposed_pairs(dealt: DataFrame, held_rows: DataFrame, similarity: Similari
 
 
 def _named(row: np.ndarray, edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    return [tuple(sorted((int(row[a]), int(row[b])), reverse=True)) for a, b in edges]
+    return [(int(row[a]), int(row[b])) for a, b in edges]
 
 
 def _linked(dealt: DataFrame, chunks: DataFrame, sets, similarity: Similarity, partitions: int) -> DataFrame:

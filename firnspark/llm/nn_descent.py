@@ -504,7 +504,7 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, threshold: float = 0.9
         audit["found"], audit["recall"] = audit["links"], 1.0
     LOG.info("NN-descent audit: %s", audit)
 
-    components = scratch.keep(connected_components(links, scratch, "component"), "components")
+    components = scratch.keep(connected_components(links.distinct(), scratch, "component"), "components")
     of_node = nodes.select("node", "weight", "x").join(components, "node", "left").join(degrees, "node", "left")
     of_node = of_node.select("x", F.coalesce("component", "node").alias("component"), (F.coalesce("degree", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     placed = usable.join(of_node, "x").select("row", "component", "n_links")

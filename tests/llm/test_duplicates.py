@@ -12,7 +12,7 @@ from tests.conftest import SF
 
 from firnspark.llm import chunks, jaccard_join, nn_descent, rolling, shingles, suffix_dedup
 from firnspark.llm.common import Scratch
-from firnspark.llm.components import connected_components
+from firnspark.llm.components import connected_components, stars
 from firnspark.llm.queries import QUERIES
 
 
@@ -57,6 +57,37 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "t")).count() == 0
 
 
+class Named(Scratch):
+    """Remembers what was written."""
+
+    def __init__(self, spark):
+        super().__init__(spark, "t")
+        self.names = []
+
+    def keep(self, df, name):
+        self.names.append(name)
+        return super().keep(df, name)
+
+
+def test_components_end_when_all_are_stars(spark):
+    """No round follows only to see that nothing moves; chains take more than one."""
+    links = [(k, k % 10) for k in range(10, 200)] + [(k, k % 10) for k in range(10, 90)]
+    found = connected_components(spark.createDataFrame(links, "a long, b long"), scratch := Named(spark), "c")
+    assert {r.node: r.component for r in found.collect()} == {k: k % 10 for k in range(200)} and scratch.names == ["c-0"]
+    chain = [(k, k + 1) for k in range(50)] + [(50, 200), (200, 60), (60, 199), (199, 55)]
+    found = connected_components(spark.createDataFrame(chain, "a long, b long"), scratch := Named(spark), "c")
+    assert {r.component for r in found.collect()} == {0} and len(scratch.names) > 1
+
+
+def test_stars_join_what_links_join():
+    rng = random.Random(6)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(k + 1, k) for k in range(500, 900)] + [(2000, k) for k in range(1000, 1100)] + [(7, 7)]
+    want = components({n for e in links for n in e}, links)
+    got = stars(links)
+    assert dict(got) == {n: c for n, c in want.items() if n != c} and len(got) == len(dict(got))
+    assert stars([]) == []
+
+
 # Shingles
 
 def shingle_set(text, k):
@@ -125,6 +156,16 @@ def test_blocks_of_a_large_tile(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == jaccard_components(docs, 4, 5, 5)
 
 
+def test_a_crowd_that_the_first_block_joins_is_not_compared_again(spark):
+    """Near copies in several blocks, all joined to the first: no second go, and one round for each graph."""
+    rng = random.Random(9)
+    base = [f"v{k}" for k in range(200)]
+    docs = [(k, " ".join(f"n{k}" if j == at else w for j, w in enumerate(base))) for k, at in enumerate(rng.randrange(200) for _ in range(1300))]
+    found = jaccard_join.joined(spark.createDataFrame(docs, "doc_id long, text string"), scratch := Named(spark))
+    assert {r.doc_id: r.component_id for r in found.collect()} == dict.fromkeys(range(1300), 0)
+    assert "links-open" in scratch.names and not [n for n in scratch.names if n.endswith(("-rest", "-1"))]
+
+
 def test_signatures_bound_differences():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 1 << 50, n, dtype=np.uint64)) for n in (5, 60, 70, 500)]
