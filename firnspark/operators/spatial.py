@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from firnspark.operators.joins import nearest
 
+Finish = Callable[[DataFrame], DataFrame]
+#: Keys of equal lines that one row lists at most: a row with two lists becomes rows in memory, all of them at once.
+LISTED = 128
+
 
 def boxes(lines: DataFrame, points: str = "points") -> DataFrame:
     """lines with the bounds of their points (array of struct lon, lat)."""
@@ -71,14 +77,23 @@ def _met(left: DataFrame, right: DataFrame, left_key: str, right_key: str, cell:
     return met.toDF(left_key, "part", "ax", "ay", "bx", "by", right_key, "cx", "cy", "dx", "dy").where(crossing())
 
 
+def _listed(keys: DataFrame, name: str, key: str) -> DataFrame:
+    """(name, name_k, name_keys): the keys of each name, a NULL included, in lists of at most LISTED."""
+    at = F.row_number().over(Window.partitionBy(name).orderBy(key)) - 1
+    listed = F.concat(F.collect_list(key), F.array_repeat(F.lit(None), F.count_if(F.col(key).isNull()).cast("int")))
+    return keys.withColumn(f"{name}_k", F.floor(at / LISTED)).groupBy(name, f"{name}_k").agg(listed.alias(f"{name}_keys"))
+
+
 def _of_keys(found: DataFrame, keys: DataFrame, others: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """found (_own, _other, ...) with a row for each key of either name.
 
-    A few pairs of names may be very many rows, so these are dealt evenly before the last join.
+    A few pairs of names may be very many rows, so lists of keys are joined and dealt evenly, and become rows last.
     """
     parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = found.join(keys, "_own").repartition(parts, left_key, "_other").join(others, "_other")
-    return rows.select(left_key, right_key, *[c for c in found.columns if c not in ("_own", "_other")])
+    values = [c for c in found.columns if c not in ("_own", "_other")]
+    lists = found.join(_listed(keys, "_own", left_key), "_own").join(_listed(others, "_other", right_key), "_other")
+    rows = lists.repartition(parts, "_own", "_own_k", "_other", "_other_k").select("_other_keys", *values, F.explode("_own_keys").alias(left_key))
+    return rows.select(left_key, *values, F.explode("_other_keys").alias(right_key)).select(left_key, right_key, *values)
 
 
 def intersecting(left: DataFrame, right: DataFrame, left_key: str, right_key: str, cell: float = 0.5) -> DataFrame:
@@ -126,12 +141,15 @@ def along_track_bounds(found: DataFrame, samples: DataFrame, left_key: str, righ
     return out.groupBy(left_key, right_key).agg(*[at(c, e) for c in ("lat", "lon") for e in ("first", "last")])
 
 
-def track_bounds(tracks: DataFrame, lines: DataFrame, samples: DataFrame, left_key: str, right_key: str, cell: float = 0.5) -> DataFrame:
-    """`along_track_bounds` of what `clipped` finds; tracks of equal points and samples are looked up once, as are equal lines."""
+def track_bounds(tracks: DataFrame, lines: DataFrame, samples: DataFrame, left_key: str, right_key: str, cell: float = 0.5, finish: Finish = lambda found: found) -> DataFrame:
+    """`along_track_bounds` of what `clipped` finds; tracks of equal points and samples are looked up once, as are equal lines.
+
+    finish: what else is made of the bounds, once for all keys of equal lines; it passes on columns that it doesn't know.
+    """
     near = samples.groupBy(left_key).agg(F.sort_array(F.collect_set(F.struct("lat", "lon", "x_km"))).alias("samples"))
     (keys, own), (others, other) = shapes(tracks.join(near, left_key, "left"), left_key, "_own", "samples"), shapes(lines, right_key, "_other")
     found = along_track_bounds(_ends(own.drop("samples"), other, "_own", "_other", cell), own.select("_own", F.inline("samples")), "_own", "_other")
-    return _of_keys(found, keys, others, left_key, right_key)
+    return _of_keys(finish(found), keys, others, left_key, right_key)
 
 
 def search(frames: DataFrame, collections: list[str] | None = None, segments_: list[str] | None = None, years: tuple[int, int] | None = None, dates: str | None = None, geometry: DataFrame | None = None, key: str = "frame", geometry_key: str = "id", cell: float = 0.5) -> DataFrame:

@@ -458,7 +458,7 @@ def zone_bounds(spark, sf_dir):
 def track_bounds(spark, sf_dir):
     """Where zones begin and end along each track: at the samples nearest in latitude and in longitude to the crossings."""
     tracks, zones = _lines(spark, sf_dir)
-    return rounded(spatial.track_bounds(tracks, zones, _profile(spark, sf_dir), KEY, "c_custkey", CELL))
+    return spatial.track_bounds(tracks, zones, _profile(spark, sf_dir), KEY, "c_custkey", CELL, rounded)
 
 
 @query

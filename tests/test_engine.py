@@ -11,6 +11,7 @@ from tests.conftest import SF
 from firnspark.functions import physics, projection
 from firnspark.operators import filtering, joins, radar, series, spatial
 from firnspark.plans import changepoint, detectors, features, flotation, flow, results
+from firnspark.queries import QUERIES
 from firnspark.sources import profiles
 
 
@@ -231,6 +232,46 @@ def test_track_bounds_look_equal_tracks_up_once(spark):
     assert 0 < _pairs_compared(found) < 200
 
 
+def _most_joined(df):
+    """Rows of the join that gave most, by the plan that ran."""
+    df.collect()
+    most, stack = 0, [df._jdf.queryExecution().executedPlan()]
+    while stack:
+        node = stack.pop()
+        if "AdaptiveSparkPlan" in node.nodeName():
+            stack.append(node.executedPlan())
+        elif "QueryStage" in node.nodeName():
+            stack.append(node.plan())
+        if "Join" in node.nodeName():
+            most = max(most, node.metrics().apply("numOutputRows").value())
+        stack += [node.children().apply(k) for k in range(node.children().size())]
+    return most
+
+
+def test_track_bounds_of_equal_lines_are_finished_once_and_keys_join_as_lists(spark, monkeypatch):
+    """Whatever the lists' length, and with keys that are NULL, the rows are the same; no join makes a row for each pair of keys."""
+    tracks = _copied_lines(spark).unionByName(spark.createDataFrame([(None, [(0.0, -1.0), (0.0, 1.0)])], "t long, points array<struct<lon:double,lat:double>>"))
+    zones = spark.createDataFrame([(k, [(-1.0, 0.5), (0.7, 0.5), (-1.0, 0.75)]) for k in [*range(100), None]], "id long, points array<struct<lon:double,lat:double>>")
+    samples = spark.createDataFrame([(10 * j + k, 0.25 * i - 1, 0.3 * k, float(i)) for j in range(200) for k in range(6) for i in range(9)], "t long, lat double, lon double, x_km double")
+    half = lambda found: found.withColumn("lat_first", F.col("lat_first") / 2)
+    plain = half(spatial.along_track_bounds(spatial.clipped(tracks, zones, "t", "id"), samples, "t", "id"))
+    want = Counter(map(tuple, plain.collect()))
+    assert want.total() == 602 * 101 and any(r[0] is None and r[1] is None for r in want)
+    for n in (spatial.LISTED, 7):
+        monkeypatch.setattr(spatial, "LISTED", n)
+        found = spatial.track_bounds(tracks, zones, samples, "t", "id", finish=half)
+        assert Counter(map(tuple, found.select(*plain.columns).collect())) == want
+    monkeypatch.undo()
+    assert _most_joined(spatial.track_bounds(tracks, zones, samples, "t", "id")) < 5000
+
+
+@pytest.mark.parametrize("name", ["track_bounds"])
+def test_bounds_are_rounded_before_keys_become_rows(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    rows, _, rest = plan.partition("Generate explode(_other_keys")
+    assert "round(" not in rows and "round(" in rest
+
+
 def test_changepoint_marginals_match_enumeration():
     rng = np.random.default_rng(3)
     for n in (3, 5, 7):
