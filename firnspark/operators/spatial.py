@@ -103,13 +103,14 @@ def intersecting(left: DataFrame, right: DataFrame, left_key: str, right_key: st
     return _of_keys(met, keys, others, left_key, right_key)
 
 
-def clipped(left: DataFrame, right: DataFrame, left_key: str, right_key: str, cell: float = 0.5) -> DataFrame:
+def clipped(left: DataFrame, right: DataFrame, left_key: str, right_key: str, cell: float = 0.5, finish: Finish = lambda found: found) -> DataFrame:
     """(left_key, right_key, first, last): the first and last crossing along the left line, as points.
 
     Pieces that lie on one another count by their end that comes first on the left line. Equal lines are compared once.
+    finish: what else is made of the points, once for all keys of equal lines; it passes on columns that it doesn't know.
     """
     (keys, own), (others, other) = shapes(left, left_key, "_own"), shapes(right, right_key, "_other")
-    return _of_keys(_ends(own, other, "_own", "_other", cell), keys, others, left_key, right_key)
+    return _of_keys(finish(_ends(own, other, "_own", "_other", cell)), keys, others, left_key, right_key)
 
 
 def _ends(left: DataFrame, right: DataFrame, left_key: str, right_key: str, cell: float) -> DataFrame:

@@ -450,8 +450,8 @@ def line_search(spark, sf_dir):
 @query
 def zone_bounds(spark, sf_dir):
     tracks, zones = _lines(spark, sf_dir)
-    found = spatial.clipped(tracks, zones, KEY, "c_custkey", CELL)
-    return rounded(found.select(KEY, "c_custkey", F.col("first.lat").alias("first_lat"), F.col("last.lat").alias("last_lat"), F.col("last.lon").alias("last_lon")))
+    ends = {"first_lat": F.col("first.lat"), "last_lat": F.col("last.lat"), "last_lon": F.col("last.lon")}
+    return spatial.clipped(tracks, zones, KEY, "c_custkey", CELL, lambda found: rounded(found.withColumns(ends).drop("first", "last")))
 
 
 @query

@@ -265,7 +265,16 @@ def test_track_bounds_of_equal_lines_are_finished_once_and_keys_join_as_lists(sp
     assert _most_joined(spatial.track_bounds(tracks, zones, samples, "t", "id")) < 5000
 
 
-@pytest.mark.parametrize("name", ["track_bounds"])
+def test_clipped_of_equal_lines_is_finished_once(spark):
+    zones = spark.createDataFrame([(k, [(-1.0, 0.5), (0.7, 0.5), (-1.0, 0.75)]) for k in [*range(100), None]], "id long, points array<struct<lon:double,lat:double>>")
+    lat = lambda found: found.withColumn("lat", F.col("last.lat")).drop("first", "last")
+    found, plain = spatial.clipped(_copied_lines(spark), zones, "t", "id", finish=lat), lat(spatial.clipped(_copied_lines(spark), zones, "t", "id"))
+    assert found.columns == ["t", "id", "lat"]
+    assert Counter(map(tuple, found.collect())) == Counter(map(tuple, plain.collect())) and found.count() == 601 * 101
+    assert _most_joined(found) < 5000
+
+
+@pytest.mark.parametrize("name", ["track_bounds", "zone_bounds"])
 def test_bounds_are_rounded_before_keys_become_rows(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     rows, _, rest = plan.partition("Generate explode(_other_keys")
